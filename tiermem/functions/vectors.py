@@ -89,6 +89,8 @@ def block_topn(
     corpus_id: str = "id",
     vec: str = "embedding",
     only_smaller_ids: bool = False,
+    query_col: str | None = None,
+    corpus_col: str | None = None,
 ) -> DataFrame:
     """Exact dot-product candidates: per block pair, the ``n`` best rows per query.
 
@@ -97,12 +99,13 @@ def block_topn(
     meet in the join, never single rows. The query blocks carry a size estimate, so
     Spark broadcasts them when they are small and shuffles otherwise; each pair is
     an independent row, which AQE can split when one key is hot.
-    With ``only_smaller_ids`` a query meets only corpus ids below its own.
+    With ``only_smaller_ids`` a query meets only corpus ids below its own. The id
+    columns may be named differently in the inputs (``query_col``, ``corpus_col``).
     """
-    left = pack(corpus, key, corpus_id, vec).select(
+    left = pack(corpus, key, corpus_col or corpus_id, vec).select(
         F.col("pack_key").alias("k"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c_mat")
     )
-    right = pack(queries, key, query_id, vec, rows=512).select(
+    right = pack(queries, key, query_col or query_id, vec, rows=512).select(
         F.col("pack_key").alias("k"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_mat")
     )
     pairs = left.join(right, "k").select("c_ids", "c_mat", "q_ids", "q_mat")

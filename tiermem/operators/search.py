@@ -52,12 +52,13 @@ def term_statistics(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     size and the length of the store. Only one row per (store, term) is shuffled.
     """
     words = text.tokens(F.col("body"))
-    kept = vocabulary.select("term").distinct()
+    whole_store = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    kept = vocabulary.select("term").distinct().unionByName(whole_store)
     seen = (
         docs.select("store_key", words.alias("w"))
         .select("store_key", F.size("w").alias("len"),
                 F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"))
-        .join(kept.unionByName(kept.limit(1).select(F.lit("").alias("term"))), "term", "left_semi")
+        .join(kept, "term", "left_semi")
         .groupBy("store_key", "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("_len"))
     )
