@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-BLOCK_ROWS = 4096
 SCORE_DIGITS = 9
+# Most fixed rows one task holds (and the bound for a broadcast), streamed rows per slice.
+FIXED_ROWS = 8192
+SLICE_ROWS = 200_000
 
 
 def hash_embed(text: Column, dim: int = 768) -> Column:
@@ -45,101 +47,173 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def pack(df: DataFrame, key: str, id_col: str, vec: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per (key, Arrow batch slice): the ids and the matrix as bytes.
+def _rows(columns: tuple[list, list, list]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.float64()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, type=kind) for values, kind in zip(columns, types)], ["fixed_id", "id", "score"]
+    )
 
-    No shuffle: every task packs the rows it already holds, so a hot key is spread
-    over as many blocks as it has batches.
-    """
-    schema = "pack_key string, n int, ids array<string>, matrix binary"
+
+class _TopN:
+    """The ``n`` best streamed rows of every fixed row, ties by id."""
+
+    def __init__(self, ids: list[str], matrix: np.ndarray, n: int):
+        self.ids, self.matrix, self.n = ids, matrix, n
+        self.best: list[list[tuple[float, str]]] = [[] for _ in ids]
+
+    def feed(self, ids: np.ndarray, matrix: np.ndarray) -> tuple[list, list, list]:
+        scores = np.round(self.matrix @ matrix.T, SCORE_DIGITS)
+        for at, best in enumerate(self.best):
+            line = scores[at]
+            floor = -best[-1][0] if len(best) == self.n else -np.inf
+            if len(line) > self.n:
+                floor = max(floor, np.partition(line, len(line) - self.n)[len(line) - self.n])
+            picked = np.flatnonzero(line >= floor)
+            if len(picked):
+                merged = best + list(zip((-line[picked]).tolist(), ids[picked].tolist()))
+                self.best[at] = sorted(merged)[: self.n]
+        return [], [], []
+
+    def finish(self) -> tuple[list, list, list]:
+        flat = [(q, i, -s) for q, best in zip(self.ids, self.best) for s, i in best]
+        return [f[0] for f in flat], [f[1] for f in flat], [f[2] for f in flat]
+
+
+class _BestEarlier:
+    """For every streamed row the best fixed row (lowest id on a tie), optionally below its id."""
+
+    def __init__(self, ids: list[str], matrix: np.ndarray, only_smaller: bool):
+        order = np.argsort(np.asarray(ids, dtype=str), kind="stable")
+        self.ids, self.matrix = np.asarray(ids, dtype=str)[order], matrix[order]
+        self.only_smaller = only_smaller
+
+    def feed(self, ids: np.ndarray, matrix: np.ndarray) -> tuple[list, list, list]:
+        scores = np.round(matrix @ self.matrix.T, SCORE_DIGITS)
+        if self.only_smaller:
+            below = np.searchsorted(self.ids, ids.astype(str))
+            scores[np.arange(len(self.ids))[None, :] >= below[:, None]] = -np.inf
+        at = scores.argmax(axis=1)
+        top = scores[np.arange(len(ids)), at]
+        some = np.isfinite(top)
+        return self.ids[at[some]].tolist(), ids[some].tolist(), top[some].tolist()
+
+    def finish(self) -> tuple[list, list, list]:
+        return [], [], []
+
+
+def _from_broadcast(streamed: DataFrame, fixed: pa.Table, scorer: Callable) -> DataFrame:
+    groups: dict[str, tuple[list[str], np.ndarray]] = {}
+    keys = np.asarray(fixed.column(0).to_pylist(), dtype=object)
+    for key in dict.fromkeys(keys.tolist()):
+        part = fixed.take(pa.array(np.flatnonzero(keys == key))).combine_chunks()
+        vectors = part.column(2).combine_chunks()
+        groups[key] = (part.column(1).to_pylist(), _matrix(vectors))
+    shared = streamed.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, object] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
             keys = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            out: list[tuple] = []
-            for value in dict.fromkeys(keys.tolist()):
-                picked = np.flatnonzero(keys == value)
-                for start in range(0, len(picked), rows):
-                    part = batch.take(pa.array(picked[start : start + rows]))
-                    out.append(
-                        (value, part.num_rows, part.column(1).to_pylist(),
-                         _matrix(part.column(2)).tobytes())
-                    )
-            names = ["pack_key", "n", "ids", "matrix"]
-            types = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row[i] for row in out], type=types[i]) for i in range(4)], names
-            )
-
-    return df.select(key, F.col(id_col).cast("string"), vec).mapInArrow(run, schema)
-
-
-def _unpack(ids: list[str], raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="float64").reshape(len(ids), -1)
-
-
-def block_topn(
-    queries: DataFrame,
-    corpus: DataFrame,
-    n: int,
-    key: str = "store_key",
-    query_id: str = "query_id",
-    corpus_id: str = "id",
-    vec: str = "embedding",
-    only_smaller_ids: bool = False,
-    query_col: str | None = None,
-    corpus_col: str | None = None,
-) -> DataFrame:
-    """Exact dot-product candidates: per block pair, the ``n`` best rows per query.
-
-    The result holds at most ``n`` rows per (query, corpus block) and always the
-    true top ``n`` of each query; a window over it finishes the job. Only blocks
-    meet in the join, never single rows. The query blocks carry a size estimate, so
-    Spark broadcasts them when they are small and shuffles otherwise; each pair is
-    an independent row, which AQE can split when one key is hot.
-    With ``only_smaller_ids`` a query meets only corpus ids below its own. The id
-    columns may be named differently in the inputs (``query_col``, ``corpus_col``).
+            ids = np.asarray(batch.column(1).to_pylist(), dtype=object)
+            for key in dict.fromkeys(keys.tolist()):
+                if key in shared.value:
+                    if key not in open_:
+                        open_[key] = scorer(*shared.value[key])
+                    picked = np.flatnonzero(keys == key)
+                    yield _rows(open_[key].feed(ids[picked], _matrix(batch.column(2).take(pa.array(picked)))))
+        for one in open_.values():
+            yield _rows(one.finish())
+
+    return streamed.mapInArrow(run, "fixed_id string, id string, score double")
+
+
+def _from_shuffle(streamed: DataFrame, fixed: DataFrame, scorer: Callable) -> DataFrame:
+    """Fixed rows in blocks, streamed rows in slices; every (block, slice) of a key is one sorted run.
+
+    A key with many rows has many slices, so a hot key is spread; the fixed rows of a
+    block are repeated once per slice and the streamed rows once per block.
     """
-    left = pack(corpus, key, corpus_col or corpus_id, vec).select(
-        F.col("pack_key").alias("k"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c_mat")
-    )
-    right = pack(queries, key, query_col or query_id, vec, rows=512).select(
-        F.col("pack_key").alias("k"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_mat")
+    blocks = fixed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / FIXED_ROWS).cast("int").alias("n_blocks"))
+    slices = streamed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("n_slices"))
+    sizes = blocks.join(slices, "k")
+
+    def placed(df: DataFrame, own: str, other: str, own_n: str, other_n: str, kind: int) -> DataFrame:
+        return df.join(sizes, "k").select(
+            "k", F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
+            F.lit(kind).alias("kind"), "id", "v",
+        )
+
+    group = ["k", "block", "slice"]
+    both = placed(fixed, "block", "slice", "n_blocks", "n_slices", 0).unionByName(
+        placed(streamed, "slice", "block", "n_slices", "n_blocks", 1)
     )
-    pairs = left.join(right, "k").select("c_ids", "c_mat", "q_ids", "q_mat")
+    runs = both.repartition(*group).sortWithinPartitions(*group, "kind").select(*group, "kind", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, vectors, one = None, [], [], None
         for batch in batches:
-            for row in range(batch.num_rows):
-                c_ids = np.asarray(batch.column(0)[row].as_py(), dtype=object)
-                q_ids = batch.column(2)[row].as_py()
-                scores = np.round(
-                    _unpack(q_ids, batch.column(3)[row].as_py())
-                    @ _unpack(c_ids, batch.column(1)[row].as_py()).T,
-                    SCORE_DIGITS,
-                )
-                by_id = np.argsort(c_ids.astype(str), kind="stable")
-                c_sorted, scores = c_ids[by_id], scores[:, by_id]
-                ordered_ids = c_sorted.astype(str)
-                out_q, out_c, out_s = [], [], []
-                for at, query in enumerate(q_ids):
-                    line, names = scores[at], c_sorted
-                    if only_smaller_ids:
-                        below = int(np.searchsorted(ordered_ids, query))
-                        line, names = line[:below], names[:below]
-                    best = np.argsort(-line, kind="stable")[:n]
-                    out_q.extend([query] * len(best))
-                    out_c.extend(names[best].tolist())
-                    out_s.append(line[best])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out_q, type=pa.string()),
-                        pa.array(out_c, type=pa.string()),
-                        pa.array(np.concatenate(out_s) if out_s else [], type=pa.float64()),
-                    ],
-                    [query_id, corpus_id, "score"],
-                )
-
-    return pairs.mapInArrow(run, f"{query_id} string, {corpus_id} string, score double")
+            marks = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            start = 0
+            while start < len(marks):
+                end = start
+                while end < len(marks) and marks[end] == marks[start]:
+                    end += 1
+                if marks[start][:3] != current:
+                    if one is not None:
+                        yield _rows(one.finish())
+                    current, ids, vectors, one = marks[start][:3], [], [], None
+                part = batch.slice(start, end - start)
+                if marks[start][3] == 0:
+                    ids.extend(part.column(4).to_pylist())
+                    vectors.append(_matrix(part.column(5)))
+                elif ids:
+                    one = one or scorer(ids, np.concatenate(vectors))
+                    names = np.asarray(part.column(4).to_pylist(), dtype=object)
+                    yield _rows(one.feed(names, _matrix(part.column(5))))
+                start = end
+        if one is not None:
+            yield _rows(one.finish())
+
+    return runs.mapInArrow(run, "fixed_id string, id string, score double")
+
+
+def _meet(streamed: DataFrame, fixed: DataFrame, scorer: Callable, fixed_rows: int) -> DataFrame:
+    """Score streamed rows (k, id, v) against fixed rows (k, id, v) of the same key.
+
+    Up to ``fixed_rows`` fixed rows are broadcast and the streamed side is not
+    shuffled at all; beyond that bound both sides are shuffled in blocks.
+    """
+    head = fixed.limit(fixed_rows + 1).toArrow()
+    if head.num_rows <= fixed_rows:
+        return _from_broadcast(streamed, head, scorer)
+    return _from_shuffle(streamed, fixed, scorer)
+
+
+def _side(df: DataFrame, id_col: str, key: str = "store_key", vec: str = "embedding") -> DataFrame:
+    kept = df.where(F.col(vec).isNotNull())
+    return kept.select(F.col(key).alias("k"), F.col(id_col).cast("string").alias("id"), F.col(vec).alias("v"))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, n: int, fixed_rows: int = FIXED_ROWS) -> DataFrame:
+    """(query_id, id, score): exact dot-product candidates of every query in its store.
+
+    Each task keeps the ``n`` best of the rows it sees, so the true top ``n`` is
+    always among them; single pairs are never emitted.
+    """
+    found = _meet(
+        _side(corpus, "id"), _side(queries, "query_id"), lambda ids, m: _TopN(ids, m, n), fixed_rows
+    )
+    return found.withColumnRenamed("fixed_id", "query_id")
+
+
+def best_leader(
+    rows: DataFrame, leaders: DataFrame, only_smaller_ids: bool = False, fixed_rows: int = FIXED_ROWS
+) -> DataFrame:
+    """(id, leader_id, score): the most similar leader of every row, lowest id on a tie."""
+    found = _meet(
+        _side(rows, "id"), _side(leaders, "id"), lambda ids, m: _BestEarlier(ids, m, only_smaller_ids), fixed_rows
+    )
+    return found.groupBy("id").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "fixed_id")).alias("b")
+    ).select("id", F.col("b.fixed_id").alias("leader_id"), (-F.col("b.s")).alias("score"))

@@ -224,21 +224,21 @@ def scene_changed(scene_fx: DataFrame) -> DataFrame:
     return scene_fx.withColumn("changed", changed)
 
 
-def membership_diff(effects: DataFrame, after: DataFrame) -> DataFrame:
-    """effects(pass_id, scene_id, added, removed) and members after -> removed, kept, added rows."""
-    added = effects.select("pass_id", "scene_id", F.explode("added").alias("atom_id")).withColumn("marker", F.lit("+"))
-    removed = effects.select("pass_id", "scene_id", F.explode("removed").alias("atom_id")).withColumn("marker", F.lit("-"))
-    kept = after.select("pass_id", "scene_id", "atom_id").join(
-        added.select("pass_id", "scene_id", "atom_id"), ["pass_id", "scene_id", "atom_id"], "left_anti"
-    ).withColumn("marker", F.lit("="))
-    return removed.unionByName(kept).unionByName(added)
+def membership_diff(moves: DataFrame, after: DataFrame) -> DataFrame:
+    """moves(pass_id, scene_id, atom_id, change) and members after -> removed, kept, added rows."""
+    keys = ["pass_id", "scene_id", "atom_id"]
+    marker = F.when(F.col("change") == "added", "+").otherwise("-")
+    moved = moves.where(F.col("change").isin("added", "removed")).select(*keys, marker.alias("marker"))
+    kept = after.select(keys).join(moved.where("marker = '+'"), keys, "left_anti")
+    return moved.unionByName(kept.withColumn("marker", F.lit("=")))
 
 
-def replay_membership(passes: DataFrame, scene_fx: DataFrame) -> tuple[DataFrame, DataFrame]:
+def replay_membership(passes: DataFrame, scene_fx: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership of every scene after every pass from its first clean creation on.
 
-    passes(pass_id, place) give the order; scene_fx(pass_id, scene_id, effect,
-    members_before, members_after, added, removed). Returns (quality, members):
+    passes(pass_id, place) give the order within the store, place without holes;
+    scene_fx(pass_id, scene_id, effect, members_before, members_after, n_added);
+    moves(pass_id, scene_id, atom_id, change). Returns (quality, members):
     quality(scene_id, pass_id, place, quality, before, after) and the membership as
     intervals members(scene_id, atom_id, from_place, to_place).
 
@@ -249,23 +249,19 @@ def replay_membership(passes: DataFrame, scene_fx: DataFrame) -> tuple[DataFrame
     fx = scene_fx.join(passes.select("pass_id", "place"), "pass_id")
     clean = (
         (F.col("effect") == "created") & (F.col("members_before") == 0)
-        & (F.size("added") == F.col("members_after"))
+        & (F.col("n_added") == F.col("members_after"))
     )
     base = fx.groupBy("scene_id").agg(F.min(F.when(clean, F.col("place"))).alias("base"))
     known = fx.join(base, "scene_id")
     live = known.where("place >= base")
-
-    moves = live.select(
-        "scene_id", "place",
-        F.explode(F.concat(
-            F.transform("removed", lambda a: F.struct(F.lit(0).alias("step"), a.alias("atom_id"))),
-            F.transform("added", lambda a: F.struct(F.lit(1).alias("step"), a.alias("atom_id"))),
-        )).alias("m"),
-    ).select("scene_id", "place", "m.step", "m.atom_id").distinct()
+    step = F.when(F.col("change") == "added", 1).otherwise(0)
+    moves = live.select("scene_id", "pass_id", "place").join(
+        moves.where(F.col("change").isin("added", "removed")), ["scene_id", "pass_id"]
+    ).select("scene_id", "place", step.alias("step"), "atom_id").distinct()
     own = Window.partitionBy("scene_id", "atom_id").orderBy("place", "step")
     before = F.lag("step", 1, 0).over(own)
     at_pass = Window.partitionBy("scene_id", "atom_id", "place").orderBy("step")
-    judged = moves.withColumns({"was": before, "_first": F.row_number().over(at_pass)})
+    judged = moves.withColumn("was", before)
     removed_same_pass = F.lag("step").over(at_pass).isNotNull()
     judged = judged.withColumns({
         "delta": F.when((F.col("step") == 1) & (F.col("was") == 0), 1)

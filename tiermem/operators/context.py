@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiermem.functions import text
 from tiermem.operators import search
+from tiermem.session import cut_lineage
 
 # Tier shares, candidate sizing and headings.
 LEGACY_TOTAL, LEGACY_PINNED_SHARE = 6000, 0.25
@@ -146,7 +147,7 @@ def assemble_context(
         return F.floor(F.col("budget") * (part / total)).cast("long")
 
     asked = queries.select("query_id", "store_key", "text", "embedding", F.col("budget").cast("long").alias("budget"))
-    base = asked.withColumns({
+    base = cut_lineage(asked).withColumns({
         "pinned_cap": share(shares.pinned),
         "atom_share": share(shares.atoms),
         "scene_share": share(shares.scenes),
@@ -179,9 +180,10 @@ def assemble_context(
         ["store_key", "id"],
     )
     filled = _fill(sized, staged.select("query_id", F.col("atom_cap").alias("cap")), "atom")
-    staged = staged.join(filled, "query_id").withColumn(
+    # One small row per query is written out, so that the next tier does not search again.
+    staged = cut_lineage(staged.join(filled, "query_id").withColumn(
         "scene_cap", F.col("scene_share") + F.col("atom_cap") - F.col("atom_chars")
-    )
+    ))
 
     largest_scenes = largest_atoms + int(max_budget * shares.scenes / total)
     scene_limit = max(8, -(-largest_scenes * 3 // 600))
@@ -274,17 +276,16 @@ def context_texts(
     scene_body = text.truncate(
         text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary")), text.SCENE_CAP
     )
-    t1 = items.where("tier = 'T1'").join(
-        atoms.select("store_key", F.col("id").alias("item_id"), atom_text.alias("body")), ["store_key", "item_id"]
-    )
-    t2 = items.where("tier = 'T2'").join(
-        scenes.select("store_key", F.col("scene_id").alias("item_id"), scene_body.alias("body")),
-        ["store_key", "item_id"],
+    t1 = atoms.select("store_key", F.lit("T1").alias("tier"), F.col("id").alias("item_id"), atom_text.alias("_b"))
+    t2 = scenes.select("store_key", F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), scene_body.alias("_b"))
+    cores = core.select("store_key", F.col("content").alias("_core"))
+    excerpt = text.truncate(F.col("_core"), F.col("chars").cast("int"))
+    return (
+        items.join(t1.unionByName(t2), ["store_key", "tier", "item_id"], "left")
+        .join(cores, "store_key", "left")
+        .withColumn("body", F.when(F.col("tier") == "T3", excerpt).otherwise(F.col("_b")))
+        .drop("_b", "_core")
     )
-    t3 = items.where("tier = 'T3'").join(core.select("store_key", F.col("content").alias("_core")), "store_key")
-    t3 = t3.withColumn("body", text.truncate(F.col("_core"), F.col("chars").cast("int"))).drop("_core")
-    columns = ["query_id", "store_key", "ordinal", "tier", "source", "item_id", "chars", "body"]
-    return t1.select(columns).unionByName(t2.select(columns)).unionByName(t3.select(columns))
 
 
 def emit_traces(

@@ -28,7 +28,7 @@ def tag_active(samples: DataFrame, intervals: DataFrame, block_s: int = SCAN_BLO
     observed = samples.select(
         "store_key", F.col("obs_s").alias("_t"), F.lit(1).alias("_kind"),
         F.lit(None).cast("long").alias("_end"),
-        F.struct(F.col("event_id").cast("long"), F.col("ms").cast("double")).alias("_s"),
+        F.struct(F.col("event_id").cast("long").alias("event_id"), F.col("ms").cast("double").alias("ms")).alias("_s"),
     )
     scanned = blocked_running_max(
         starts.unionByName(observed), ["store_key"], ("_blk", F.floor(F.col("_t") / block_s)),

@@ -105,10 +105,11 @@ def resolve_topics(requests: DataFrame, scenes: DataFrame) -> DataFrame:
     needles = requests.select("store_key", "topic").distinct().withColumn("needle", F.lower("topic"))
     needles = needles.withColumn("gram", F.substring("needle", 1, GRAM))
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
-    runs = F.flatten(F.array(*[
-        F.transform(starts, lambda at, n=n: F.substring(F.col("low"), at, F.lit(n)))
-        for n in range(GRAM + 1)
-    ]))
+
+    def runs_of(size: int) -> Column:
+        return F.transform(starts, lambda at: F.substring(F.col("low"), at, F.lit(size)))
+
+    runs = F.flatten(F.array(*[runs_of(size) for size in range(GRAM + 1)]))
     grams = topics.withColumn("gram", F.explode(F.array_distinct(runs)))
     by_title = (
         grams.join(needles, ["store_key", "gram"])

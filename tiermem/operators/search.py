@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tiermem.functions import text
-from tiermem.functions.vectors import SCORE_DIGITS, block_topn
+from tiermem.functions.vectors import SCORE_DIGITS, nearest
 from tiermem.session import cut_lineage
 
 # BM25 constants, fusion constant, over-fetch factors.
@@ -135,8 +135,7 @@ def bm25_topn(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
 
 def dense_topn(queries: DataFrame, vectors: DataFrame, max_fetch: int) -> DataFrame:
     """(query_id, id, score, rank0): exact nearest vectors of the store."""
-    asking = queries.where("embedding IS NOT NULL")
-    near = block_topn(asking, vectors.where("embedding IS NOT NULL"), max_fetch)
+    near = nearest(queries, vectors, max_fetch)
     return ranked(near.join(queries.select("query_id", "fetch"), "query_id"), max_fetch)
 
 
