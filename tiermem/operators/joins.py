@@ -65,30 +65,26 @@ def window_evidence(passes: DataFrame, turns: DataFrame) -> DataFrame:
     return found.drop("window_start", "window_end").withColumnRenamed("id", "stream_id")
 
 
-def decision_evidence(
-    decisions: DataFrame, passes: DataFrame, evidence: DataFrame, turns: DataFrame,
-    verbose: bool = False,
-) -> DataFrame:
-    """The first turns behind each decision, long texts cut.
+def evidence_sets(
+    decisions: DataFrame, passes: DataFrame, evidence: DataFrame, turns: DataFrame, max_turns: int
+) -> tuple[DataFrame, DataFrame]:
+    """The first turns of every atom and of every pass window that decisions need.
 
-    Atom decisions follow the evidence edges; a skip wrote no atom and falls back to
-    the window of its pass. The first turns are chosen once per atom and once per
-    pass, before the decisions join, and the text joins last: only shown turns
-    carry it.
+    (of_atom(atom_id, stream_id, place), of_pass(pass_id, stream_id, place)). They are
+    chosen on (key, seq) alone, once per atom and pass, before decisions or texts join.
     """
-    max_turns, max_chars = EVIDENCE_LIMITS[verbose]
     short = turns.select(F.col("id").alias("stream_id"), "store_key", "seq")
 
     def first_turns(rows: DataFrame, key: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(key).orderBy("seq", "stream_id"))
-        return rows.withColumn("place", place).where(F.col("place") <= max_turns)
+        kept = rows.withColumn("_rn", place).where(F.col("_rn") <= max_turns)
+        return kept.select(key, "stream_id", F.col("_rn").cast("long").alias("place"))
 
-    wrote = decisions.where("atom_id IS NOT NULL").select(F.col("id").alias("decision_id"), "atom_id")
+    wrote = decisions.where("atom_id IS NOT NULL").select("atom_id")
     edges = evidence.select("atom_id", "stream_id").join(wrote, "atom_id", "left_semi")
     of_atom = first_turns(edges.join(short.drop("store_key"), "stream_id"), "atom_id")
-    by_edge = wrote.join(of_atom, "atom_id").select("decision_id", "stream_id", "place")
 
-    skipped = decisions.where("atom_id IS NULL").select(F.col("id").alias("decision_id"), "pass_id")
+    skipped = decisions.where("atom_id IS NULL").select("pass_id")
     start = F.coalesce("watermark_start", F.lit(0))
     windows = passes.join(skipped, "pass_id", "left_semi").select(
         "pass_id", "store_key", start.alias("window_start"), "watermark_end"
@@ -98,17 +94,34 @@ def decision_evidence(
         "pass_id", "store_key", "window_start",
         F.least(F.coalesce("watermark_end", "_head"), "_head").alias("window_end"),
     )
-    of_pass = first_turns(_window_turns(bounded, short), "pass_id")
-    by_window = skipped.join(of_pass, "pass_id").select("decision_id", "stream_id", "place")
-    shown = by_edge.unionByName(by_window)
+    return of_atom, first_turns(_window_turns(bounded, short), "pass_id")
+
+
+def with_evidence_text(rows: DataFrame, turns: DataFrame, max_chars: int) -> DataFrame:
     texts = turns.select(F.col("id").alias("stream_id"), "session_id", "role", "content")
     is_long = F.length("content") > max_chars
-    return shown.join(texts, "stream_id").select(
-        "decision_id", F.col("place").cast("long").alias("place"), "stream_id", "session_id", "role",
-        F.when(is_long, F.concat(F.substring("content", 1, max_chars), F.lit("…")))
-        .otherwise(F.col("content")).alias("content"),
-        is_long.alias("truncated"),
-    )
+    return rows.join(texts, "stream_id").withColumns({
+        "content": F.when(is_long, F.concat(F.substring("content", 1, max_chars), F.lit("…"))).otherwise(F.col("content")),
+        "truncated": is_long,
+    })
+
+
+def decision_evidence(
+    decisions: DataFrame, passes: DataFrame, evidence: DataFrame, turns: DataFrame,
+    verbose: bool = False,
+) -> DataFrame:
+    """The first turns behind each decision, long texts cut.
+
+    Atom decisions follow the evidence edges; a skip wrote no atom and falls back to
+    the window of its pass.
+    """
+    max_turns, max_chars = EVIDENCE_LIMITS[verbose]
+    of_atom, of_pass = evidence_sets(decisions, passes, evidence, turns, max_turns)
+    keys = decisions.select(F.col("id").alias("decision_id"), "pass_id", "atom_id")
+    columns = ["decision_id", "stream_id", "place"]
+    by_atom = keys.where("atom_id IS NOT NULL").join(of_atom, "atom_id").select(columns)
+    by_pass = keys.where("atom_id IS NULL").join(of_pass, "pass_id").select(columns)
+    return with_evidence_text(by_atom.unionByName(by_pass), turns, max_chars)
 
 
 def orphans(index: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:

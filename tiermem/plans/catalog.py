@@ -862,7 +862,7 @@ listed AS (
 SELECT q.query_id, 'pinned' AS source, p.place, p.id, p.chars FROM recall_queries q JOIN pins p ON p.store_key = q.store_key
 UNION ALL SELECT query_id, 'ranked', place, id, chars::BIGINT FROM listed WHERE running <= 6000 AND place + n_pinned <= 10""")
 def _(v):
-    return context.recall_atoms_legacy(v.recall_queries, v.atoms, AS_OF)
+    return context.recall_atoms_legacy(v.recall_queries, v.stored_atoms, AS_OF)
 
 
 def _fill_sql(name: str, cands: str, caps: str) -> str:
@@ -908,7 +908,7 @@ done AS MATERIALIZED (SELECT q.query_id, q.store_key, q.budget, p.used AS pinned
 
 
 def _contexts(v: MemoryViews) -> DataFrame:
-    return context.assemble_context(v.recall_queries, v.atoms, v.scenes, v.core, AS_OF)
+    return context.assemble_context(v.recall_queries, v.stored_atoms, v.stored_scenes, v.core, AS_OF)
 
 
 @register("context_budgets_l9", f"""
@@ -956,7 +956,7 @@ sections AS (SELECT query_id, t, concat(CASE t WHEN 1 THEN '## Pinned' WHEN 2 TH
 SELECT query_id, string_agg(section, chr(10) || chr(10) ORDER BY t) AS rendered FROM sections GROUP BY 1""")
 def _(v):
     items = context.context_items(_contexts(v))
-    return context.render(context.context_texts(items, v.atoms, v.scenes, v.core))
+    return context.render(context.context_texts(items, v.stored_atoms, v.stored_scenes, v.core))
 
 
 @register("trace_headers_l12", f"""
@@ -978,12 +978,12 @@ WITH RECURSIVE topic_queries AS MATERIALIZED (
 SELECT query_id, budget, (pinned_chars + atom_chars + scene_chars + CASE WHEN core_cap > 50 THEN least(core_len, core_cap) ELSE 0 END)::BIGINT AS total_chars,
        missed OR core_cap <= 50 OR core_len > core_cap AS truncated FROM done""")
 def _(v):
-    titles = reads.resolve_topics(_topic_requests(v), v.scenes).where("found")
+    titles = reads.resolve_topics(_topic_requests(v), v.stored_scenes).where("found")
     vectors = v.recall_queries.select(F.concat(F.lit("t-"), "query_id").alias("request_id"), "embedding", "budget")
     asked = titles.join(vectors, "request_id").select(
         F.col("request_id").alias("query_id"), "store_key", F.col("query").alias("text"), "embedding", "budget"
     )
-    contexts = context.assemble_context(asked, v.atoms, v.scenes, v.core, AS_OF)
+    contexts = context.assemble_context(asked, v.stored_atoms, v.stored_scenes, v.core, AS_OF)
     return contexts.select("query_id", "budget", "total_chars", "truncated")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,22 +37,32 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **extra: str) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master (tests, bench) gets a folder of its own; on a cluster an
     unset folder is an error, because a machine-local one would not survive the
     loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get(
-            "spark.checkpoint.dir", ""
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    folder = folder or context.getCheckpointDir() or ""
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back.
+
+    Later plans then start from files that survive a lost executor, and they know
+    the real size of the table, so a join broadcasts it only when it is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tiermem.operators.joins import decision_evidence
+from tiermem.operators.joins import EVIDENCE_LIMITS, evidence_sets, with_evidence_text
 
 
 def scene_documents(scenes: DataFrame) -> DataFrame:
@@ -24,20 +24,32 @@ def export_cases(
     decisions: DataFrame, passes: DataFrame, targets: DataFrame, evidence: DataFrame, turns: DataFrame,
     atoms: DataFrame, verbose: bool = True,
 ) -> DataFrame:
-    """One case per decision: evidence (bounded), named atoms, decision, resulting atom."""
-    shown = decision_evidence(decisions, passes, evidence, turns, verbose)
+    """One case per decision: evidence (bounded), named atoms, decision, resulting atom.
+
+    Evidence lists are built once per atom and per pass window and only then joined
+    to the many decisions that share them.
+    """
+    max_turns, max_chars = EVIDENCE_LIMITS[verbose]
+    of_atom, of_pass = evidence_sets(decisions, passes, evidence, turns, max_turns)
     turn = F.struct("place", "stream_id", "session_id", "role", "content", "truncated")
-    by_decision = shown.groupBy("decision_id").agg(F.array_sort(F.collect_list(turn)).alias("input_evidence"))
+
+    def lists(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return with_evidence_text(rows, turns, max_chars).groupBy(key).agg(
+            F.array_sort(F.collect_list(turn)).alias(name)
+        )
+
     named = targets.join(
         atoms.select(F.col("id").alias("target_id"), "type", "content", "confidence"), "target_id", "left"
     )
     atom = F.struct("target_no", "target_id", "type", "content", "confidence")
     existing = named.groupBy("decision_id").agg(F.array_sort(F.collect_list(atom)).alias("existing_atoms"))
+    window = F.when(F.col("atom_id").isNull(), F.col("_w"))
     return (
         decisions.withColumnRenamed("id", "decision_id")
-        .join(by_decision, "decision_id", "left")
+        .join(lists(of_atom, "atom_id", "_a"), "atom_id", "left")
+        .join(lists(of_pass, "pass_id", "_w"), "pass_id", "left")
         .join(existing, "decision_id", "left")
         .join(passes.select("pass_id", "store_key"), "pass_id")
-        .select("store_key", "pass_id", "decision_id", "action", "input_evidence", "existing_atoms",
-                F.col("atom_id").alias("resulting_atom_id"))
+        .select("store_key", "pass_id", "decision_id", "action", F.coalesce("_a", window).alias("input_evidence"),
+                "existing_atoms", F.col("atom_id").alias("resulting_atom_id"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiermem.functions import identity, text
 from tiermem.functions.scan import blocked_row_number
+from tiermem.session import cut_lineage
 
 EPOCH_S = 1704067200
 AS_OF_S = 1709251200
@@ -106,6 +107,15 @@ class MemoryViews:
             )
         )
 
+    @cached_property
+    def stored_atoms(self) -> DataFrame:
+        """The atoms as a written table, for jobs that read them many times."""
+        return cut_lineage(self.atoms)
+
+    @cached_property
+    def stored_scenes(self) -> DataFrame:
+        return cut_lineage(self.scenes)
+
     @cached_property
     def atom_keys(self) -> DataFrame:
         """Atoms without their text and vectors, for joins that need neither."""
