@@ -93,15 +93,13 @@ def stores_needing_pass(heads_: DataFrame, cursors: DataFrame, dirty: DataFrame)
     )
 
 
-def embedding_lock(vectors: DataFrame, manifest: DataFrame) -> DataFrame:
-    """vectors(tier, model, embedding) against manifest(model, dim): rows per combination."""
+def embedding_lock(vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """vectors(tier, model, embedding) against the locked model and size: rows per combination."""
     found = vectors.where("embedding IS NOT NULL").groupBy(
         "tier", "model", F.size("embedding").cast("long").alias("dim")
     ).agg(F.count(F.lit(1)).alias("n"))
-    locked = manifest.select(F.col("model").alias("_m"), F.col("dim").alias("_d"))
-    joined = found.join(locked, F.lit(True), "left")
-    problem = F.when(F.col("model") != F.col("_m"), "model").when(F.col("dim") != F.col("_d"), "dim")
-    return joined.select("tier", "model", "dim", "n", F.coalesce(problem, F.lit("ok")).alias("verdict"))
+    problem = F.when(F.col("model") != model, "model").when(F.col("dim") != dim, "dim")
+    return found.withColumn("verdict", F.coalesce(problem, F.lit("ok")))
 
 
 def live_state(inventory: DataFrame, passes: DataFrame, core_fx: DataFrame, recalls: DataFrame) -> DataFrame:

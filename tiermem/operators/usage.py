@@ -14,26 +14,23 @@ def apply_usage(reports: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     One unknown item, one item in both lists or one used/unused flip rejects the
     whole report; the verdict is an aggregate per report, joined back.
     """
-    refs = reports.select("report_id", "recall_id", "tier", "item_id", "target")
+    refs = reports.groupBy("report_id", "recall_id", "tier", "item_id").agg(
+        F.min("target").alias("target"), (F.min("target") != F.max("target")).alias("both")
+    )
     known = items.select("recall_id", "tier", "item_id", F.col("usage").alias("current")).distinct()
     judged = refs.join(known, ["recall_id", "tier", "item_id"], "left")
-    both = refs.groupBy("report_id", "recall_id", "tier", "item_id").agg(
-        (F.min("target") != F.max("target")).alias("both")
-    )
     flip = F.col("current").isin("used", "unused") & (F.col("current") != F.col("target"))
     verdict = (
-        judged.join(both, ["report_id", "recall_id", "tier", "item_id"])
-        .groupBy("report_id")
+        judged.groupBy("report_id")
         .agg(
             F.max(F.col("current").isNull()).alias("unknown"),
-            F.max("both").alias("both"),
-            F.max(F.coalesce(flip, F.lit(False))).alias("flip"),
+            F.max(F.col("both") | F.coalesce(flip, F.lit(False))).alias("clash"),
         )
         .select("report_id", F.when(F.col("unknown"), "unknown_items")
-                .when(F.col("both") | F.col("flip"), "conflict").alias("reason"))
+                .when(F.col("clash"), "conflict").alias("reason"))
     )
     marked = judged.join(verdict, "report_id")
-    fine = marked.where("reason IS NULL").drop("reason")
+    fine = marked.where("reason IS NULL").drop("reason", "both")
     same = F.col("current") == F.col("target")
     rejected = verdict.where("reason IS NOT NULL")
     return fine.where(~same), fine.where(same), rejected

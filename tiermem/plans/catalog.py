@@ -1434,14 +1434,20 @@ def _(v):
 
 
 @register("delete_atoms_e4", """
-SELECT (SELECT count(*) FROM atoms WHERE status <> 'archived') AS atoms,
-       (SELECT count(*) FROM atom_evidence e JOIN atoms a ON a.id = e.atom_id WHERE a.status <> 'archived') AS edges,
-       (SELECT count(*) FROM scene_atoms e JOIN atoms a ON a.id = e.atom_id WHERE a.status <> 'archived') AS members""")
+SELECT 'atom' AS kind, id AS atom_id, '' AS other_id FROM atoms WHERE status <> 'archived'
+UNION ALL SELECT 'edge', e.atom_id, e.stream_id FROM atom_evidence e JOIN atoms a ON a.id = e.atom_id WHERE a.status <> 'archived'
+UNION ALL SELECT 'member', m.atom_id, m.scene_id FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id WHERE a.status <> 'archived'""")
 def _(v):
     gone = v.atom_keys.where("status = 'archived'").select("id")
-    left = lifecycle.delete_atoms(gone, v.atom_keys, v.atom_evidence, v.scene_atoms)
-    a, e, m = (df.agg(F.count(F.lit(1)).alias(name)) for df, name in zip(left, ("atoms", "edges", "members")))
-    return a.join(e, F.lit(True)).join(m, F.lit(True))
+    atoms_, edges, members = lifecycle.delete_atoms(gone, v.atom_keys, v.atom_evidence, v.scene_atoms)
+
+    def rows(df: DataFrame, kind: str, atom: str, other: str | None) -> DataFrame:
+        rest = F.col(other) if other else F.lit("")
+        return df.select(F.lit(kind).alias("kind"), F.col(atom).alias("atom_id"), rest.alias("other_id"))
+
+    return rows(atoms_, "atom", "id", None).unionByName(rows(edges, "edge", "atom_id", "stream_id")).unionByName(
+        rows(members, "member", "atom_id", "scene_id")
+    )
 
 
 @register("delete_scenes_e5", """
@@ -1651,8 +1657,7 @@ def _(v):
         F.lit("atoms").alias("tier"), F.when(label % 3 == 2, "m0").otherwise("m1").alias("model"),
         F.when(label % 4 == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"),
     )
-    manifest = v.spark.range(1).select(F.lit("m1").alias("model"), F.lit(64).alias("dim"))
-    return inventory.embedding_lock(vectors, manifest)
+    return inventory.embedding_lock(vectors, "m1", 64)
 
 
 # ── gates and ledgers ────────────────────────────────────────────────────────
