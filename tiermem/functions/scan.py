@@ -64,32 +64,48 @@ def blocked_row_number(
     )
 
 
-def blocked_running_max(
+def blocked_running(
     df: DataFrame,
     part: Sequence[str],
     block: Block,
     order: Sequence[Column | str],
-    value: Column,
-    out: str,
+    values: dict[str, tuple[str, Column]],
 ) -> DataFrame:
-    """Running maximum of ``value`` (nulls skipped) up to and with the current row."""
+    """Running aggregates up to and with the current row of ``part`` in (block, order).
+
+    ``values`` maps each output column to ("sum" or "max", value); nulls are skipped.
+    """
     name, expr = block
     keys = [*part, name]
-    blocked = df.withColumns({name: expr, "_v": value})
+    blocked = df.withColumns({name: expr, **{f"_v_{out}": value for out, (_, value) in values.items()}})
+    fold = {"sum": F.sum, "max": F.max}
+    per_block = blocked.groupBy(*keys).agg(
+        *[fold[kind](f"_v_{out}").alias(f"_t_{out}") for out, (kind, _) in values.items()]
+    )
     earlier = (
         Window.partitionBy(*part).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = (
-        blocked.groupBy(*keys)
-        .agg(F.max("_v").alias("_top"))
-        .select(*keys, F.max("_top").over(earlier).alias("_carry"))
+    carry = per_block.select(
+        *keys, *[fold[kind](f"_t_{out}").over(earlier).alias(f"_c_{out}") for out, (kind, _) in values.items()]
     )
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        blocked.withColumn("_run", F.max("_v").over(inside))
-        .join(carry, keys)
-        .withColumn(out, F.greatest("_carry", "_run"))
-        .drop("_v", "_run", "_carry", name)
-    )
+    running = blocked.withColumns(
+        {f"_r_{out}": fold[kind](f"_v_{out}").over(inside) for out, (kind, _) in values.items()}
+    ).join(carry, keys)
+
+    def total(out: str, kind: str) -> Column:
+        before, here = F.col(f"_c_{out}"), F.col(f"_r_{out}")
+        if kind == "max":
+            return F.greatest(before, here)
+        return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+
+    helpers = [f"{mark}{out}" for out in values for mark in ("_v_", "_c_", "_r_")]
+    return running.withColumns({out: total(out, kind) for out, (kind, _) in values.items()}).drop(*helpers, name)
+
+
+def blocked_running_max(
+    df: DataFrame, part: Sequence[str], block: Block, order: Sequence[Column | str], value: Column, out: str
+) -> DataFrame:
+    return blocked_running(df, part, block, order, {out: ("max", value)})

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tiermem.functions.scan import Block, blocked_row_number
+from tiermem.functions.scan import Block, blocked_row_number, blocked_running
 from tiermem.operators.checks import ACTIONS
 
 
+PLACE_BLOCK = 1024
+
+
 @dataclass(frozen=True)
 class Thresholds:
     extraction_ratio: float = 1.5
@@ -274,21 +277,22 @@ def replay_membership(passes: DataFrame, scene_fx: DataFrame, moves: DataFrame)
     per_pass = judged.groupBy("scene_id", "place").agg(
         F.sum("delta").alias("delta"), F.max("bad").alias("bad")
     )
-    run = Window.partitionBy("scene_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    sized = (
-        live.select("scene_id", "pass_id", "place", "base", "members_before", "members_after")
-        .join(per_pass, ["scene_id", "place"], "left")
-        .fillna(0, ["delta"])
-        .withColumn("after", F.sum("delta").over(run))
-        .withColumn("before", F.col("after") - F.col("delta"))
-        .withColumn("_seen", F.count(F.lit(1)).over(run))
-    )
+    # Running sums over the passes of a scene, block by block: one scene may hold most rows.
+    block = ("_blk", F.floor(F.col("place") / PLACE_BLOCK))
+    rows = live.select("scene_id", "pass_id", "place", "base", "members_before", "members_after").join(
+        per_pass, ["scene_id", "place"], "left"
+    ).fillna(0, ["delta"])
+    sized = blocked_running(
+        rows, ["scene_id"], block, ["place"], {"after": ("sum", F.col("delta")), "_seen": ("sum", F.lit(1))}
+    ).withColumn("before", F.col("after") - F.col("delta"))
     wrong = (
         F.coalesce("bad", F.lit(False)) | (F.col("members_before") != F.col("before"))
         | (F.col("members_after") != F.col("after"))
     )
     gap = F.col("_seen") < F.col("place") - F.col("base") + 1
-    flagged = sized.withColumn("_partial", F.max(wrong).over(run) | gap)
+    flagged = blocked_running(
+        sized.withColumn("_wrong", wrong), ["scene_id"], block, ["place"], {"_ever": ("max", F.col("_wrong"))}
+    ).withColumn("_partial", F.col("_ever") | gap)
     quality = flagged.select(
         "scene_id", "pass_id", "place",
         F.when(F.col("_partial"), "partial").otherwise("complete").alias("quality"),

@@ -1601,7 +1601,29 @@ def _replay_inputs(v: MemoryViews) -> tuple[DataFrame, DataFrame, DataFrame]:
     return v.passes.select("pass_id", F.col("pass_no").alias("place")), effects, moves
 
 
-@register("replay_membership_k11")
+@register("replay_membership_k11", """
+WITH RECURSIVE fx AS MATERIALIZED (
+  SELECT e.scene_id, e.pass_id, p.pass_no AS place, e.members_before, e.members_after,
+         list_transform(range(1, e.n_added + 1), lambda i: concat('a-', i + p.pass_no % 3)) AS added,
+         list_transform(range(1, e.n_removed + 1), lambda i: concat('a-', i + p.pass_no % 2)) AS removed,
+         min(CASE WHEN e.effect = 'created' AND e.members_before = 0 AND e.n_added = e.members_after THEN p.pass_no END)
+           OVER (PARTITION BY e.scene_id) AS base
+  FROM scene_effects e JOIN passes p ON p.pass_id = e.pass_id),
+live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY place) AS n FROM fx WHERE place >= base),
+walk(scene_id, pass_id, place, base, n, had, members, wrong) AS (
+  SELECT scene_id, pass_id, place, base, n, 0::BIGINT, added,
+         members_before <> 0 OR len(removed) > 0 OR members_after <> len(added) FROM live WHERE n = 1
+  UNION ALL
+  SELECT scene_id, pass_id, place, base, n, had, after, wrong OR members_before <> had OR members_after <> len(after) FROM (
+    SELECT l.scene_id, l.pass_id, l.place, l.base, l.n, len(w.members) AS had, l.members_before, l.members_after,
+           list_concat(list_filter(w.members, lambda x: NOT list_contains(l.removed, x)),
+                       list_filter(l.added, lambda x: NOT list_contains(w.members, x) OR list_contains(l.removed, x))) AS after,
+           w.wrong OR len(list_filter(l.removed, lambda x: NOT list_contains(w.members, x))) > 0
+             OR len(list_filter(l.added, lambda x: list_contains(w.members, x))) > 0 AS wrong
+    FROM walk w JOIN live l ON l.scene_id = w.scene_id AND l.n = w.n + 1) x)
+SELECT scene_id, pass_id, place, CASE WHEN wrong OR n < place - base + 1 THEN 'partial' ELSE 'complete' END AS quality,
+       had AS before, len(members) AS after FROM walk
+UNION ALL SELECT scene_id, pass_id, place, 'unavailable', 0, 0 FROM fx WHERE base IS NULL OR place < base""")
 def _(v):
     return audit.replay_membership(*_replay_inputs(v))[0]
 
