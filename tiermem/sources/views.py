@@ -76,7 +76,7 @@ class MemoryViews:
         )
 
     @cached_property
-    def atoms(self) -> DataFrame:
+    def _atom_rows(self) -> DataFrame:
         doc = F.col("doc_id")
         typed = self.documents.withColumn(
             "type", _pick(doc, ["fact", "pattern", "preference", "constraint", "instruction"])
@@ -89,24 +89,24 @@ class MemoryViews:
             F.min_by("text", "doc_id").alias("text"),
         )
         status = _pick(doc, ["active"] * 7 + ["superseded", "merged", "archived"])
-        return (
-            first.join(self.embeddings, "doc_id", "left")
-            .select(
-                "id",
-                _tenant(doc).alias("store_key"),
-                doc.alias("src_doc_id"),
-                "type",
-                F.col("text").alias("content"),
-                (doc * 7 % 101).alias("priority"),
-                _pick(doc, ["high", "medium", "low"]).alias("confidence"),
-                (doc % 50 == 0).alias("pinned"),
-                status.alias("status"),
-                (EPOCH_S + doc * 3600 % 5184000).alias("created_s"),
-                "embedding",
-                "label",
-            )
+        return first.select(
+            "id",
+            _tenant(doc).alias("store_key"),
+            doc.alias("src_doc_id"),
+            "type",
+            F.col("text").alias("content"),
+            (doc * 7 % 101).alias("priority"),
+            _pick(doc, ["high", "medium", "low"]).alias("confidence"),
+            (doc % 50 == 0).alias("pinned"),
+            status.alias("status"),
+            (EPOCH_S + doc * 3600 % 5184000).alias("created_s"),
         )
 
+    @cached_property
+    def atoms(self) -> DataFrame:
+        vectors = self.embeddings.withColumnRenamed("doc_id", "src_doc_id")
+        return self._atom_rows.join(vectors, "src_doc_id", "left")
+
     @cached_property
     def stored_atoms(self) -> DataFrame:
         """The atoms as a written table, for jobs that read them many times."""
@@ -119,7 +119,7 @@ class MemoryViews:
     @cached_property
     def atom_keys(self) -> DataFrame:
         """Atoms without their text and vectors, for joins that need neither."""
-        return self.atoms.drop("content", "embedding", "label")
+        return self._atom_rows.drop("content")
 
     @cached_property
     def atom_evidence(self) -> DataFrame:
