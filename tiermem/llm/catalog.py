@@ -8,8 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe
-from tiermem.llm.common import read
+from tiermem.llm import byte_bpe, language_id, toxicity
+from tiermem.llm.common import held_out, read
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels.filter(~held_out(4, 2)), "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held_out(3, 1)))
+    return language_id.predict(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +36,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
+    "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
