@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe, language_id, toxicity
+from tiermem.llm import byte_bpe, html_text, language_id, toxicity, url_filters
 from tiermem.llm.common import held_out, read
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filters.train(url_filters.labelled(spark))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "blocked_p")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(read(spark, sf_dir, "pages"), keep=("url",))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -36,6 +47,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op4_html_extraction": op4_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
