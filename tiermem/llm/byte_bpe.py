@@ -11,7 +11,9 @@ together give just these two) is memoised. The result equals merging by rank.
 from __future__ import annotations
 
 import base64
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,11 +26,24 @@ from pyspark.sql import functions as F
 from tiermem.llm.common import text_rows
 
 LONGEST_CACHED = 64
-CACHED_PIECES = 300_000
+CACHED_PIECES = 450_000
 CACHED_PAIRS = 300_000
 LONG_TEXT = 1 << 20
 
 
+#: Characters from U+0300 on, and separators that ``re`` alone counts as white space.
+FAR = re.compile("[^\x00-\x1b\x20-\u02ff]")
+
+
+def _near_pattern(pattern: str) -> str:
+    """The same pattern for the standard ``re``, its letter and number classes spelled out below U+0300."""
+    def members(kind: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
+
+    return pattern.replace(r"\p{L}]", members("L") + "]").replace(r"\p{N}]", members("N") + "]").replace(
+        r"[^\s\p{L}", r"[^\s" + members("L")).replace(r"\p{L}", f"[{members('L')}]").replace(r"\p{N}", f"[{members('N')}]")
+
+
 class ByteEncoder:
     """Encoder over a rank file (a base64 token and its rank per line)."""
 
@@ -37,7 +52,9 @@ class ByteEncoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.token = {rank: raw for raw, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.near_split = re.compile(_near_pattern(pattern))
+        self.size = {rank: len(raw) for raw, rank in self.ranks.items()}
+        self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
         self.automaton = ahocorasick.Automaton()
         self.prefix: dict[int, int] = {}
@@ -45,64 +62,74 @@ class ByteEncoder:
         for raw, rank in self.ranks.items():
             if self._merged(raw) == [rank]:  # a token that merges cannot build only stands for a whole piece
                 whole[raw] = rank
-                self.automaton.add_word(raw.decode("latin-1"), (rank, len(raw)))
+                self.automaton.add_word(raw.decode("latin-1"), rank)
         self.automaton.make_automaton()
         for raw, rank in whole.items():
             self.prefix[rank] = next((whole[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in whole), -1)
 
     def _merged(self, raw: bytes) -> list[int]:
         """Merge by rank, lowest first and leftmost among equals; used on one or two tokens at a time."""
-        parts, ranks = [raw[i:i + 1] for i in range(len(raw))], self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+        ranks, none = self.ranks, 1 << 60
+        parts = [raw[i:i + 1] for i in range(len(raw))]
+        joins = [ranks.get(raw[i:i + 2], none) for i in range(len(raw) - 1)]
+        while joins:
+            best = min(joins)
+            if best == none:
                 break
+            at = joins.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del joins[at]
+            if at:
+                joins[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+            if at < len(joins):
+                joins[at] = ranks.get(parts[at] + parts[at + 1], none)
         return [ranks[p] for p in parts]
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             known = self._merged(self.token[left] + self.token[right]) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
     def encode_piece(self, raw: bytes) -> list[int]:
-        if raw in self.ranks:
-            return [self.ranks[raw]]
-        longest: list[int] = [-1] * len(raw)
-        reach = [0] * len(raw)
-        for end, (rank, size) in self.automaton.iter(raw.decode("latin-1")):
-            start = end - size + 1
-            if size > reach[start]:
-                reach[start], longest[start] = size, rank
-        alive = bytearray(b"\x01") * (len(raw) + 1)
+        rank = self.ranks.get(raw)
+        if rank is not None:
+            return [rank]
+        size_of, prefix, pairs, size = self.size, self.prefix, self.pairs, len(raw)
+        longest: list[int] = [-1] * (size + 1)
+        for end, rank in self.automaton.iter(raw.decode("latin-1")):
+            # matches come by end, so a later one at the same start is longer
+            longest[end + 1 - size_of[rank]] = rank
+        dead: set[int] = set()
         out: list[int] = []
-        at, candidate = 0, longest[0]
-        while at < len(raw):
+        at, candidate, last = 0, longest[0], -1
+        while at < size:
             while candidate >= 0:
-                end = at + len(self.token[candidate])
-                if alive[end] and (not out or self.may_follow(out[-1], candidate)):
-                    break
-                candidate = self.prefix[candidate]
+                end = at + size_of[candidate]
+                if end not in dead:
+                    fits = last < 0 or pairs.get(last << 32 | candidate)
+                    if fits or fits is None and self.may_follow(last, candidate):
+                        break
+                candidate = prefix[candidate]
             if candidate >= 0:
                 out.append(candidate)
-                at = end
-                candidate = longest[at] if at < len(raw) else -1
+                last, at, candidate = candidate, end, longest[end]
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks single bytes of the text")
-                alive[at] = 0
-                last = out.pop()
-                at -= len(self.token[last])
-                candidate = self.prefix[last]
+                dead.add(at)
+                candidate = prefix[out[-1]]
+                at -= size_of[out.pop()]
+                last = out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        found = self.split.findall(text) if len(text) < LONG_TEXT else (m.group() for m in self.split.finditer(text))
+        split = self.split if FAR.search(text) else self.near_split
+        found = split.findall(text) if len(text) < LONG_TEXT else (m.group() for m in split.finditer(text))
         return b"".join(map(self.pieces.__getitem__, found))
 
     def decode(self, ids: bytes) -> bytes:
