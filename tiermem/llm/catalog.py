@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe, html_text, language_id, packing, top_k, toxicity, url_filters
+from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, packing, top_k, toxicity, url_filters
 from tiermem.llm.common import held_out, read
 
 
@@ -18,6 +18,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "blocked_p")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(read(spark, sf_dir, "pages"), keep=("url",))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -59,6 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_html_extraction": op4_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
