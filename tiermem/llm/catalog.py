@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, packing, top_k, toxicity, url_filters
+from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, packing, suffix_dedup, top_k, toxicity, url_filters
 from tiermem.llm.common import held_out, read
 
 
@@ -27,6 +27,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_html_extraction": op4_html_extraction,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
