@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, packing, suffix_dedup, top_k, toxicity, url_filters
+from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, near_vectors, packing, suffix_dedup, top_k, toxicity, url_filters
 from tiermem.llm.common import held_out, read
 
 
@@ -22,6 +22,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_classes(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(read(spark, sf_dir, "pages"), keep=("url",))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -69,6 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_toxicity": op6_toxicity,
