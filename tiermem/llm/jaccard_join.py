@@ -36,7 +36,7 @@ CACHED_WORDS = 300_000
 COUNTERS = 1 << 20
 CHUNKS = 64
 MEMBERS = 256
-QUERIES = 2048
+QUERIES = 512
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
