@@ -250,6 +250,8 @@ def _spanning(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray, own: bool) -> lis
         while len(front):                       # breadth first: columns the rows reach, then rows these reach
             reach = hit[front]
             new = np.flatnonzero(reach.any(0) & ~seen_b)
+            if not len(new):
+                break
             parent_b[new] = ia[front[reach[:, new].argmax(0)]]
             seen_b[new] = True
             if own:
