@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tiermem.llm.common import bucketed, cut_lineage
 
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 5 << 20  # of text, whose anchors take about half of that
 CHUNK = 1 << 18
 CROWDED = 5000
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -138,9 +139,9 @@ class Block:
         step = np.arange(len(repeat)) - np.repeat(np.cumsum(self.count[two]) - self.count[two], self.count[two])
         starts = self.low[repeat] + step
         key = np.empty(len(starts), np.uint64)
-        for a in range(0, len(starts), 1 << 15):
-            rows = self.buffer[starts[a:a + (1 << 15), None] + np.arange(self.length)]
-            key[a:a + (1 << 15)] = _mixed((TABLE[rows] * POWERS[:self.length]).sum(1, dtype=np.uint64) ^ MIX)
+        for a in range(0, len(starts), 1 << 13):
+            rows = self.buffer[starts[a:a + (1 << 13), None] + np.arange(self.length)]
+            key[a:a + (1 << 13)] = _mixed((TABLE[rows] * POWERS[:self.length]).sum(1, dtype=np.uint64) ^ MIX)
         low = np.concatenate([self.low[one], starts])
         gram, content = np.concatenate([self.gram[one], key]), np.concatenate([self.content[one], key])
         count = np.concatenate([self.count[one], np.ones(len(starts), np.int64)])
@@ -151,8 +152,8 @@ class Block:
         # equal hashes of content are one entry only if their bytes agree
         same = np.zeros(len(low), bool)
         near = np.flatnonzero((gram[1:] == gram[:-1]) & (content[1:] == content[:-1]) & (count[1:] == count[:-1]) & (offset[1:] == offset[:-1])) + 1
-        for a in range(0, len(near), 1 << 15):
-            some = near[a:a + (1 << 15)]
+        for a in range(0, len(near), 1 << 13):
+            some = near[a:a + (1 << 13)]
             reach = np.arange(2 * self.length)
             inside = reach < (count[some] + self.length - 1)[:, None]
             last = len(self.buffer) - 1
@@ -164,10 +165,11 @@ class Block:
                 "least": np.minimum.reduceat(doc, start) if len(start) else doc, "of": np.cumsum(~same) - 1, "low": low, "doc": doc}
 
 
-def _bucket_cuts(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among ascending keys."""
+def _bucket_cuts(grams: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The buckets of ascending keys, each with its part of them."""
     bucket = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    return [(int(bucket[i]), slice(int(i), int(j))) for i, j in zip(start, np.append(start[1:], len(bucket)))]
 
 
 def _least_of_runs(prefix: np.ndarray, text: np.ndarray, entry: np.ndarray, start: np.ndarray, group: np.ndarray, least: np.ndarray,
@@ -223,8 +225,8 @@ def _least_of_runs(prefix: np.ndarray, text: np.ndarray, entry: np.ndarray, star
     if n > 1:
         a, b = order[:-1], order[1:]
         near = np.flatnonzero(~new[1:] & (extension(a, b) == length))
-        for at in range(0, len(near), 1 << 15):                                # equal hashes are believed only if the bytes agree
-            some = near[at:at + (1 << 15)]
+        for at in range(0, len(near), 1 << 13):                                # equal hashes are believed only if the bytes agree
+            some = near[at:at + (1 << 13)]
             reach = np.arange(length)
             joined[some + 1] = (text[rows[a[some]][:, None], start[a[some]][:, None] + reach]
                                 == text[rows[b[some]][:, None], start[b[some]][:, None] + reach]).all(1)
@@ -242,14 +244,14 @@ def settle(gram: np.ndarray, count: np.ndarray, offset: np.ndarray, least: np.nd
     """
     n, width = text.shape
     hashed = np.empty(n, np.uint64)
-    for a in range(0, n, 1 << 14):
-        hashed[a:a + (1 << 14)] = (TABLE[text[a:a + (1 << 14)]] * POWERS[:width]).sum(1, dtype=np.uint64)
+    for a in range(0, n, 1 << 13):
+        hashed[a:a + (1 << 13)] = (TABLE[text[a:a + (1 << 13)]] * POWERS[:width]).sum(1, dtype=np.uint64)
     order = np.lexsort((hashed, offset, count, gram))
     a, b = order[:-1], order[1:]
     same = np.append(False, (gram[a] == gram[b]) & (count[a] == count[b]) & (offset[a] == offset[b]) & (hashed[a] == hashed[b]))[:n]
     near = np.flatnonzero(same)
-    for at in range(0, len(near), 1 << 15):
-        some = near[at:at + (1 << 15)]
+    for at in range(0, len(near), 1 << 13):
+        some = near[at:at + (1 << 13)]
         same[some] = (text[order[some]] == text[order[some - 1]]).all(1)
     start = np.flatnonzero(~same)
     kind = np.empty(n, np.int64)
@@ -262,8 +264,8 @@ def settle(gram: np.ndarray, count: np.ndarray, offset: np.ndarray, least: np.nd
     group = np.cumsum(new) - 1
     many = np.flatnonzero(np.bincount(group)[group] > 1)
     at = 0
-    while at < len(many):                                                      # whole groups, about 30,000 entries at a time
-        stop = min(len(many), at + 30_000)
+    while at < len(many):                                                      # whole groups, about 12,000 entries at a time
+        stop = min(len(many), at + 12_000)
         while stop < len(many) and group[many[stop]] == group[many[stop - 1]]:
             stop += 1
         some = many[at:stop]
@@ -309,6 +311,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, -(-total // BLOCK_BYTES))
+    buckets = max(parts, -(-total // BUCKET_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     stored = bucketed(rows, "block", parts)
 
@@ -322,11 +325,10 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     def ask_anchors(key, left, right):
         block, _ = _read_block(left, right, length)
         grams, flags = block.anchors()
-        cuts = _bucket_cuts(grams, parts)
-        used = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int64()),
-                         "grams": pa.array([_blob(grams[cuts[i]:cuts[i + 1]]) for i in used], pa.binary()),
-                         "flags": pa.array([_blob(flags[cuts[i]:cuts[i + 1]]) for i in used], pa.binary())})
+        cuts = _bucket_cuts(grams, buckets)
+        return pa.table({"bucket": pa.array([i for i, _ in cuts], pa.int32()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
+                         "grams": pa.array([_blob(grams[c]) for _, c in cuts], pa.binary()),
+                         "flags": pa.array([_blob(flags[c]) for _, c in cuts], pa.binary())})
 
     def answer_anchors(key, asked):
         sizes = [len(c) for c in asked.column("flags").to_pylist()]
@@ -352,17 +354,19 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     def ask_segments(key, left, right):
         block, had = _read_block(left, right, length)
         found = block.entries(codes_of(had))
-        cuts = _bucket_cuts(found["gram"], parts)
-        used = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
-        size = found["count"] + length - 1
-        ends = np.cumsum(size)
-        texts = block.buffer[np.repeat(found["at"] - ends + size, size) + np.arange(int(size.sum()))]
+        cuts = _bucket_cuts(found["gram"], buckets)
+
         def cell(name: str, kind) -> pa.Array:
-            return pa.array([_blob(found[name][cuts[i]:cuts[i + 1]].astype(kind)) for i in used], pa.binary())
-        text = [_blob(texts[ends[cuts[i]] - size[cuts[i]]:ends[cuts[i + 1] - 1]]) for i in used]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int64()),
+            return pa.array([_blob(found[name][c].astype(kind)) for _, c in cuts], pa.binary())
+
+        def text(part: slice) -> bytes:
+            size = found["count"][part] + length - 1
+            begin = np.cumsum(size) - size
+            return _blob(block.buffer[np.repeat(found["at"][part] - begin, size) + np.arange(int(size.sum()))])
+
+        return pa.table({"bucket": pa.array([i for i, _ in cuts], pa.int32()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
                          "gram": cell("gram", np.uint64), "count": cell("count", np.uint8), "offset": cell("offset", np.uint8),
-                         "least": cell("least", np.int64), "text": pa.array(text, pa.binary())})
+                         "least": cell("least", np.int64), "text": pa.array([text(c) for _, c in cuts], pa.binary())})
 
     def answer_segments(key, asked):
         def whole(name: str, kind) -> np.ndarray:
@@ -373,14 +377,16 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         begin = np.cumsum(size) - size
         width = int(size.max())
         text = np.zeros((len(count), width), np.uint8)
-        for a in range(0, len(count), 1 << 15):
+        for a in range(0, len(count), 1 << 13):
             reach = np.arange(width)
-            inside = reach < size[a:a + (1 << 15), None]
-            text[a:a + (1 << 15)][inside] = flat[(begin[a:a + (1 << 15), None] + reach)[inside]]
+            inside = reach < size[a:a + (1 << 13), None]
+            text[a:a + (1 << 13)][inside] = flat[(begin[a:a + (1 << 13), None] + reach)[inside]]
         kind, table = settle(whole("gram", np.uint64), count, whole("offset", np.uint8).astype(np.int64), whole("least", np.int64), text, length)
+        del text, flat, begin
         used = np.arange(table.shape[1])
-        alike = ((table[kind] == table[kind][:, :1]) | (used >= count[:, None])).all(1)
-        given = np.where(alike, 1, count)
+        counts = np.empty(len(table), np.int64)
+        counts[kind] = count
+        given = np.where(((table == table[:, :1]) | (used >= counts[:, None])).all(1), 1, counts)[kind]
         ends, firsts, seconds = np.cumsum(sizes), [], []
         for s, e in zip(sizes, ends):
             some = slice(e - s, e)
