@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tiermem.llm.common import bucketed, cut_lineage
 
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 5 << 20  # of text, whose anchors take about half of that
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 3 << 20  # of text, whose anchors take about half of that
 CHUNK = 1 << 18
 CROWDED = 5000
 BASE = np.uint64(0x5851F42D4C957F2D)
