@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiermem.llm.common import cut_lineage, text_rows
+from tiermem.llm.common import bucketed, cut_lineage, release, text_rows
 from tiermem.llm.components import components
 
 CACHED_WORDS = 300_000
 COUNTERS = 1 << 20
 CHUNKS = 64
 MEMBERS = 256
+BLOCK_TOKENS = 300_000
 QUERIES = 512
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -136,17 +137,72 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts, id_col: str, te
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id bigint, n bigint, sig binary, prefix binary")
 
 
-def _exploded(reps: DataFrame) -> DataFrame:
-    """A row (token, id, n) for every prefix token."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column(2)]
-            sizes = [len(t) for t in tokens]
-            yield pa.RecordBatch.from_pydict({
-                "token": pa.array(np.concatenate(tokens)), "id": pa.array(np.repeat(np.asarray(batch.column(0)), sizes)),
-                "n": pa.array(np.repeat(np.asarray(batch.column(1)), sizes))})
+def _in_block(left: pa.Table, right: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray, dict[int, bytes]]:
+    """A block's representatives (ids, sizes), their prefix tokens, and the answers by bucket."""
+    letters = list(zip(*(right.column(c).to_pylist() for c in ("kind", "number", "first"))))
+    copies = {(n, f) for k, n, f in letters if k == 0}
+    answers = {n: f for k, n, f in letters if k == 1}
+    rows = [(i, n, p) for i, n, g, p in zip(*(left.column(c).to_pylist() for c in ("id", "n", "sig", "prefix"))) if (i, g) not in copies]
+    tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
+    return rows, tokens, np.repeat(np.arange(len(rows)), [len(r[2]) // 8 for r in rows]), answers
 
-    return reps.select("id", "n", "prefix").mapInArrow(run, "token bigint, id bigint, n bigint")
+
+def _shared_posts(sets: DataFrame, copies: DataFrame, total: int) -> DataFrame:
+    """Rows (token, id, n) of the prefix tokens that at least two representatives hold.
+
+    Blocks of documents name each of their tokens once to the token's bucket and get one
+    answer per token, so tokens travel as packed numbers and a token that many
+    documents hold costs a row per block.
+    """
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-total // BLOCK_TOKENS))
+    stored = bucketed(sets.select("id", "n", "sig", "prefix").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "block", parts)
+    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    letters = "block bigint, kind int, number bigint, first binary"
+    mail = cut_lineage(copies.select(block_of.alias("block"), F.lit(0).alias("kind"), F.col("id").alias("number"), F.col("sig").alias("first")))
+
+    def cuts_of(tokens: np.ndarray) -> list[tuple[int, slice]]:
+        bucket = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        return [(int(bucket[i]), slice(int(i), int(j))) for i, j in zip(start, [*start[1:], len(bucket)])]
+
+    def ask(key, left, right):
+        _, tokens, _, _ = _in_block(left, right)
+        names, counts = np.unique(tokens, return_counts=True)
+        cuts, many = cuts_of(names), (counts > 1).astype(np.uint8)
+        return pa.table({"bucket": pa.array([i for i, _ in cuts], pa.int64()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
+                         "tokens": pa.array([names[c].tobytes() for _, c in cuts], pa.binary()),
+                         "many": pa.array([many[c].tobytes() for _, c in cuts], pa.binary())})
+
+    def answer(key, asked):
+        sizes = [len(m) for m in asked.column("many").to_pylist()]
+        tokens = np.frombuffer(b"".join(asked.column("tokens").to_pylist()), np.uint64)
+        many = np.frombuffer(b"".join(asked.column("many").to_pylist()), np.uint8)
+        _, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        held = counts > 1
+        held[back[many == 1]] = True
+        bits, ends = held[back], np.cumsum(sizes)
+        return pa.table({"block": asked.column("block"), "kind": pa.array([1] * len(sizes), pa.int32()),
+                         "number": pa.array([key[0].as_py()] * len(sizes), pa.int64()),
+                         "first": pa.array([np.packbits(bits[e - s:e]).tobytes() for s, e in zip(sizes, ends)], pa.binary())})
+
+    def post(key, left, right):
+        rows, tokens, owner, answers = _in_block(left, right)
+        names, back = np.unique(tokens, return_inverse=True)
+        held = np.zeros(len(names), bool)
+        for i, c in cuts_of(names):
+            held[c] = np.unpackbits(np.frombuffer(answers[i], np.uint8), count=c.stop - c.start).astype(bool)
+        keep = held[back]
+        ids, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        return pa.table({"token": pa.array(tokens[keep].view(np.int64)), "id": pa.array(ids[owner[keep]]), "n": pa.array(sizes[owner[keep]])})
+
+    def with_mail(letter: DataFrame, step, schema: str) -> DataFrame:
+        return stored.groupBy("block").cogroup(letter.groupBy("block")).applyInArrow(step, schema)
+
+    asked = with_mail(mail, ask, "bucket bigint, block bigint, tokens binary, many binary")
+    mail = mail.unionByName(cut_lineage(asked.groupBy("bucket").applyInArrow(answer, letters)))
+    return cut_lineage(with_mail(mail, post, "token bigint, id bigint, n bigint"))
 
 
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -250,12 +306,13 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     counts = spark.sparkContext.broadcast(_token_counts(docs, words, id_col, text_col))
     sets = cut_lineage(_prefixes(docs, words, percent, counts, id_col, text_col))
     same = sets.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = sets.join(same, (sets["sig"] == same["sig"]) & (sets["id"] == same["rep"]), "left_semi").select("id", "n", "prefix")
+    copies = sets.select("id", "sig").join(same, "sig").filter("id <> rep").select("id", "sig")
+    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
 
     # tokens that two representatives share, with the smallest of them as leader
-    tokens = _exploded(reps)
-    shared = tokens.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last")
-    posts = cut_lineage(tokens.join(shared.select("token", "leader"), "token"))
+    posts = _shared_posts(sets.filter(F.col("prefix").isNotNull() & F.col("id").isNotNull()), copies, total // 8)
+    leaders = posts.groupBy("token").agg(F.min("id").alias("leader"))
+    posts = cut_lineage(posts.join(leaders, "token"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.03)))
     members = posts.groupBy("id").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("band", band)
     members = cut_lineage(members.withColumn("grp", F.xxhash64("leader", "band")))
@@ -278,6 +335,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     met = cut_lineage(met.select("id", "grp", "pivot"))
     used = met.select("id").unionByName(met.select(F.col("pivot").alias("id"))).unionByName(
         members.join(met.select("grp").distinct(), "grp", "left_semi").select("id")).distinct()
+    used = cut_lineage(used)
+    release(spark)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_")).join(used, "id")
     full = cut_lineage(_sets(chosen, words, "id", "text_"))
 
