@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tiermem.functions import scan
 from tiermem.functions.streamhash import ordered_sha256
 from tiermem.functions.vectors import hash_embed
-from tiermem.operators import audit, checks, distill, ingest, inventory, latency, replies, scenes, usage
+from tiermem.operators import audit, checks, distill, ingest, inventory, latency, lifecycle, replies, scenes, usage
 from tiermem.sources import snapshot
 
 
@@ -279,11 +279,69 @@ def test_snapshot_and_manifest(spark, views, tmp_path):
 
 
 def test_episode_without_evidence(spark):
-    evidence = spark.createDataFrame([("a", "t1")], "atom_id string, stream_id string")
-    turns = spark.createDataFrame([("t1", "s1")], "id string, session_id string")
-    atoms = spark.createDataFrame([("a", "active")], "id string, status string")
+    evidence = spark.createDataFrame([("k", "a", "t1")], "store_key string, atom_id string, stream_id string")
+    turns = spark.createDataFrame([("k", "t1", "s1")], "store_key string, id string, session_id string")
+    atoms = spark.createDataFrame([("k", "a", "active")], "store_key string, id string, status string")
     gone = "episode:" + hashlib.sha256(b"s2").hexdigest()[:24]
-    previous = spark.createDataFrame([(gone, "a")], "scene_id string, atom_id string")
+    previous = spark.createDataFrame([("k", gone, "a")], "store_key string, scene_id string, atom_id string")
     for flag, count in ((False, 1), (True, 2)):
-        effects = scenes.episodes(evidence, turns, atoms, previous, previous.select("scene_id"), flag)[1].collect()
+        effects = scenes.episodes(evidence, turns, atoms, previous, previous.select("store_key", "scene_id"), flag)[1].collect()
         assert len(effects) == count and ({r.effect for r in effects} == {"created", "retired"}) == flag
+
+
+def test_requests_and_deletes_stay_in_their_store(spark):
+    atoms = spark.createDataFrame([("a", "x", "active"), ("b", "x", "active")], "store_key string, id string, status string")
+    requests = spark.createDataFrame(
+        [(1, "a", "archive", "x"), (2, "a", "archive", "x"), (3, "b", "supersede", "x"), (4, "b", "archive", "x")],
+        "request_id long, store_key string, op string, atom_id string")
+    got = {tuple(r) for r in lifecycle.lifecycle_changes(requests, atoms).collect()}
+    assert got == {(1, "x", "a", "archived"), (3, "x", "b", "superseded")}
+    edges = spark.createDataFrame([("a", "x", "t"), ("b", "x", "t")], "store_key string, atom_id string, stream_id string")
+    members = spark.createDataFrame([("a", "s", "x"), ("b", "s", "x")], "store_key string, scene_id string, atom_id string")
+    left = lifecycle.delete_atoms(atoms.where("store_key = 'a'"), atoms, edges, members)
+    assert [[r.store_key for r in df.collect()] for df in left] == [["b"], ["b"], ["b"]]
+
+
+def test_a_trace_shows_only_its_own_store(spark):
+    atoms = spark.createDataFrame(
+        [("a", "x", "archived", "old of a"), ("b", "x", "active", "text of b"), ("b", "y", "active", "only b")],
+        "store_key string, id string, status string, content string")
+    scenes_ = spark.createDataFrame([], "store_key string, scene_id string, status string, scene_kind string, title string, summary string")
+    core = spark.createDataFrame([], "store_key string, content string")
+    items = spark.createDataFrame(
+        [("r1", "a", 0, "T1", "ranked", "x"), ("r1", "a", 1, "T1", "ranked", "y"), ("r2", "b", 0, "T1", "ranked", "x")],
+        "recall_id string, store_key string, ordinal long, tier string, source string, item_id string")
+    shown, stale = usage.reconstruct(items, atoms, scenes_, core)
+    texts = {r.recall_id: r.context for r in shown.collect()}
+    assert texts["r1"] == "" and "text of b" in texts["r2"]
+    assert {(r.item_id, r.reason) for r in stale.collect()} == {("x", "archived"), ("y", "not_found")}
+
+
+def test_writes_of_a_batch_count_in_order(spark):
+    columns = "store_key string, id string, type string, content string, confidence string, at long"
+    new = spark.createDataFrame(
+        [("a", "x", "fact", "one", "high", 2), ("a", "x", "fact", "two", "high", 3), ("a", "x", "fact", "one", "low", 4),
+         ("b", "x", "fact", "two", "high", 1)], columns)
+    changes, rejected = ingest.upsert_atoms(new, new.limit(0), order="at")
+    assert {(r.store_key, r["at"], r.op) for r in changes.collect()} == {("a", 2, "insert"), ("a", 4, "update"), ("b", 1, "insert")}
+    assert [(r.store_key, r.reason) for r in rejected.collect()] == [("a", "content_immutable")]
+
+
+def test_a_turn_sent_again_is_a_duplicate(spark):
+    columns = "arrival long, id string, store_key string, session_id string, turn_index long, turn_id string, content string"
+    new = spark.createDataFrame([(1, "t", "a", "s", 0, "k", "x"), (2, "t", "a", "s", 0, "k", "x"), (3, "u", "a", "s", 1, "l", "y")], columns)
+    accepted, duplicates, conflicts = ingest.ingest_turns(new, new.limit(0))
+    assert [r.arrival for r in accepted.orderBy("arrival").collect()] == [1, 3] and not conflicts.collect()
+    assert [(r.arrival, r.kept_id) for r in duplicates.collect()] == [(2, "t")]
+    again, duplicates, _ = ingest.ingest_turns(new, new.where("arrival = 1"))
+    assert [r.id for r in again.collect()] == ["u"] and duplicates.count() == 2
+
+
+def test_usage_reports_of_a_batch_count_in_order(spark):
+    items = spark.createDataFrame([("r", "T1", "a", "unknown"), ("r", "T1", "b", "unknown")], "recall_id string, tier string, item_id string, usage string")
+    reports = spark.createDataFrame(
+        [("p1", "r", "T1", "a", "used"), ("p2", "r", "T1", "a", "unused"), ("p2", "r", "T1", "b", "used"), ("p3", "r", "T1", "b", "unused"),
+         ("p4", "r", "T1", "a", "used")], "report_id string, recall_id string, tier string, item_id string, target string")
+    updated, unchanged, rejected = usage.apply_usage(reports, items)
+    assert {(r.report_id, r.item_id) for r in updated.collect()} == {("p1", "a"), ("p3", "b")}
+    assert [r.report_id for r in unchanged.collect()] == ["p4"] and [r.report_id for r in rejected.collect()] == ["p2"]

@@ -1,6 +1,7 @@
 """Nearest neighbours, clustering and context assembly against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tiermem.functions import vectors
@@ -22,7 +23,6 @@ def test_nearest_both_ways_equal_brute_force(views, monkeypatch):
         scored = [(-round(float(np.array(q.embedding, dtype="float64") @ v), 9), i) for s, i, v in facts if s == q.store_key]
         want += [(q.query_id, i, -s) for s, i in sorted(scored)[:7]]
     assert top(vectors.nearest(queries, atoms, 7), 7) == sorted(want)
-    monkeypatch.setattr(vectors, "FIXED_ROWS", 10)
     monkeypatch.setattr(vectors, "SLICE_ROWS", 20)
     assert top(vectors.nearest(queries, atoms, 7, fixed_rows=10), 7) == sorted(want)
 
@@ -33,10 +33,10 @@ def sequential(points, threshold):
         known = leaders.setdefault(store, [])
         best = max(((round(float(vector @ v), 9), -at) for at, (_, v) in enumerate(known)), default=(-9, 0))
         if best[0] >= threshold:
-            out[name] = known[-best[1]][0]
+            out[store, name] = known[-best[1]][0]
         else:
             known.append((name, vector))
-            out[name] = name
+            out[store, name] = name
     return out
 
 
@@ -44,10 +44,24 @@ def test_leader_rounds_equal_sequential_rule(views):
     atoms = views.atoms.where("embedding IS NOT NULL").select("store_key", "id", "embedding").cache()
     points = [(r.store_key, r.id, np.array(r.embedding, dtype="float64")) for r in atoms.collect()]
     for threshold, front in ((0.3, 2048), (0.3, 7), (0.6, 25)):
-        got = {r.atom_id: r.leader_id for r in clusters.leader_clusters(atoms, threshold, front, fixed_rows=30).collect()}
+        got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(atoms, threshold, front, fixed_rows=30).collect()}
         assert got == sequential(points, threshold)
 
 
+def test_stores_with_one_id_cluster_apart(spark):
+    rows = [("a", "p", [1.0, 0.0]), ("a", "q", [0.0, 1.0]), ("b", "q", [1.0, 0.0]), ("b", "r", [1.0, 0.0])]
+    data = spark.createDataFrame(rows, "store_key string, id string, embedding array<float>")
+    got = {tuple(r)[:3] for r in clusters.leader_clusters(data, 0.9).collect()}
+    assert got == {("a", "p", "p"), ("a", "q", "q"), ("b", "q", "q"), ("b", "r", "q")}
+
+
+def test_vectors_of_unequal_length_are_refused(spark):
+    rows = [("a", "p", [1.0, 0.0, 0.0]), ("a", "q", [1.0])]
+    data = spark.createDataFrame(rows, "store_key string, id string, embedding array<float>")
+    with pytest.raises(Exception):
+        clusters.leader_clusters(data, 0.9).collect()
+
+
 def test_near_copies_share_one_leader(spark):
     rows = [("s", f"a{n:04d}", [1.0, 0.0]) for n in range(300)] + [("s", "b", [0.0, 1.0])]
     data = spark.createDataFrame(rows, "store_key string, id string, embedding array<float>")
@@ -112,7 +126,7 @@ def greedy(pairs):
 def test_topic_rounds_equal_greedy_order(spark):
     rng = np.random.default_rng(3)
     pairs = [(f"l{a}", f"t{b}", float(round(rng.random(), 2))) for a in range(12) for b in range(9) if rng.random() < 0.5]
-    data = spark.createDataFrame(pairs, "leader_id string, scene_id string, jaccard double")
+    data = spark.createDataFrame([("s", *p) for p in pairs], "store_key string, leader_id string, scene_id string, jaccard double")
     assert {r.leader_id: r.scene_id for r in scenes._greedy(data).collect()} == greedy(pairs)
 
 

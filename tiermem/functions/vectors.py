@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 SCORE_DIGITS = 9
-# Most fixed rows one task holds (and the bound for a broadcast), streamed rows per slice.
+# Most fixed rows one task holds, streamed rows per slice.
 FIXED_ROWS = 8192
 SLICE_ROWS = 200_000
 
@@ -43,15 +43,18 @@ def is_valid_vector(vector: Column, dim: int) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows of one matrix; unequal lengths are an error (``check_vectors`` finds them)."""
+    sizes = np.asarray(column.value_lengths())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of unequal length in one store; reject them with check_vectors first")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _rows(columns: tuple[list, list, list]) -> pa.RecordBatch:
+def _rows(key: str, columns: tuple[list, list, list]) -> pa.RecordBatch:
     types = [pa.string(), pa.string(), pa.float64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(values, type=kind) for values, kind in zip(columns, types)], ["fixed_id", "id", "score"]
-    )
+    arrays = [pa.array(values, type=kind) for values, kind in zip(columns, types)]
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), pa.string()), *arrays], ["k", "fixed_id", "id", "score"])
 
 
 class _TopN:
@@ -101,39 +104,15 @@ class _BestEarlier:
         return [], [], []
 
 
-def _from_broadcast(streamed: DataFrame, fixed: pa.Table, scorer: Callable) -> DataFrame:
-    groups: dict[str, tuple[list[str], np.ndarray]] = {}
-    keys = np.asarray(fixed.column(0).to_pylist(), dtype=object)
-    for key in dict.fromkeys(keys.tolist()):
-        part = fixed.take(pa.array(np.flatnonzero(keys == key))).combine_chunks()
-        vectors = part.column(2).combine_chunks()
-        groups[key] = (part.column(1).to_pylist(), _matrix(vectors))
-    shared = streamed.sparkSession.sparkContext.broadcast(groups)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[str, object] = {}
-        for batch in batches:
-            keys = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            ids = np.asarray(batch.column(1).to_pylist(), dtype=object)
-            for key in dict.fromkeys(keys.tolist()):
-                if key in shared.value:
-                    if key not in open_:
-                        open_[key] = scorer(*shared.value[key])
-                    picked = np.flatnonzero(keys == key)
-                    yield _rows(open_[key].feed(ids[picked], _matrix(batch.column(2).take(pa.array(picked)))))
-        for one in open_.values():
-            yield _rows(one.finish())
-
-    return streamed.mapInArrow(run, "fixed_id string, id string, score double")
-
+def _meet(streamed: DataFrame, fixed: DataFrame, scorer: Callable, fixed_rows: int) -> DataFrame:
+    """Score streamed rows (k, id, v) against fixed rows (k, id, v) of the same key.
 
-def _from_shuffle(streamed: DataFrame, fixed: DataFrame, scorer: Callable) -> DataFrame:
-    """Fixed rows in blocks, streamed rows in slices; every (block, slice) of a key is one sorted run.
+    Fixed rows in blocks, streamed rows in slices; every (block, slice) of a key is one sorted run.
 
     A key with many rows has many slices, so a hot key is spread; the fixed rows of a
     block are repeated once per slice and the streamed rows once per block.
     """
-    blocks = fixed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / FIXED_ROWS).cast("int").alias("n_blocks"))
+    blocks = fixed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / fixed_rows).cast("int").alias("n_blocks"))
     slices = streamed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("n_slices"))
     sizes = blocks.join(slices, "k")
 
@@ -161,7 +140,7 @@ def _from_shuffle(streamed: DataFrame, fixed: DataFrame, scorer: Callable) -> Da
                     end += 1
                 if marks[start][:3] != current:
                     if one is not None:
-                        yield _rows(one.finish())
+                        yield _rows(current[0], one.finish())
                     current, ids, vectors, one = marks[start][:3], [], [], None
                 part = batch.slice(start, end - start)
                 if marks[start][3] == 0:
@@ -170,24 +149,12 @@ def _from_shuffle(streamed: DataFrame, fixed: DataFrame, scorer: Callable) -> Da
                 elif ids:
                     one = one or scorer(ids, np.concatenate(vectors))
                     names = np.asarray(part.column(4).to_pylist(), dtype=object)
-                    yield _rows(one.feed(names, _matrix(part.column(5))))
+                    yield _rows(current[0], one.feed(names, _matrix(part.column(5))))
                 start = end
         if one is not None:
-            yield _rows(one.finish())
-
-    return runs.mapInArrow(run, "fixed_id string, id string, score double")
+            yield _rows(current[0], one.finish())
 
-
-def _meet(streamed: DataFrame, fixed: DataFrame, scorer: Callable, fixed_rows: int) -> DataFrame:
-    """Score streamed rows (k, id, v) against fixed rows (k, id, v) of the same key.
-
-    Up to ``fixed_rows`` fixed rows are broadcast and the streamed side is not
-    shuffled at all; beyond that bound both sides are shuffled in blocks.
-    """
-    head = fixed.limit(fixed_rows + 1).toArrow()
-    if head.num_rows <= fixed_rows:
-        return _from_broadcast(streamed, head, scorer)
-    return _from_shuffle(streamed, fixed, scorer)
+    return runs.mapInArrow(run, "k string, fixed_id string, id string, score double")
 
 
 def _side(df: DataFrame, id_col: str, key: str = "store_key", vec: str = "embedding") -> DataFrame:
@@ -204,16 +171,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, n: int, fixed_rows: int = FIX
     found = _meet(
         _side(corpus, "id"), _side(queries, "query_id"), lambda ids, m: _TopN(ids, m, n), fixed_rows
     )
-    return found.withColumnRenamed("fixed_id", "query_id")
+    return found.select(F.col("fixed_id").alias("query_id"), "id", "score")
 
 
 def best_leader(
     rows: DataFrame, leaders: DataFrame, only_smaller_ids: bool = False, fixed_rows: int = FIXED_ROWS
 ) -> DataFrame:
-    """(id, leader_id, score): the most similar leader of every row, lowest id on a tie."""
+    """(store_key, id, leader_id, score): the most similar leader of every row, lowest id on a tie."""
     found = _meet(
         _side(rows, "id"), _side(leaders, "id"), lambda ids, m: _BestEarlier(ids, m, only_smaller_ids), fixed_rows
     )
-    return found.groupBy("id").agg(
+    return found.groupBy(F.col("k").alias("store_key"), "id").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "fixed_id")).alias("b")
-    ).select("id", F.col("b.fixed_id").alias("leader_id"), (-F.col("b.s")).alias("score"))
+    ).select("store_key", "id", F.col("b.fixed_id").alias("leader_id"), (-F.col("b.s")).alias("score"))

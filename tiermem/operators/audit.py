@@ -64,8 +64,8 @@ def list_passes(
 
 
 def sample_decisions(decisions: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` decisions uniformly by a seeded hash of their id: repeatable, top-n per task."""
-    return decisions.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    """``n`` decisions uniformly by a seeded SHA-256 of pass and id: repeatable anywhere, top-n per task."""
+    return decisions.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "pass_id", "id"), 256), "id").limit(n)
 
 
 def pass_counters(decisions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -101,16 +101,16 @@ def extraction_warnings(passes: DataFrame, decisions: DataFrame, t: Thresholds =
     empty = rows.where((turns >= t.empty_min_turns) & (n == 0))
     return _warn(
         large, "large_extraction",
-        F.concat(n.cast("string"), F.lit(" candidate(s) extracted from "), turns.cast("string"), F.lit(" turn(s)")),
+        F.concat(n.cast("string"), F.lit(" candidates out of "), turns.cast("string"), F.lit(f" turns; limit {t.extraction_ratio:g} per turn")),
     ).unionByName(_warn(
-        empty, "empty_extraction", F.concat(F.lit("0 candidates extracted from "), turns.cast("string"), F.lit(" turns"))
+        empty, "empty_extraction", F.concat(turns.cast("string"), F.lit(f" turns gave no candidate; expected from {t.empty_min_turns} turns on"))
     ))
 
 
 def merge_warnings(decisions: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     rows = decisions.where((F.col("action") == "merge") & (F.col("n_targets") >= t.merge_atoms))
     return _warn(rows, "large_merge", F.concat(
-        F.lit("merge absorbed "), F.col("n_targets").cast("string"), F.lit(" active atom(s) (decision "), "id", F.lit(")"),
+        F.lit("decision "), "id", F.lit(" merges "), F.col("n_targets").cast("string"), F.lit(f" atoms; limit {t.merge_atoms}"),
     ))
 
 
@@ -118,14 +118,14 @@ def scene_warnings(scene_fx: DataFrame, t: Thresholds = Thresholds()) -> DataFra
     share = (F.col("n_added") + F.col("n_removed")) / F.greatest("members_before", "members_after", F.lit(1))
     rows = scene_fx.where(~F.col("effect").isin("created", "retired") & (share > t.scene_churn))
     return _warn(rows, "scene_churn", F.concat(
-        F.col("scene_kind"), F.lit(" scene "), "scene_id", F.lit(" membership changed "), _percent(share), F.lit("%"),
+        _percent(share), F.lit("% of the members of "), F.col("scene_kind"), F.lit(" "), "scene_id", F.lit(f" moved; limit {t.scene_churn:.0%}"),
     ))
 
 
 def growth_warnings(decisions: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     stored = decisions.where("action = 'store'").groupBy("pass_id").agg(F.count(F.lit(1)).alias("n"))
     return _warn(stored.where(F.col("n") >= t.growth_spike), "atom_growth_spike", F.concat(
-        F.col("n").cast("string"), F.lit(" new atom(s) stored in a single pass"),
+        F.lit("the pass stored "), F.col("n").cast("string"), F.lit(f" atoms; limit {t.growth_spike}"),
     ))
 
 
@@ -133,8 +133,8 @@ def supersession_warnings(ages: DataFrame, t: Thresholds = Thresholds()) -> Data
     age = F.col("age_minutes")
     rows = ages.where(F.col("action").isin("update", "merge") & (age >= 0) & (age < t.rapid_minutes))
     return _warn(rows, "rapid_supersession", F.concat(
-        F.lit("atom "), "target_id", F.lit(" superseded/absorbed "),
-        F.floor(age + 0.5).cast("long").cast("string"), F.lit(" min after creation (decision "), "decision_id", F.lit(")"),
+        F.lit("decision "), "decision_id", F.lit(" replaces "), "target_id", F.lit(", which is "),
+        F.floor(age + 0.5).cast("long").cast("string"), F.lit(f" minutes old; limit {t.rapid_minutes:g}"),
     ))
 
 
@@ -143,8 +143,8 @@ def core_warnings(core_fx: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
     share = F.abs(new - old) / F.greatest(old, F.lit(1))
     rows = core_fx.where((F.col("effect") == "regenerated") & (old > 0) & (share > t.core_churn))
     return _warn(rows, "core_churn", F.concat(
-        F.lit("core size changed "), _percent(share), F.lit("% ("), old.cast("string"), F.lit(" → "),
-        new.cast("string"), F.lit(" chars)"),
+        F.lit("profile went from "), old.cast("string"), F.lit(" to "), new.cast("string"), F.lit(" characters, "),
+        _percent(share), F.lit(f"%; limit {t.core_churn:.0%}"),
     ))
 
 
@@ -182,19 +182,19 @@ def data_gaps(
         return F.when(condition, F.struct(F.lit(tier).alias("tier"), notice.alias("notice")))
 
     def of(have: str, want: str, tail: str) -> Column:
-        return F.concat(F.lit("Only "), F.col(have).cast("string"), F.lit(" of "), F.col(want).cast("string"), F.lit(tail))
+        return F.concat(F.col(have).cast("string"), F.lit(" of "), F.col(want).cast("string"), F.lit(tail))
 
     always = F.lit(True)
     gaps = F.array(
-        gap(always, "T1", F.lit("Historical atom status/count snapshots were not retained.")),
-        gap(always, "T2", F.lit("Historical scene summaries and complete scene snapshots were not retained.")),
-        gap(always, "T3", F.lit("Historical core text was not retained.")),
+        gap(always, "T1", F.lit("Earlier counts and states of atoms are not kept.")),
+        gap(always, "T2", F.lit("Earlier texts and member lists of scenes are not kept.")),
+        gap(always, "T3", F.lit("Earlier profile texts are not kept.")),
         gap((F.col("input_turn_count") > 0) & (F.col("turns") < F.col("input_turn_count")), "T0",
-            of("turns", "input_turn_count", " pass input turns remain.")),
+            of("turns", "input_turn_count", " turns of the pass are still stored.")),
         gap(F.col("dec") < F.col("candidate_count"), "T1",
-            of("dec", "candidate_count", " decision audit rows are available.")),
-        gap(F.col("scn") == 0, "T2", F.lit("No scene effect rows were recorded for this pass.")),
-        gap(F.col("cor") == 0, "T3", F.lit("No core effect row was recorded for this pass.")),
+            of("dec", "candidate_count", " decisions of the pass are logged.")),
+        gap(F.col("scn") == 0, "T2", F.lit("The pass logged no scene effect.")),
+        gap(F.col("cor") == 0, "T3", F.lit("The pass logged no profile effect.")),
     )
     return rows.select("pass_id", F.explode(F.filter(gaps, lambda g: g.isNotNull())).alias("g")).select("pass_id", "g.*")
 
@@ -228,8 +228,8 @@ def scene_changed(scene_fx: DataFrame) -> DataFrame:
 
 
 def membership_diff(moves: DataFrame, after: DataFrame) -> DataFrame:
-    """moves(pass_id, scene_id, atom_id, change) and members after -> removed, kept, added rows."""
-    keys = ["pass_id", "scene_id", "atom_id"]
+    """moves(store_key, pass_id, scene_id, atom_id, change) and members after -> removed, kept, added rows."""
+    keys = ["store_key", "pass_id", "scene_id", "atom_id"]
     marker = F.when(F.col("change") == "added", "+").otherwise("-")
     moved = moves.where(F.col("change").isin("added", "removed")).select(*keys, marker.alias("marker"))
     kept = after.select(keys).join(moved.where("marker = '+'"), keys, "left_anti")

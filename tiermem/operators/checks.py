@@ -44,11 +44,11 @@ def check_atoms(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def check_immutable(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A known id may not come back with another text or type."""
+    """An id that its store knows may not come back with another text or type."""
     known = current.select(
-        "id", F.col("type").alias("_type"), F.sha2("content", 256).alias("_content")
+        "store_key", "id", F.col("type").alias("_type"), F.sha2("content", 256).alias("_content")
     )
-    joined = new.join(known, "id", "left")
+    joined = new.join(known, ["store_key", "id"], "left")
     other_content = F.sha2("content", 256) != F.col("_content")
     reason = F.when(other_content, "content_immutable").when(
         F.col("type") != F.col("_type"), "type_immutable"

@@ -72,7 +72,7 @@ def recall_atoms_legacy(
     )
     asked = queries.join(used, "store_key", "left").fillna(0, ["n_pinned", "pinned_chars"])
     room = F.greatest(F.lit(limit) - F.col("n_pinned"), F.lit(0)) * 3
-    hits = search.search_atoms(asked, atoms, as_of_s, room, max_limit=limit * 3)
+    hits = search.search_atoms(asked, atoms, as_of_s, room)
     shown = text.truncate(F.col("content"), text.LEGACY_CAP)
     ranked = (
         hits.join(fits.select("store_key", "id"), ["store_key", "id"], "left_anti")
@@ -133,13 +133,14 @@ def _fill(candidates: DataFrame, caps: DataFrame, tier: str) -> DataFrame:
 
 def assemble_context(
     queries: DataFrame, atoms: DataFrame, scenes: DataFrame, core: DataFrame, as_of_s: int,
-    shares: Shares = Shares(), max_budget: int = text.MAX_BUDGET,
+    shares: Shares = Shares(),
     weights: search.Weights = search.Weights(),
 ) -> DataFrame:
     """queries(query_id, store_key, text, embedding, budget) -> one context row per query.
 
     Unused budget spills forward: pinned -> atoms -> scenes -> core. Pinned stops at
-    the first misfit, atoms and scenes skip and go on.
+    the first misfit, atoms and scenes skip and go on. Pools are sized from the largest
+    budget and the largest caps the queries have, so none is cut below what it may use.
     """
     total = shares.total()
 
@@ -154,7 +155,7 @@ def assemble_context(
     }).withColumn(
         "core_share", F.col("budget") - F.col("pinned_cap") - F.col("atom_share") - F.col("scene_share")
     )
-    largest_pinned = int(max_budget * shares.pinned / total)
+    largest_pinned = int(base.agg(F.max("pinned_cap")).first()[0] or 0)
     prefix = pinned_prefix(atoms, largest_pinned)
     caps = base.select("query_id", "store_key", "pinned_cap")
     order = F.struct("place", "id", "chars")
@@ -163,16 +164,14 @@ def assemble_context(
         F.coalesce(F.max(F.when(F.col("running") <= F.col("pinned_cap"), F.col("running"))), F.lit(0)).alias("pinned_chars"),
         F.max(F.col("running") > F.col("pinned_cap")).alias("pinned_missed"),
     )
-    staged = base.join(admitted, "query_id", "left").fillna(0, ["pinned_chars"]).withColumns({
+    staged = cut_lineage(base.join(admitted, "query_id", "left").fillna(0, ["pinned_chars"]).withColumns({
         "pinned_missed": F.coalesce("pinned_missed", F.lit(False)),
         "atom_cap": F.col("atom_share") + F.col("pinned_cap") - F.coalesce("pinned_chars", F.lit(0)),
-    })
+    }))
 
-    largest_atoms = largest_pinned + int(max_budget * shares.atoms / total)
-    atom_limit = max(15, -(-largest_atoms * 3 // 200))
     hits = search.search_atoms(
         staged.select("query_id", "store_key", "text", "embedding", "atom_cap"), atoms, as_of_s,
-        atom_pool(F.col("atom_cap")), max_limit=atom_limit, weights=weights,
+        atom_pool(F.col("atom_cap")), weights=weights,
     ).where("NOT pinned")
     atom_text = text.truncate(F.col("content"), text.ATOM_CAP)
     sized = hits.join(
@@ -185,11 +184,9 @@ def assemble_context(
         "scene_cap", F.col("scene_share") + F.col("atom_cap") - F.col("atom_chars")
     ))
 
-    largest_scenes = largest_atoms + int(max_budget * shares.scenes / total)
-    scene_limit = max(8, -(-largest_scenes * 3 // 600))
     scene_hits = search.search_scenes(
         staged.select("query_id", "store_key", "text", "embedding", "scene_cap"), scenes,
-        scene_pool(F.col("scene_cap")), max_limit=scene_limit,
+        scene_pool(F.col("scene_cap")),
     )
     rendered = text.truncate(
         text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary")), text.SCENE_CAP

@@ -45,8 +45,9 @@ def ingest_turns(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFra
         joined = rows.join(_owner(rows, "turn_index", "_i"), ["store_key", "session_id", "turn_index"], "left").join(
             _owner(rows, "turn_id", "_t"), ["store_key", "session_id", "turn_id"], "left"
         )
-        first_i = F.col("_i").isNull() | (F.col("_i.id") == F.col("id"))
-        first_t = F.col("_t").isNull() | (F.col("_t.id") == F.col("id"))
+        # a row owns a key if the owner is this very arrival: the same turn sent again is another arrival
+        first_i = F.col("_i").isNull() | ((F.col("_i.arrival") == F.col("arrival")) & (F.col("_i.id") == F.col("id")))
+        first_t = F.col("_t").isNull() | ((F.col("_t.arrival") == F.col("arrival")) & (F.col("_t.id") == F.col("id")))
         same_text = F.col("_i.digest") == F.col("digest")
         same_index = F.col("_t.turn_index").eqNullSafe(F.col("turn_index"))
         by_index = ~first_i & (F.col("_i.state") == "accepted")
@@ -66,13 +67,13 @@ def ingest_turns(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFra
         ))
         if rows.where("state = 'open'").isEmpty():
             break
-    verdicts = rows.where("arrival >= 0").select("id", "state", "kept_id")
-    judged = new.select(columns).join(verdicts, "id")
+    verdicts = rows.where("arrival >= 0").select("arrival", "id", "state", "kept_id")
+    judged = new.select(columns).join(verdicts, ["arrival", "id"])
     return (
         judged.where("state = 'accepted'").drop("state", "kept_id"),
-        judged.where("state = 'duplicate'").select("id", "store_key", "session_id", "kept_id"),
+        judged.where("state = 'duplicate'").select("arrival", "id", "store_key", "session_id", "kept_id"),
         judged.where(F.col("state").isin("index_conflict", "turn_id_conflict")).select(
-            "id", "store_key", "session_id", F.col("state").alias("reason")
+            "arrival", "id", "store_key", "session_id", F.col("state").alias("reason")
         ),
     )
 
@@ -85,15 +86,26 @@ def assign_seq(turns: DataFrame, heads: DataFrame, block: Block, order: list[str
     ).drop("_rn", "head")
 
 
-def upsert_atoms(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Validated atom writes -> (change rows, rejected rows with a reason)."""
+def upsert_atoms(new: DataFrame, current: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Validated atom writes -> (change rows, rejected rows with a reason).
+
+    Writes of one (store, id) within the batch count in the order of the column
+    ``order`` (of type and text without one): the first valid one sets text and type of an id
+    the store does not hold yet, and later ones must agree with it.
+    """
     good, bad_domain = check_atoms(atom_defaults(new))
-    fine, changed = check_immutable(good, current)
-    known = current.select("id", F.lit(True).alias("_known"))
-    changes = fine.join(known, "id", "left").withColumn(
-        "op", F.when(F.col("_known"), "update").otherwise("insert")
-    ).drop("_known")
-    return changes, bad_domain.select("id", "reason").unionByName(changed.select("id", "reason"))
+    key = ["store_key", "id"]
+    place = F.struct(*([order] if order else []), "type", "content")
+    first = good.groupBy(*key).agg(F.min(F.struct(place.alias("place"), "type", "content")).alias("f"))
+    held = current.select(*key, "type", "content")
+    opened = first.select(*key, "f.type", "f.content").join(held.select(*key), key, "left_anti")
+    fine, changed = check_immutable(good, held.unionByName(opened))
+    known = held.select(*key, F.lit(True).alias("_known"))
+    lead = first.select(*key, F.col("f.place").alias("_first"))
+    op = F.when(F.col("_known") | (place != F.col("_first")), "update").otherwise("insert")
+    changes = fine.join(known, key, "left").join(lead, key).withColumn("op", op).drop("_known", "_first")
+    columns = [*key, "reason"]
+    return changes, bad_domain.select(columns).unionByName(changed.select(columns))
 
 
 def core_snapshot(rows: DataFrame) -> DataFrame:

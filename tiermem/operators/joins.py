@@ -9,20 +9,21 @@ EVIDENCE_LIMITS = {False: (10, 1000), True: (50, 5000)}
 SEQ_BLOCK = 64
 
 
-def atoms_of(keys: DataFrame, evidence: DataFrame, turns: DataFrame) -> DataFrame:
-    """Distinct atoms for a batch of sessions (keys: session_id)."""
-    edges = evidence.select("atom_id", F.col("stream_id").alias("id"))
-    wanted = turns.select("id", "session_id").join(keys.select("session_id").distinct(), "session_id")
-    return wanted.join(edges, "id").select("session_id", "atom_id").distinct()
+def atoms_of(keys: DataFrame, evidence: DataFrame, turns: DataFrame, by: str = "session_id") -> DataFrame:
+    """Distinct atoms for a batch of sessions, or of turns with ``by="id"`` (keys: store_key, ``by``)."""
+    edges = evidence.select("store_key", "atom_id", F.col("stream_id").alias("id"))
+    wanted = turns.select("store_key", *dict.fromkeys(("id", by))).join(keys.select("store_key", by).distinct(), ["store_key", by])
+    return wanted.join(edges, ["store_key", "id"]).select("store_key", by, "atom_id").distinct()
 
 
 def evidence_of(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
-    return evidence.join(atoms.select("atom_id").distinct(), "atom_id", "left_semi")
+    """Edges of a batch of atoms (store_key, atom_id)."""
+    return evidence.join(atoms.select("store_key", "atom_id").distinct(), ["store_key", "atom_id"], "left_semi")
 
 
 def sessions_of(evidence: DataFrame, turns: DataFrame) -> DataFrame:
-    edges = evidence.select("atom_id", F.col("stream_id").alias("id"))
-    return edges.join(turns.select("id", "session_id"), "id").select("atom_id", "session_id").distinct()
+    edges = evidence.select("store_key", "atom_id", F.col("stream_id").alias("id"))
+    return edges.join(turns.select("store_key", "id", "session_id"), ["store_key", "id"]).select("store_key", "atom_id", "session_id").distinct()
 
 
 def scenes_of(atoms: DataFrame, members: DataFrame, scenes: DataFrame, kind: str | None = None) -> DataFrame:
@@ -30,8 +31,8 @@ def scenes_of(atoms: DataFrame, members: DataFrame, scenes: DataFrame, kind: str
     if kind:
         live = live.where(F.col("scene_kind") == kind)
     return (
-        members.join(atoms.select("atom_id").distinct(), "atom_id", "left_semi")
-        .join(live.select("scene_id", "scene_kind", "title", "updated_s"), "scene_id")
+        members.join(atoms.select("store_key", "atom_id").distinct(), ["store_key", "atom_id"], "left_semi")
+        .join(live.select("store_key", "scene_id", "scene_kind", "title", "updated_s"), ["store_key", "scene_id"])
     )
 
 
@@ -70,23 +71,23 @@ def evidence_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """The first turns of every atom and of every pass window that decisions need.
 
-    (of_atom(atom_id, stream_id, place), of_pass(pass_id, stream_id, place)). They are
-    chosen on (key, seq) alone, once per atom and pass, before decisions or texts join.
+    (of_atom(store_key, atom_id, stream_id, place), of_pass(store_key, pass_id, ...)). They
+    are chosen on (key, seq) alone, once per atom and pass, before decisions or texts join.
     """
     short = turns.select(F.col("id").alias("stream_id"), "store_key", "seq")
 
     def first_turns(rows: DataFrame, key: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(key).orderBy("seq", "stream_id"))
+        place = F.row_number().over(Window.partitionBy("store_key", key).orderBy("seq", "stream_id"))
         kept = rows.withColumn("_rn", place).where(F.col("_rn") <= max_turns)
-        return kept.select(key, "stream_id", F.col("_rn").cast("long").alias("place"))
+        return kept.select("store_key", key, "stream_id", F.col("_rn").cast("long").alias("place"))
 
-    wrote = decisions.where("atom_id IS NOT NULL").select("atom_id")
-    edges = evidence.select("atom_id", "stream_id").join(wrote, "atom_id", "left_semi")
-    of_atom = first_turns(edges.join(short.drop("store_key"), "stream_id"), "atom_id")
+    wrote = decisions.where("atom_id IS NOT NULL").select("store_key", "atom_id")
+    edges = evidence.select("store_key", "atom_id", "stream_id").join(wrote, ["store_key", "atom_id"], "left_semi")
+    of_atom = first_turns(edges.join(short, ["store_key", "stream_id"]), "atom_id")
 
-    skipped = decisions.where("atom_id IS NULL").select("pass_id")
+    skipped = decisions.where("atom_id IS NULL").select("store_key", "pass_id")
     start = F.coalesce("watermark_start", F.lit(0))
-    windows = passes.join(skipped, "pass_id", "left_semi").select(
+    windows = passes.join(skipped, ["store_key", "pass_id"], "left_semi").select(
         "pass_id", "store_key", start.alias("window_start"), "watermark_end"
     )
     heads = turns.groupBy("store_key").agg(F.max("seq").alias("_head"))
@@ -98,9 +99,9 @@ def evidence_sets(
 
 
 def with_evidence_text(rows: DataFrame, turns: DataFrame, max_chars: int) -> DataFrame:
-    texts = turns.select(F.col("id").alias("stream_id"), "session_id", "role", "content")
+    texts = turns.select("store_key", F.col("id").alias("stream_id"), "session_id", "role", "content")
     is_long = F.length("content") > max_chars
-    return rows.join(texts, "stream_id").withColumns({
+    return rows.join(texts, ["store_key", "stream_id"]).withColumns({
         "content": F.when(is_long, F.concat(F.substring("content", 1, max_chars), F.lit("…"))).otherwise(F.col("content")),
         "truncated": is_long,
     })
@@ -117,23 +118,23 @@ def decision_evidence(
     """
     max_turns, max_chars = EVIDENCE_LIMITS[verbose]
     of_atom, of_pass = evidence_sets(decisions, passes, evidence, turns, max_turns)
-    keys = decisions.select(F.col("id").alias("decision_id"), "pass_id", "atom_id")
-    columns = ["decision_id", "stream_id", "place"]
-    by_atom = keys.where("atom_id IS NOT NULL").join(of_atom, "atom_id").select(columns)
-    by_pass = keys.where("atom_id IS NULL").join(of_pass, "pass_id").select(columns)
+    keys = decisions.select("store_key", F.col("id").alias("decision_id"), "pass_id", "atom_id")
+    columns = ["store_key", "decision_id", "stream_id", "place"]
+    by_atom = keys.where("atom_id IS NOT NULL").join(of_atom, ["store_key", "atom_id"]).select(columns)
+    by_pass = keys.where("atom_id IS NULL").join(of_pass, ["store_key", "pass_id"]).select(columns)
     return with_evidence_text(by_atom.unionByName(by_pass), turns, max_chars)
 
 
 def orphans(index: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
-    """Index rows whose base row is gone."""
-    return index.join(base.select(key), key, "left_anti")
+    """Index rows whose base row is gone from their store."""
+    return index.join(base.select("store_key", key), ["store_key", key], "left_anti")
 
 
 def target_ages(targets: DataFrame, passes: DataFrame, atoms: DataFrame) -> DataFrame:
     """Age in minutes of every decision target when its pass decided."""
-    times = passes.select("pass_id", "started_s")
-    born = atoms.select(F.col("id").alias("target_id"), "created_s")
+    times = passes.select("store_key", "pass_id", "started_s")
+    born = atoms.select("store_key", F.col("id").alias("target_id"), "created_s")
     age: Column = (F.col("started_s") - F.col("created_s")) / 60.0
-    return targets.join(times, "pass_id").join(born, "target_id").select(
+    return targets.join(times, ["store_key", "pass_id"]).join(born, ["store_key", "target_id"]).select(
         "pass_id", "decision_id", "action", "target_id", F.round(age, 6).alias("age_minutes")
     )

@@ -6,67 +6,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def lifecycle_changes(requests: DataFrame, atoms: DataFrame) -> DataFrame:
-    """requests(request_id, op, atom_id) -> change rows; archive only hits active atoms."""
+    """requests(request_id, store_key, op, atom_id) -> change rows, in the order of the request ids.
+
+    Archiving only hits an atom that is active when its turn comes: any earlier request of
+    the batch for the same atom has already taken it out of that state, or was itself an
+    archiving that found it inactive.
+    """
     status = F.create_map(
         F.lit("supersede"), F.lit("superseded"), F.lit("merge"), F.lit("merged"),
         F.lit("archive"), F.lit("archived"),
     )
-    joined = requests.join(atoms.select(F.col("id").alias("atom_id"), "store_key", "status"), "atom_id")
-    return joined.where("op <> 'archive' OR status = 'active'").select(
+    known = atoms.select("store_key", F.col("id").alias("atom_id"), "status")
+    first = requests.groupBy("store_key", "atom_id").agg(F.min("request_id").alias("_first"))
+    joined = requests.join(known, ["store_key", "atom_id"]).join(first, ["store_key", "atom_id"])
+    return joined.where("op <> 'archive' OR (status = 'active' AND request_id = _first)").select(
         "request_id", "atom_id", "store_key", status[F.col("op")].alias("new_status")
     )
 
 
 def current_atoms(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Fold the change log: per atom and field the newest non-null value wins."""
+    """Fold the change log: per atom and field the newest non-null value wins (tags where the log has them)."""
 
     def newest(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("change_seq"))).alias(name)
 
-    folded = changes.groupBy("atom_id").agg(
-        newest("new_status"), newest("new_confidence"), newest("new_pinned"),
-        F.max("changed_s").alias("changed_s"),
-    ).withColumnRenamed("atom_id", "id")
-    return base.join(folded, "id", "left").withColumns({
-        "status": F.coalesce("new_status", "status"),
-        "confidence": F.coalesce("new_confidence", "confidence"),
-        "pinned": F.coalesce("new_pinned", "pinned"),
+    fields = ["status", "confidence", "pinned", *(["tags"] if "new_tags" in changes.columns else [])]
+    if "tags" in fields and "tags" not in base.columns:
+        base = base.withColumn("tags", F.array().cast("array<string>"))
+    folded = changes.groupBy("store_key", F.col("atom_id").alias("id")).agg(
+        *[newest(f"new_{name}") for name in fields], F.max("changed_s").alias("changed_s"),
+    )
+    return base.join(folded, ["store_key", "id"], "left").withColumns({
+        **{name: F.coalesce(f"new_{name}", name) for name in fields},
         "updated_s": F.greatest("created_s", "changed_s"),
-    }).drop("new_status", "new_confidence", "new_pinned", "changed_s")
+    }).drop(*[f"new_{name}" for name in fields], "changed_s")
 
 
 def delete_turns(
     keys: DataFrame, turns: DataFrame, evidence: DataFrame, by: str = "id"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(turns left, evidence left, affected atoms); atoms themselves are never touched."""
-    gone = turns.join(keys.select(by).distinct(), by, "left_semi").select(F.col("id").alias("stream_id"))
-    affected = evidence.join(gone, "stream_id", "left_semi").select("store_key", "atom_id").distinct()
-    return (
-        turns.join(keys.select(by).distinct(), by, "left_anti"),
-        evidence.join(gone, "stream_id", "left_anti"),
-        affected,
-    )
+    """(turns left, evidence left, affected atoms) for keys (store_key, ``by``); atoms themselves are never touched."""
+    wanted = keys.select("store_key", by).distinct()
+    gone = turns.join(wanted, ["store_key", by], "left_semi").select("store_key", F.col("id").alias("stream_id"))
+    edge = ["store_key", "stream_id"]
+    affected = evidence.join(gone, edge, "left_semi").select("store_key", "atom_id").distinct()
+    return turns.join(wanted, ["store_key", by], "left_anti"), evidence.join(gone, edge, "left_anti"), affected
 
 
 def delete_atoms(
     keys: DataFrame, atoms: DataFrame, evidence: DataFrame, members: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    by_id, by_atom = keys.select("id"), keys.select(F.col("id").alias("atom_id"))
+    """Atoms, edges and memberships without the atoms in keys (store_key, id)."""
+    by_id, by_atom = keys.select("store_key", "id"), keys.select("store_key", F.col("id").alias("atom_id"))
     return (
-        atoms.join(by_id, "id", "left_anti"),
-        evidence.join(by_atom, "atom_id", "left_anti"),
-        members.join(by_atom, "atom_id", "left_anti"),
+        atoms.join(by_id, ["store_key", "id"], "left_anti"),
+        evidence.join(by_atom, ["store_key", "atom_id"], "left_anti"),
+        members.join(by_atom, ["store_key", "atom_id"], "left_anti"),
     )
 
 
 def delete_scenes(keys: DataFrame, scenes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gone = keys.select("scene_id")
-    return scenes.join(gone, "scene_id", "left_anti"), members.join(gone, "scene_id", "left_anti")
+    gone = keys.select("store_key", "scene_id")
+    key = ["store_key", "scene_id"]
+    return scenes.join(gone, key, "left_anti"), members.join(gone, key, "left_anti")
 
 
 def add_edges(new: DataFrame, edges: DataFrame) -> DataFrame:
     """Idempotent union of evidence edges."""
-    return edges.unionByName(new.select(edges.columns)).dropDuplicates(["atom_id", "stream_id"])
+    return edges.unionByName(new.select(edges.columns)).dropDuplicates(["store_key", "atom_id", "stream_id"])
 
 
 def upgrade(df: DataFrame, schema: dict[str, str], defaults: dict[str, Column]) -> DataFrame:

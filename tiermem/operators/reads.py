@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tiermem.functions.scan import blocked_row_number
 
 LAST_INDEX = 999999999
 GRAM = 3
@@ -80,9 +79,9 @@ def list_scenes(
 
 
 def lookup(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
-    """Rows for a batch of ids, whatever their status; unknown ids are flagged."""
+    """Rows for a batch of ids (store_key, key), whatever their status; ids their store does not know are flagged."""
     found = table.withColumn("found", F.lit(True))
-    return ids.select(key).distinct().join(found, key, "left").withColumn(
+    return ids.select("store_key", key).distinct().join(found, ["store_key", key], "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
 
@@ -127,10 +126,3 @@ def resolve_topics(requests: DataFrame, scenes: DataFrame) -> DataFrame:
         )
     )
 
-
-def rank_in_store(df: DataFrame, order: str, block: int, id_col: str = "id") -> DataFrame:
-    """Newest-first position of every row in its store, without a store-wide task."""
-    newest = -F.col(order)
-    return blocked_row_number(
-        df, ["store_key"], [("_blk", F.floor(newest / block))], [newest, F.col(id_col)], "place"
-    )

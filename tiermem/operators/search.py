@@ -172,6 +172,11 @@ def with_limit(queries: DataFrame, limit, overfetch: int) -> DataFrame:
     return queries.withColumn("cut", cut.cast("int")).withColumn("fetch", F.col("cut") * overfetch)
 
 
+def _largest(queries: DataFrame, limit) -> int:
+    """The largest limit any query asks for, read from the queries: nothing is cut below it."""
+    return limit if isinstance(limit, int) else max(1, int(queries.agg(F.max(limit)).first()[0] or 1))
+
+
 def blend(hits: DataFrame, atoms: DataFrame, as_of_s: int, weights: Weights = Weights()) -> DataFrame:
     """Active hits re-scored with recency, priority and confidence; the cut came first."""
     live = atoms.where("status = 'active'").select(
@@ -213,11 +218,11 @@ def scene_docs(scenes: DataFrame) -> DataFrame:
 
 
 def search_atoms(
-    queries: DataFrame, atoms: DataFrame, as_of_s: int, limit=10, max_limit: int | None = None,
+    queries: DataFrame, atoms: DataFrame, as_of_s: int, limit=10,
     weights: Weights = Weights(),
 ) -> DataFrame:
-    """``limit`` is a number or a column; a column needs the largest value it can take."""
-    top = max_limit or limit
+    """``limit`` is a number or a column of the queries."""
+    top = _largest(queries, limit)
     asked = with_limit(queries, limit, ATOM_OVERFETCH)
     return blend(_hybrid(asked, atom_docs(atoms), top * ATOM_OVERFETCH), atoms, as_of_s, weights)
 
@@ -229,9 +234,9 @@ def search_turns(queries: DataFrame, turns: DataFrame, limit: int = 10) -> DataF
 
 
 def search_scenes(
-    queries: DataFrame, scenes: DataFrame, limit=10, max_limit: int | None = None
+    queries: DataFrame, scenes: DataFrame, limit=10
 ) -> DataFrame:
-    top = max_limit or limit
+    top = _largest(queries, limit)
     asked = with_limit(queries, limit, TEXT_OVERFETCH)
     hits = _hybrid(asked, scene_docs(scenes), top * TEXT_OVERFETCH)
     live = scenes.where("status = 'active'").select(F.col("scene_id").alias("id"), "store_key")

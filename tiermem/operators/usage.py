@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tiermem.functions import text
 from tiermem.operators.context import render
+from tiermem.session import cut_lineage
 
 
-def apply_usage(reports: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_usage(reports: DataFrame, items: DataFrame, order: str = "report_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """reports(report_id, recall_id, tier, item_id, target) -> (updated, unchanged, rejected).
 
-    One unknown item, one item in both lists or one used/unused flip rejects the
-    whole report; the verdict is an aggregate per report, joined back.
+    One unknown item, one item in both lists or one used/unused flip rejects the whole
+    report. Reports of a batch count in the order of ``order`` (unique per report): an item
+    that an earlier accepted report has marked cannot be marked otherwise by a later one.
+    A report is settled once no earlier open one names an unmarked item of it; a marked
+    item settles all later reports that disagree, so the rounds are few.
     """
-    refs = reports.groupBy("report_id", "recall_id", "tier", "item_id").agg(
-        F.min("target").alias("target"), (F.min("target") != F.max("target")).alias("both")
+    item = ["recall_id", "tier", "item_id"]
+    refs = reports.groupBy("report_id", *item).agg(
+        F.min("target").alias("target"), (F.min("target") != F.max("target")).alias("both"), F.min(order).alias("_place")
     )
-    known = items.select("recall_id", "tier", "item_id", F.col("usage").alias("current")).distinct()
-    judged = refs.join(known, ["recall_id", "tier", "item_id"], "left")
-    flip = F.col("current").isin("used", "unused") & (F.col("current") != F.col("target"))
-    verdict = (
-        judged.groupBy("report_id")
-        .agg(
-            F.max(F.col("current").isNull()).alias("unknown"),
-            F.max(F.col("both") | F.coalesce(flip, F.lit(False))).alias("clash"),
+    known = items.select(*item, F.col("usage").alias("current")).distinct()
+    refs = cut_lineage(refs.join(known, item, "left"))
+    marked = F.col("current").isin("used", "unused")
+    flip = F.coalesce(marked & (F.col("current") != F.col("target")), F.lit(False))
+    verdicts, open_ = None, refs
+    while True:
+        waits = F.max(F.when(~marked, F.col("_place") != F.col("_first")).otherwise(F.lit(False)))
+        first = open_.groupBy(*item).agg(F.min("_place").alias("_first"))
+        judged = open_.join(first, item).groupBy("report_id").agg(
+            F.max(F.col("current").isNull()).alias("unknown"), F.max(F.col("both") | flip).alias("clash"), waits.alias("waits")
         )
-        .select("report_id", F.when(F.col("unknown"), "unknown_items")
-                .when(F.col("clash"), "conflict").alias("reason"))
-    )
-    marked = judged.join(verdict, "report_id")
-    fine = marked.where("reason IS NULL").drop("reason", "both")
-    same = F.col("current") == F.col("target")
-    rejected = verdict.where("reason IS NOT NULL")
-    return fine.where(~same), fine.where(same), rejected
+        reason = F.when(F.col("unknown"), "unknown_items").when(F.col("clash"), "conflict")
+        settled = judged.select("report_id", reason.alias("reason"), F.coalesce("waits", F.lit(False)).alias("waits"))
+        settled = cut_lineage(settled.where("reason IS NOT NULL OR NOT waits").drop("waits"))
+        verdicts = settled if verdicts is None else verdicts.unionByName(settled)
+        fresh = open_.join(settled.where("reason IS NULL"), "report_id", "left_semi").select(*item, F.col("target").alias("_new"))
+        open_ = open_.join(settled, "report_id", "left_anti").join(fresh.distinct(), item, "left")
+        open_ = cut_lineage(open_.withColumn("current", F.when(marked, F.col("current")).otherwise(F.coalesce("_new", "current"))).drop("_new"))
+        if open_.isEmpty():
+            break
+    accepted = verdicts.where("reason IS NULL").select("report_id")
+    fine = refs.join(accepted, "report_id", "left_semi")
+    lead = fine.groupBy(*item).agg(F.min("_place").alias("_first"))
+    fine = fine.join(lead, item)
+    same = marked | (F.col("_place") != F.col("_first")) | (F.col("current") == F.col("target"))
+    out = ["report_id", *item, "target", "current"]
+    return fine.where(~same).select(out), fine.where(same).select(out), verdicts.where("reason IS NOT NULL")
 
 
 def trace_inventory(traces: DataFrame, items: DataFrame) -> DataFrame:
@@ -87,12 +102,12 @@ def context_efficiency(items: DataFrame) -> DataFrame:
 
 def usage_by_kind(items: DataFrame, atoms: DataFrame, scenes: DataFrame) -> DataFrame:
     """Usage per atom type and scene kind; items of one id collapse before the joins."""
-    per_item = items.where("tier IN ('T1', 'T2')").groupBy("tier", "item_id").agg(*_usage_counts())
-    kinds = atoms.select(F.lit("T1").alias("tier"), F.col("id").alias("item_id"), F.col("type").alias("kind"))
+    per_item = items.where("tier IN ('T1', 'T2')").groupBy("store_key", "tier", "item_id").agg(*_usage_counts())
+    kinds = atoms.select("store_key", F.lit("T1").alias("tier"), F.col("id").alias("item_id"), F.col("type").alias("kind"))
     kinds = kinds.unionByName(
-        scenes.select(F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), F.col("scene_kind").alias("kind"))
+        scenes.select("store_key", F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), F.col("scene_kind").alias("kind"))
     )
-    return per_item.join(kinds, ["tier", "item_id"], "left").groupBy(
+    return per_item.join(kinds, ["store_key", "tier", "item_id"], "left").groupBy(
         "tier", F.coalesce("kind", F.lit("gone")).alias("kind")
     ).agg(*[F.sum(state).alias(state) for state in ("used", "unused", "unknown")])
 
@@ -101,15 +116,15 @@ def _resolved(items: DataFrame, atoms: DataFrame, scenes: DataFrame, core: DataF
     """items + the current text and the reason an item is stale (null when live)."""
     body = text.truncate(F.col("content"), text.ATOM_CAP)
     t1 = items.where("tier = 'T1'").join(
-        atoms.select(F.col("id").alias("item_id"), F.col("status").alias("_s"), body.alias("body")),
-        "item_id", "left",
+        atoms.select("store_key", F.col("id").alias("item_id"), F.col("status").alias("_s"), body.alias("body")),
+        ["store_key", "item_id"], "left",
     )
     scene_body = text.truncate(
         text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary")), text.SCENE_CAP
     )
     t2 = items.where("tier = 'T2'").join(
-        scenes.select(F.col("scene_id").alias("item_id"), F.col("status").alias("_s"), scene_body.alias("body")),
-        "item_id", "left",
+        scenes.select("store_key", F.col("scene_id").alias("item_id"), F.col("status").alias("_s"), scene_body.alias("body")),
+        ["store_key", "item_id"], "left",
     )
     t3 = items.where("tier = 'T3'").join(
         core.where("content <> ''").select("store_key", F.lit("active").alias("_s"), F.col("content").alias("body")),
@@ -147,11 +162,11 @@ def last_recall(
         F.max(F.struct("created_s", "recall_id")).alias("n")
     ).select("n.recall_id", "n.created_s")
     wanted = items.join(newest, "recall_id")
-    t1 = atoms.select(F.lit("T1").alias("tier"), F.col("id").alias("item_id"), F.col("content").alias("_c"))
+    t1 = atoms.select("store_key", F.lit("T1").alias("tier"), F.col("id").alias("item_id"), F.col("content").alias("_c"))
     joined = F.concat_ws(" — ", F.when(F.col("title") != "", F.col("title")),
                          F.when(F.col("summary") != "", F.col("summary")))
-    t2 = scenes.select(F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), joined.alias("_c"))
-    resolved = wanted.where("tier <> 'T3'").join(t1.unionByName(t2), ["tier", "item_id"], "left")
+    t2 = scenes.select("store_key", F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), joined.alias("_c"))
+    resolved = wanted.where("tier <> 'T3'").join(t1.unionByName(t2), ["store_key", "tier", "item_id"], "left")
     cores = wanted.where("tier = 'T3'").join(core.select("store_key", F.col("content").alias("_c")), "store_key", "left")
     shown = text.snippet(F.col("_c"))
     columns = ["store_key", "recall_id", "created_s", "ordinal", "tier", "item_id", "source", "usage", "_c"]
@@ -167,7 +182,3 @@ def prune(traces: DataFrame, items: DataFrame, days: int, as_of_s: int) -> tuple
     kept = traces.where(F.col("created_s") >= as_of_s - days * 86400)
     return kept, items.join(kept.select("recall_id"), "recall_id", "left_semi")
 
-
-def latest_rank(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("place", place).where(F.col("place") <= n)

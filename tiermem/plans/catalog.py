@@ -106,9 +106,9 @@ def _(v):
 
 @register("lookup_atoms_b5", """
 SELECT i.id, coalesce(a.status, 'unknown') AS status, a.id IS NOT NULL AS found
-FROM (SELECT DISTINCT item_id AS id FROM trace_refs WHERE tier = 'T1') i LEFT JOIN atoms a ON a.id = i.id""")
+FROM (SELECT DISTINCT store_key, item_id AS id FROM trace_refs WHERE tier = 'T1') i LEFT JOIN atoms a ON a.id = i.id AND a.store_key = i.store_key""")
 def _(v):
-    ids = v.trace_refs.where("tier = 'T1'").select(F.col("item_id").alias("id"))
+    ids = v.trace_refs.where("tier = 'T1'").select("store_key", F.col("item_id").alias("id"))
     found = reads.lookup(ids, v.atom_keys)
     return found.select("id", F.coalesce("status", F.lit("unknown")).alias("status"), "found")
 
@@ -181,13 +181,23 @@ def _(v):
 
 
 @register("ingest_turns_a1_h1", """
-SELECT id, store_key, session_id, CASE
-  WHEN copy = 0 THEN 'accepted' WHEN copy = 1 THEN 'duplicate'
-  WHEN copy = 2 THEN 'index_conflict' ELSE 'turn_id_conflict' END AS verdict
-FROM (SELECT *, split_part(id, '-', 4)::INT AS copy FROM incoming_turns) t""")
-def _(v):
-    accepted, duplicates, conflicts = ingest.ingest_turns(v.incoming_turns, v.turns.limit(0))
-    base = ["id", "store_key", "session_id"]
+WITH stored AS (SELECT store_key, session_id, turn_index, turn_id, content FROM turns WHERE seq % 2 = 0),
+owners AS (SELECT i.*, coalesce(s.content, f.content) AS owned, s.turn_index IS NOT NULL OR f.arrival < i.arrival AS taken,
+    coalesce(d.turn_index, g.turn_index) AS named, d.turn_index IS NOT NULL OR g.arrival < i.arrival AS used
+  FROM incoming_turns i
+  LEFT JOIN stored s ON s.session_id = i.session_id AND s.turn_index = i.turn_index
+  LEFT JOIN stored d ON d.session_id = i.session_id AND d.turn_id = i.turn_id
+  LEFT JOIN (SELECT session_id, turn_index, min(arrival) AS arrival, arg_min(content, arrival) AS content FROM incoming_turns GROUP BY 1, 2) f
+    ON f.session_id = i.session_id AND f.turn_index = i.turn_index
+  LEFT JOIN (SELECT session_id, turn_id, min(arrival) AS arrival, arg_min(turn_index, arrival) AS turn_index FROM incoming_turns GROUP BY 1, 2) g
+    ON g.session_id = i.session_id AND g.turn_id = i.turn_id)
+SELECT arrival, id, store_key, session_id, CASE WHEN taken THEN CASE WHEN owned = content THEN 'duplicate' ELSE 'index_conflict' END
+  WHEN used THEN CASE WHEN named = turn_index THEN 'duplicate' ELSE 'turn_id_conflict' END ELSE 'accepted' END AS verdict
+FROM owners""")
+def _(v):
+    # half of the turns are stored already, and every arriving id comes in up to three forms
+    accepted, duplicates, conflicts = ingest.ingest_turns(v.incoming_turns, v.turns.where("seq % 2 = 0"))
+    base = ["arrival", "id", "store_key", "session_id"]
     return (
         accepted.select(*base, F.lit("accepted").alias("verdict"))
         .unionByName(duplicates.select(*base, F.lit("duplicate").alias("verdict")))
@@ -221,14 +231,14 @@ def _atom_writes(v: MemoryViews) -> DataFrame:
 
 
 @register("upsert_atoms_a3", f"""
-SELECT id, CASE WHEN t NOT IN ('fact', 'pattern', 'preference', 'constraint', 'instruction') THEN 'invalid_type'
+SELECT store_key, id, CASE WHEN t NOT IN ('fact', 'pattern', 'preference', 'constraint', 'instruction') THEN 'invalid_type'
                 WHEN new_content <> content THEN 'content_immutable' WHEN t <> type THEN 'type_immutable'
                 ELSE 'update' END AS outcome
 FROM (SELECT *, coalesce(new_type, 'fact') AS t FROM ({ATOM_WRITES_SQL}) w) x""")
 def _(v):
     changes, rejected = ingest.upsert_atoms(_atom_writes(v), v.atoms)
-    return changes.select("id", F.col("op").alias("outcome")).unionByName(
-        rejected.select("id", F.col("reason").alias("outcome"))
+    return changes.select("store_key", "id", F.col("op").alias("outcome")).unionByName(
+        rejected.select("store_key", "id", F.col("reason").alias("outcome"))
     )
 
 
@@ -247,11 +257,11 @@ def _(v):
 
 
 EVIDENCE_SQL = """
-by_atom AS (SELECT e.atom_id, t.id AS stream_id, t.seq, row_number() OVER (PARTITION BY e.atom_id ORDER BY t.seq, t.id) AS place
-            FROM atom_evidence e JOIN turns t ON t.id = e.stream_id),
+by_atom AS (SELECT e.store_key, e.atom_id, t.id AS stream_id, t.seq, row_number() OVER (PARTITION BY e.store_key, e.atom_id ORDER BY t.seq, t.id) AS place
+            FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key),
 by_pass AS (SELECT p.pass_id, t.id AS stream_id, row_number() OVER (PARTITION BY p.pass_id ORDER BY t.seq, t.id) AS place
             FROM passes p JOIN turns t ON t.store_key = p.store_key AND t.seq > p.watermark_start AND t.seq <= p.watermark_end),
-shown AS (SELECT d.id AS decision_id, d.pass_id, b.stream_id, b.place FROM decision_rows d JOIN by_atom b ON b.atom_id = d.atom_id WHERE b.place <= {n}
+shown AS (SELECT d.id AS decision_id, d.pass_id, b.stream_id, b.place FROM decision_rows d JOIN by_atom b ON b.atom_id = d.atom_id AND b.store_key = d.store_key WHERE b.place <= {n}
           UNION ALL
           SELECT d.id, d.pass_id, b.stream_id, b.place FROM decision_rows d JOIN by_pass b ON b.pass_id = d.pass_id
           WHERE d.atom_id IS NULL AND b.place <= {n})"""
@@ -264,7 +274,7 @@ SELECT d.id AS decision_id, d.action, p.store_key, coalesce(s.n, 0) AS n_evidenc
 FROM decision_rows d JOIN passes p ON p.pass_id = d.pass_id
 LEFT JOIN (SELECT decision_id, count(*) AS n FROM shown GROUP BY 1) s ON s.decision_id = d.id
 LEFT JOIN (SELECT decision_id, count(*) AS n, sum(length(a.content)) AS chars
-           FROM decision_targets t LEFT JOIN atoms a ON a.id = t.target_id GROUP BY 1) t ON t.decision_id = d.id""")
+           FROM decision_targets t LEFT JOIN atoms a ON a.id = t.target_id AND a.store_key = t.store_key GROUP BY 1) t ON t.decision_id = d.id""")
 def _(v):
     cases = export.export_cases(v.decision_rows, v.passes, v.decision_targets, v.atom_evidence, v.turns, v.atoms)
     chars = F.aggregate(
@@ -477,21 +487,34 @@ def _(v):
 # ── joins ────────────────────────────────────────────────────────────────────
 
 
-@register("atoms_of_sessions_j1", "SELECT DISTINCT t.session_id, e.atom_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id")
+@register("atoms_of_sessions_j1", "SELECT DISTINCT t.store_key, t.session_id, e.atom_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key")
+def _(v):
+    return joins.atoms_of(v.turns.select("store_key", "session_id"), v.atom_evidence, v.turns)
+
+
+@register("atoms_of_turns_j1", """
+SELECT DISTINCT t.store_key, t.id, e.atom_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key WHERE t.role = 'user'""")
 def _(v):
-    return joins.atoms_of(v.turns.select("session_id"), v.atom_evidence, v.turns)
+    return joins.atoms_of(v.turns.where("role = 'user'"), v.atom_evidence, v.turns, by="id")
+
+
+@register("evidence_of_atoms_j2", """
+SELECT e.store_key, e.atom_id, e.stream_id FROM atom_evidence e JOIN atoms a ON a.id = e.atom_id AND a.store_key = e.store_key WHERE a.pinned""")
+def _(v):
+    pinned = v.atom_keys.where("pinned").select("store_key", F.col("id").alias("atom_id"))
+    return joins.evidence_of(pinned, v.atom_evidence).select("store_key", "atom_id", "stream_id")
 
 
 @register("sessions_of_atoms_j2", """
-SELECT e.atom_id, count(DISTINCT t.session_id) AS sessions FROM atom_evidence e JOIN turns t ON t.id = e.stream_id GROUP BY 1""")
+SELECT e.store_key, e.atom_id, count(DISTINCT t.session_id) AS sessions FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key GROUP BY 1, 2""")
 def _(v):
-    return joins.sessions_of(v.atom_evidence, v.turns).groupBy("atom_id").agg(F.count(F.lit(1)).alias("sessions"))
+    return joins.sessions_of(v.atom_evidence, v.turns).groupBy("store_key", "atom_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
 @register("scenes_of_atoms_j3", """
-SELECT m.atom_id, m.scene_id, s.scene_kind FROM scene_atoms m JOIN scenes s ON s.scene_id = m.scene_id WHERE s.status = 'active'""")
+SELECT m.store_key, m.atom_id, m.scene_id, s.scene_kind FROM scene_atoms m JOIN scenes s ON s.scene_id = m.scene_id AND s.store_key = m.store_key WHERE s.status = 'active'""")
 def _(v):
-    return joins.scenes_of(v.scene_atoms, v.scene_atoms, v.scenes).select("atom_id", "scene_id", "scene_kind")
+    return joins.scenes_of(v.scene_atoms, v.scene_atoms, v.scenes).select("store_key", "atom_id", "scene_id", "scene_kind")
 
 
 @register("decision_evidence_j4", f"""
@@ -519,9 +542,9 @@ resolved AS (
          CASE i.tier WHEN 'T1' THEN CASE WHEN length(a.content) <= 600 THEN a.content ELSE concat(substr(a.content, 1, 597), '...') END
                      WHEN 'T2' THEN CASE WHEN length(s.body) <= 1800 THEN s.body ELSE concat(substr(s.body, 1, 1797), '...') END
                      ELSE c.content END AS body
-  FROM trace_refs i LEFT JOIN atoms a ON a.id = i.item_id
+  FROM trace_refs i LEFT JOIN atoms a ON a.id = i.item_id AND a.store_key = i.store_key
   LEFT JOIN (SELECT *, CASE WHEN summary IS NULL THEN concat('[', scene_kind, '] ', title)
-                            ELSE concat('[', scene_kind, '] ', title, chr(10), summary) END AS body FROM scenes) s ON s.scene_id = i.item_id
+                            ELSE concat('[', scene_kind, '] ', title, chr(10), summary) END AS body FROM scenes) s ON s.scene_id = i.item_id AND s.store_key = i.store_key
   LEFT JOIN core c ON c.store_key = i.store_key AND i.tier = 'T3')"""
 
 
@@ -544,15 +567,16 @@ def _(v):
 
 
 @register("orphans_j7", """
-SELECT x.id FROM (SELECT DISTINCT item_id AS id FROM trace_refs WHERE tier = 'T1') x WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.id = x.id)""")
+SELECT x.store_key, x.id FROM (SELECT DISTINCT store_key, item_id AS id FROM trace_refs WHERE tier = 'T1') x
+WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.id = x.id AND a.store_key = x.store_key)""")
 def _(v):
-    index = v.trace_refs.where("tier = 'T1'").select(F.col("item_id").alias("id")).distinct()
+    index = v.trace_refs.where("tier = 'T1'").select("store_key", F.col("item_id").alias("id")).distinct()
     return joins.orphans(index, v.atom_keys)
 
 
 AGES_SQL = """
 SELECT t.pass_id, t.decision_id, t.action, t.target_id, round((p.started_s - a.created_s) / 60.0::DOUBLE, 6) AS age_minutes
-FROM decision_targets t JOIN passes p ON p.pass_id = t.pass_id JOIN atoms a ON a.id = t.target_id"""
+FROM decision_targets t JOIN passes p ON p.pass_id = t.pass_id AND p.store_key = t.store_key JOIN atoms a ON a.id = t.target_id AND a.store_key = t.store_key"""
 
 
 @register("target_ages_j8", AGES_SQL)
@@ -583,8 +607,8 @@ def _(v):
 @register("usage_by_kind_j10", """
 SELECT i.tier, coalesce(a.type, s.scene_kind, 'gone') AS kind, count(*) FILTER (usage = 'used') AS used,
        count(*) FILTER (usage = 'unused') AS unused, count(*) FILTER (usage = 'unknown') AS unknown
-FROM trace_refs i LEFT JOIN atoms a ON i.tier = 'T1' AND a.id = i.item_id
-LEFT JOIN scenes s ON i.tier = 'T2' AND s.scene_id = i.item_id WHERE i.tier IN ('T1', 'T2') GROUP BY 1, 2""")
+FROM trace_refs i LEFT JOIN atoms a ON i.tier = 'T1' AND a.id = i.item_id AND a.store_key = i.store_key
+LEFT JOIN scenes s ON i.tier = 'T2' AND s.scene_id = i.item_id AND s.store_key = i.store_key WHERE i.tier IN ('T1', 'T2') GROUP BY 1, 2""")
 def _(v):
     return usage.usage_by_kind(v.trace_refs, v.atoms, v.scenes)
 
@@ -593,7 +617,8 @@ def _(v):
 SELECT i.store_key, i.recall_id, i.ordinal, i.tier, i.item_id, CASE WHEN c IS NULL THEN '' WHEN length(c) <= 300 THEN c ELSE concat(substr(c, 1, 300), '…') END AS content
 FROM (SELECT i.*, CASE i.tier WHEN 'T1' THEN a.content WHEN 'T2' THEN concat_ws(' — ', nullif(s.title, ''), s.summary) ELSE k.content END AS c
       FROM trace_refs i JOIN (SELECT arg_max(recall_id, (created_s, recall_id)) AS recall_id FROM traces GROUP BY store_key) n ON n.recall_id = i.recall_id
-      LEFT JOIN atoms a ON i.tier = 'T1' AND a.id = i.item_id LEFT JOIN scenes s ON i.tier = 'T2' AND s.scene_id = i.item_id
+      LEFT JOIN atoms a ON i.tier = 'T1' AND a.id = i.item_id AND a.store_key = i.store_key
+      LEFT JOIN scenes s ON i.tier = 'T2' AND s.scene_id = i.item_id AND s.store_key = i.store_key
       LEFT JOIN core k ON k.store_key = i.store_key) i""")
 def _(v):
     rows = usage.last_recall(v.traces, v.trace_refs, v.atoms, v.scenes, v.core)
@@ -739,8 +764,8 @@ def _(v):
 
 
 @register("provenance_m11", """
-SELECT DISTINCT e.atom_id, 'turn' AS kind, t.turn_id AS source_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id
-UNION ALL SELECT DISTINCT e.atom_id, 'session', t.session_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id""")
+SELECT DISTINCT e.store_key, e.atom_id, 'turn' AS kind, t.turn_id AS source_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key
+UNION ALL SELECT DISTINCT e.store_key, e.atom_id, 'session', t.session_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key""")
 def _(v):
     return scenes.provenance(v.atom_evidence, v.turns)
 
@@ -752,13 +777,13 @@ f AS (SELECT p.*, coalesce(w.n, 0) AS turns_n, (SELECT count(*) FROM decisions d
              (SELECT count(*) FROM scene_effects s WHERE s.pass_id = p.pass_id) AS scn_n,
              (SELECT count(*) FROM core_effects c WHERE c.pass_id = p.pass_id) AS cor_n
       FROM passes p LEFT JOIN found w ON w.pass_id = p.pass_id)
-SELECT pass_id, 'T1' AS tier, 'Historical atom status/count snapshots were not retained.' AS notice FROM f
-UNION ALL SELECT pass_id, 'T2', 'Historical scene summaries and complete scene snapshots were not retained.' FROM f
-UNION ALL SELECT pass_id, 'T3', 'Historical core text was not retained.' FROM f
-UNION ALL SELECT pass_id, 'T0', concat('Only ', turns_n, ' of ', input_turn_count, ' pass input turns remain.') FROM f WHERE turns_n < input_turn_count
-UNION ALL SELECT pass_id, 'T1', concat('Only ', dec_n, ' of ', candidate_count, ' decision audit rows are available.') FROM f WHERE dec_n < candidate_count
-UNION ALL SELECT pass_id, 'T2', 'No scene effect rows were recorded for this pass.' FROM f WHERE scn_n = 0
-UNION ALL SELECT pass_id, 'T3', 'No core effect row was recorded for this pass.' FROM f WHERE cor_n = 0""")
+SELECT pass_id, 'T1' AS tier, 'Earlier counts and states of atoms are not kept.' AS notice FROM f
+UNION ALL SELECT pass_id, 'T2', 'Earlier texts and member lists of scenes are not kept.' FROM f
+UNION ALL SELECT pass_id, 'T3', 'Earlier profile texts are not kept.' FROM f
+UNION ALL SELECT pass_id, 'T0', concat(turns_n, ' of ', input_turn_count, ' turns of the pass are still stored.') FROM f WHERE turns_n < input_turn_count
+UNION ALL SELECT pass_id, 'T1', concat(dec_n, ' of ', candidate_count, ' decisions of the pass are logged.') FROM f WHERE dec_n < candidate_count
+UNION ALL SELECT pass_id, 'T2', 'The pass logged no scene effect.' FROM f WHERE scn_n = 0
+UNION ALL SELECT pass_id, 'T3', 'The pass logged no profile effect.' FROM f WHERE cor_n = 0""")
 def _(v):
     found = joins.window_evidence(v.passes, v.turns)
     return audit.data_gaps(v.passes, v.decisions, v.scene_effects, v.core_effects, found)
@@ -856,8 +881,8 @@ hits AS ({osql.blended('a_fused')}),
 listed AS (
   SELECT h.query_id, h.id, least(length(a.content), 2000) AS chars, row_number() OVER w AS place, k.n_pinned,
          sum(least(length(a.content), 2000)) OVER w + k.pinned_chars AS running
-  FROM hits h JOIN atoms a ON a.id = h.id JOIN asked k ON k.query_id = h.query_id
-  WHERE NOT EXISTS (SELECT 1 FROM pins p WHERE p.id = h.id)
+  FROM hits h JOIN asked k ON k.query_id = h.query_id JOIN atoms a ON a.id = h.id AND a.store_key = k.store_key
+  WHERE NOT EXISTS (SELECT 1 FROM pins p WHERE p.id = h.id AND p.store_key = k.store_key)
   WINDOW w AS (PARTITION BY h.query_id ORDER BY h.score DESC, h.id))
 SELECT q.query_id, 'pinned' AS source, p.place, p.id, p.chars FROM recall_queries q JOIN pins p ON p.store_key = q.store_key
 UNION ALL SELECT query_id, 'ranked', place, id, chars::BIGINT FROM listed WHERE running <= 6000 AND place + n_pinned <= 10""")
@@ -892,7 +917,7 @@ pin_used AS MATERIALIZED (SELECT s.query_id, s.budget - s.pin_cap - s.atom_share
    EXISTS (SELECT 1 FROM pins p WHERE p.store_key = s.store_key AND p.running > s.pin_cap) AS missed FROM shares s),
 atom_asked AS MATERIALIZED (SELECT q.*, k.cap FROM {base} q JOIN pin_used k ON k.query_id = q.query_id),
 {osql.hybrid_ctes('a', osql.ATOM_DOCS, 'greatest(15, ceil(cap / 100.0 * 1.5))', 3, 'atom_asked')},
-atom_hits AS MATERIALIZED (SELECT b.query_id, b.id, b.score, least(length(a.content), 600) AS chars FROM ({osql.blended('a_fused')}) b JOIN atoms a ON a.id = b.id WHERE NOT b.pinned),
+atom_hits AS MATERIALIZED (SELECT b.query_id, b.id, b.score, least(length(a.content), 600) AS chars FROM ({osql.blended('a_fused')}) b JOIN atoms a ON a.id = b.id AND a.store_key = b.store_key WHERE NOT b.pinned),
 {_fill_sql('atom', 'atom_hits', 'pin_used')},
 scene_caps AS MATERIALIZED (SELECT k.query_id, k.scene_share + k.cap - u.used AS cap FROM pin_used k JOIN atom_used u ON u.query_id = k.query_id),
 scene_asked AS MATERIALIZED (SELECT q.*, k.cap FROM {base} q JOIN scene_caps k ON k.query_id = q.query_id),
@@ -946,9 +971,9 @@ WITH RECURSIVE {_context_ctes()},
 items AS (SELECT query_id, 1 AS t, place, id FROM pinned UNION ALL SELECT query_id, 2, place, id FROM atom_kept
   UNION ALL SELECT query_id, 3, place, id FROM scene_kept),
 bodies AS (SELECT i.query_id, i.t, i.place, CASE WHEN length(a.content) <= 600 THEN a.content ELSE concat(substr(a.content, 1, 597), '...') END AS body
-    FROM items i JOIN atoms a ON a.id = i.id WHERE i.t < 3
+    FROM items i JOIN done d ON d.query_id = i.query_id JOIN atoms a ON a.id = i.id AND a.store_key = d.store_key WHERE i.t < 3
   UNION ALL SELECT i.query_id, i.t, i.place, CASE WHEN length(s.body) <= 1800 THEN s.body ELSE concat(substr(s.body, 1, 1797), '...') END
-    FROM items i JOIN (SELECT scene_id, concat_ws(chr(10), concat('[', scene_kind, '] ', title), summary) AS body FROM scenes) s ON s.scene_id = i.id WHERE i.t = 3
+    FROM items i JOIN done d ON d.query_id = i.query_id JOIN (SELECT store_key, scene_id, concat_ws(chr(10), concat('[', scene_kind, '] ', title), summary) AS body FROM scenes) s ON s.scene_id = i.id AND s.store_key = d.store_key WHERE i.t = 3
   UNION ALL SELECT d.query_id, 4, 1, CASE WHEN core_len <= core_cap THEN c.content ELSE concat(substr(c.content, 1, core_cap - 3), '...') END
     FROM done d JOIN core c ON c.store_key = d.store_key WHERE core_cap > 50),
 sections AS (SELECT query_id, t, concat(CASE t WHEN 1 THEN '## Pinned' WHEN 2 THEN '## Relevant facts/preferences/rules' WHEN 3 THEN '## Related episodes/topics'
@@ -973,13 +998,20 @@ def _(v):
 @register("topic_recall_l13", f"""
 WITH RECURSIVE topic_queries AS MATERIALIZED (
   SELECT x.request_id AS query_id, q.store_key, x.query AS text, q.embedding, q.budget
-  FROM ({TOPICS_SQL}) x JOIN recall_queries q ON concat('t-', q.query_id) = x.request_id WHERE x.query IS NOT NULL),
+  FROM ({TOPICS_SQL}) x JOIN (
+    SELECT concat('t-', query_id) AS request_id, store_key, embedding, budget FROM recall_queries
+    UNION ALL SELECT concat('i-', b.item_id), concat('tenant', b.item_id % 4, ':self'), e.embedding, 6000::BIGINT
+    FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id) q ON q.request_id = x.request_id WHERE x.query IS NOT NULL),
 {_context_ctes('topic_queries')}
 SELECT query_id, budget, (pinned_chars + atom_chars + scene_chars + CASE WHEN core_cap > 50 THEN least(core_len, core_cap) ELSE 0 END)::BIGINT AS total_chars,
        missed OR core_cap <= 50 OR core_len > core_cap AS truncated FROM done""")
 def _(v):
     titles = reads.resolve_topics(_topic_requests(v), v.stored_scenes).where("found")
     vectors = v.recall_queries.select(F.concat(F.lit("t-"), "query_id").alias("request_id"), "embedding", "budget")
+    named = v.embeddings.select(F.col("doc_id").alias("item_id"), "embedding")
+    vectors = vectors.unionByName(v.table("benchmark").join(named, "item_id", "left").select(
+        F.concat_ws("-", F.lit("i"), "item_id").alias("request_id"), "embedding", F.lit(6000).cast("long").alias("budget")
+    ))
     asked = titles.join(vectors, "request_id").select(
         F.col("request_id").alias("query_id"), "store_key", F.col("query").alias("text"), "embedding", "budget"
     )
@@ -1007,17 +1039,17 @@ def _(v):
 
 
 @register("reembed_d2", f"""
-WITH texts AS (SELECT 'turns' AS tier, id, content AS body, '' AS render_hash FROM turns
-  UNION ALL SELECT 'atoms', id, content, '' FROM atoms
-  UNION ALL SELECT 'scenes', scene_id, CASE WHEN summary IS NULL THEN title ELSE concat(title, chr(10), summary) END,
+WITH texts AS (SELECT 'turns' AS tier, store_key, id, content AS body, '' AS render_hash FROM turns
+  UNION ALL SELECT 'atoms', store_key, id, content, '' FROM atoms
+  UNION ALL SELECT 'scenes', store_key, scene_id, CASE WHEN summary IS NULL THEN title ELSE concat(title, chr(10), summary) END,
                    sha256(concat(title, chr(10), coalesce(summary, ''))) FROM scenes)
-SELECT t.tier, t.id, t.render_hash, {HASH_DIM}::BIGINT AS dim, round(f.total, 4) AS total FROM texts t
-JOIN (SELECT key, sum(value) AS total FROM ({_folded_sql("(SELECT concat(tier, '/', id) AS key, body FROM texts)", 'key', 'body')}) y GROUP BY 1) f
-  ON f.key = concat(t.tier, '/', t.id)""")
+SELECT t.tier, t.store_key, t.id, t.render_hash, {HASH_DIM}::BIGINT AS dim, round(f.total, 4) AS total FROM texts t
+JOIN (SELECT key, sum(value) AS total FROM ({_folded_sql("(SELECT concat(tier, '/', store_key, '/', id) AS key, body FROM texts)", 'key', 'body')}) y GROUP BY 1) f
+  ON f.key = concat(t.tier, '/', t.store_key, '/', t.id)""")
 def _(v):
     total = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double"))
     fresh = distill.reembed(v.turns, v.atoms, v.scenes, HASH_DIM)
-    return fresh.select("tier", "id", "render_hash", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"))
+    return fresh.select("tier", "store_key", "id", "render_hash", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"))
 
 
 WINDOWS_CTE = f"""
@@ -1046,7 +1078,7 @@ def _(v):
 
 @register("neighbours_d5", f"""
 WITH {osql.hybrid_ctes('a', osql.ATOM_DOCS, '8', 3)}
-SELECT b.query_id, b.id, a.type, a.confidence, b.score FROM ({osql.blended('a_fused')}) b JOIN atoms a ON a.id = b.id""")
+SELECT b.query_id, b.id, a.type, a.confidence, b.score FROM ({osql.blended('a_fused')}) b JOIN atoms a ON a.id = b.id AND a.store_key = b.store_key""")
 def _(v):
     return distill.neighbours(v.recall_queries, v.atoms, AS_OF).select("query_id", "id", "type", "confidence", "score")
 
@@ -1119,7 +1151,7 @@ def _(v):
 VOID_SQL = f"""
 SELECT pass_id, min(reason) AS reason FROM (
   SELECT t.pass_id, CASE WHEN a.id IS NULL THEN 'missing' ELSE 'inactive' END AS reason
-  FROM decision_targets t LEFT JOIN atoms a ON a.id = t.target_id WHERE a.id IS NULL OR a.status <> 'active'
+  FROM decision_targets t LEFT JOIN atoms a ON a.id = t.target_id AND a.store_key = t.store_key WHERE a.id IS NULL OR a.status <> 'active'
   UNION ALL
   SELECT pass_id, 'repeated' FROM (
     SELECT t.pass_id, t.target_id, min(CASE WHEN t.target_id <> o.new_id THEN t.position END) AS f, max(t.position) AS l
@@ -1134,7 +1166,7 @@ def _(v):
 def _applied(v: MemoryViews) -> tuple[DataFrame, DataFrame]:
     ops = _op_decisions(v)
     void = distill.void_passes(ops, v.decision_targets, v.atom_keys)
-    window = joins.window_evidence(v.passes, v.turns).select("pass_id", "stream_id")
+    window = joins.window_evidence(v.passes, v.turns).select("store_key", "pass_id", "stream_id")
     return distill.apply_decisions(
         ops.join(void, "pass_id", "left_anti"), v.decision_targets, window, v.atom_evidence
     )
@@ -1144,7 +1176,7 @@ LIVE_OPS_SQL = f"SELECT * FROM ({OPS_SQL}) o WHERE NOT EXISTS (SELECT 1 FROM ({V
 
 
 @register("status_changes_d9_d10", f"""
-SELECT DISTINCT o.pass_id, t.target_id AS atom_id, CASE o.action WHEN 'update' THEN 'superseded' ELSE 'merged' END AS new_status
+SELECT DISTINCT o.store_key, o.pass_id, t.target_id AS atom_id, CASE o.action WHEN 'update' THEN 'superseded' ELSE 'merged' END AS new_status
 FROM ({LIVE_OPS_SQL}) o JOIN decision_targets t ON t.decision_id = o.id WHERE o.action IN ('update', 'merge') AND t.target_id <> o.new_id""")
 def _(v):
     return _applied(v)[0]
@@ -1152,14 +1184,14 @@ def _(v):
 
 @register("evidence_edges_d9", f"""
 WITH ops AS MATERIALIZED ({LIVE_OPS_SQL})
-SELECT atom_id, count(DISTINCT stream_id) AS n_edges FROM (
-  SELECT o.new_id AS atom_id, t.id AS stream_id FROM ops o JOIN passes p ON p.pass_id = o.pass_id
+SELECT store_key, atom_id, count(DISTINCT stream_id) AS n_edges FROM (
+  SELECT o.store_key, o.new_id AS atom_id, t.id AS stream_id FROM ops o JOIN passes p ON p.pass_id = o.pass_id
   JOIN turns t ON t.store_key = p.store_key AND t.seq > p.watermark_start AND t.seq <= p.watermark_end WHERE o.action <> 'skip'
   UNION ALL
-  SELECT o.new_id, e.stream_id FROM ops o JOIN decision_targets t ON t.decision_id = o.id JOIN atom_evidence e ON e.atom_id = t.target_id
-  WHERE o.action IN ('update', 'merge')) x GROUP BY 1""")
+  SELECT o.store_key, o.new_id, e.stream_id FROM ops o JOIN decision_targets t ON t.decision_id = o.id
+  JOIN atom_evidence e ON e.atom_id = t.target_id AND e.store_key = t.store_key WHERE o.action IN ('update', 'merge')) x GROUP BY 1, 2""")
 def _(v):
-    return _applied(v)[1].groupBy("atom_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return _applied(v)[1].groupBy("store_key", "atom_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @register("decision_log_d11", """
@@ -1184,38 +1216,39 @@ def _(v):
 
 
 EPISODE_CTES = """
-traced AS (SELECT DISTINCT concat('episode:', substr(sha256(t.session_id), 1, 24)) AS scene_id, e.atom_id
-           FROM atom_evidence e JOIN turns t ON t.id = e.stream_id),
-members AS (SELECT m.* FROM traced m JOIN atoms a ON a.id = m.atom_id WHERE a.status = 'active'),
-previous AS (SELECT m.* FROM traced m JOIN atoms a ON a.id = m.atom_id WHERE a.type <> 'fact' AND a.priority < 60),
-existing AS (SELECT DISTINCT scene_id FROM previous),
-delta AS (SELECT coalesce(p.scene_id, m.scene_id) AS scene_id, coalesce(p.atom_id, m.atom_id) AS atom_id,
+traced AS (SELECT DISTINCT e.store_key, concat('episode:', substr(sha256(t.session_id), 1, 24)) AS scene_id, e.atom_id
+           FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key),
+members AS (SELECT m.* FROM traced m JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key WHERE a.status = 'active'),
+previous AS (SELECT m.* FROM traced m JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key WHERE a.type <> 'fact' AND a.priority < 60),
+existing AS (SELECT DISTINCT store_key, scene_id FROM previous),
+delta AS (SELECT coalesce(p.store_key, m.store_key) AS store_key, coalesce(p.scene_id, m.scene_id) AS scene_id, coalesce(p.atom_id, m.atom_id) AS atom_id,
                  CASE WHEN p.atom_id IS NULL THEN 'added' WHEN m.atom_id IS NULL THEN 'removed' ELSE 'kept' END AS change
-          FROM previous p FULL JOIN members m ON m.scene_id = p.scene_id AND m.atom_id = p.atom_id)"""
+          FROM previous p FULL JOIN members m ON m.store_key = p.store_key AND m.scene_id = p.scene_id AND m.atom_id = p.atom_id)"""
 
 
 def _episodes(v: MemoryViews) -> tuple[DataFrame, DataFrame, DataFrame]:
-    old = v.atom_keys.where("type <> 'fact' AND priority < 60").select(F.col("id").alias("atom_id"))
-    sessions = v.turns.select(F.col("id").alias("stream_id"), "session_id")
-    previous = v.atom_evidence.join(old, "atom_id", "left_semi").join(sessions, "stream_id").select(
-        identity.episode_id(F.col("session_id")).alias("scene_id"), "atom_id"
+    old = v.atom_keys.where("type <> 'fact' AND priority < 60").select("store_key", F.col("id").alias("atom_id"))
+    sessions = v.turns.select("store_key", F.col("id").alias("stream_id"), "session_id")
+    previous = v.atom_evidence.join(old, ["store_key", "atom_id"], "left_semi").join(sessions, ["store_key", "stream_id"]).select(
+        "store_key", identity.episode_id(F.col("session_id")).alias("scene_id"), "atom_id"
     ).distinct()
-    return scenes.episodes(v.atom_evidence, v.turns, v.atom_keys, previous, previous.select("scene_id").distinct())
+    return scenes.episodes(v.atom_evidence, v.turns, v.atom_keys, previous, previous.select("store_key", "scene_id").distinct())
 
 
 @register("episodes_d13", f"""
 WITH {EPISODE_CTES},
-counts AS (SELECT v.scene_id, x.scene_id IS NOT NULL AS known, count(*) FILTER (change <> 'added') AS members_before,
+counts AS (SELECT v.store_key, v.scene_id, x.scene_id IS NOT NULL AS known, count(*) FILTER (change <> 'added') AS members_before,
    count(*) FILTER (change <> 'removed') AS members_after, count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'removed') AS n_removed
-   FROM (SELECT DISTINCT scene_id FROM traced) v LEFT JOIN existing x ON x.scene_id = v.scene_id LEFT JOIN delta d ON d.scene_id = v.scene_id GROUP BY 1, 2)
-SELECT scene_id, members_before, members_after, n_added, n_removed, CASE WHEN known AND members_after = 0 THEN 'retired' WHEN NOT known THEN 'created'
+   FROM (SELECT DISTINCT store_key, scene_id FROM traced) v LEFT JOIN existing x ON x.scene_id = v.scene_id AND x.store_key = v.store_key
+   LEFT JOIN delta d ON d.scene_id = v.scene_id AND d.store_key = v.store_key GROUP BY 1, 2, 3)
+SELECT store_key, scene_id, members_before, members_after, n_added, n_removed, CASE WHEN known AND members_after = 0 THEN 'retired' WHEN NOT known THEN 'created'
        WHEN n_added + n_removed > 0 THEN 'updated' ELSE 'unchanged' END AS effect
 FROM counts WHERE known OR members_after > 0""")
 def _(v):
     return _episodes(v)[1]
 
 
-@register("member_delta_d18", f"WITH {EPISODE_CTES} SELECT scene_id, atom_id, change FROM delta")
+@register("member_delta_d18", f"WITH {EPISODE_CTES} SELECT store_key, scene_id, atom_id, change FROM delta")
 def _(v):
     return _episodes(v)[2]
 
@@ -1247,16 +1280,17 @@ def _(v):
 
 
 OVERLAP_SQL = """
-cs AS (SELECT leader_id, count(*) AS c FROM clusters GROUP BY 1), ts AS (SELECT scene_id, count(*) AS t FROM prev_topics GROUP BY 1),
+cs AS (SELECT store_key, leader_id, count(*) AS c FROM clusters GROUP BY 1, 2), ts AS (SELECT store_key, scene_id, count(*) AS t FROM prev_topics GROUP BY 1, 2),
 pairs AS (SELECT k.store_key, k.leader_id, p.scene_id, count(*) AS shared, any_value(cs.c) AS c, any_value(ts.t) AS t,
    round(count(*) / (any_value(cs.c) + any_value(ts.t) - count(*)), 9) AS jaccard
-   FROM clusters k JOIN prev_topics p ON p.atom_id = k.atom_id JOIN cs ON cs.leader_id = k.leader_id JOIN ts ON ts.scene_id = p.scene_id GROUP BY 1, 2, 3)"""
+   FROM clusters k JOIN prev_topics p ON p.atom_id = k.atom_id AND p.store_key = k.store_key
+   JOIN cs ON cs.leader_id = k.leader_id AND cs.store_key = k.store_key JOIN ts ON ts.scene_id = p.scene_id AND ts.store_key = p.store_key GROUP BY 1, 2, 3)"""
 
 
-@register("topic_overlaps_d15", f"WITH RECURSIVE {CLUSTERS_SQL}, {OVERLAP_SQL} SELECT leader_id, scene_id, shared, jaccard FROM pairs")
+@register("topic_overlaps_d15", f"WITH RECURSIVE {CLUSTERS_SQL}, {OVERLAP_SQL} SELECT store_key, leader_id, scene_id, shared, jaccard FROM pairs")
 def _(v):
     pairs = scenes.topic_overlaps(_clusters(v).select("store_key", "leader_id", "atom_id"), v.prev_topics)
-    return pairs.select("leader_id", "scene_id", "shared", F.round("jaccard", 9).alias("jaccard"))
+    return pairs.select("store_key", "leader_id", "scene_id", "shared", F.round("jaccard", 9).alias("jaccard"))
 
 
 MATCH_T = 0.05
@@ -1273,14 +1307,14 @@ pick(store_key, n, leader_id, scene_id, used) AS (
   SELECT store_key, n, leader_id, scene_id, CASE WHEN scene_id IS NULL THEN used ELSE list_append(used, scene_id) END FROM (
     SELECT l.store_key, l.n, l.leader_id, k.used,
            arg_min(g.scene_id, (-g.shared / (g.c + g.t - g.shared), g.scene_id)) FILTER (g.scene_id IS NOT NULL AND NOT list_contains(k.used, g.scene_id)) AS scene_id
-    FROM pick k JOIN leaders_n l ON l.store_key = k.store_key AND l.n = k.n + 1 LEFT JOIN good g ON g.leader_id = l.leader_id GROUP BY ALL) x),
-taken AS MATERIALIZED (SELECT p.leader_id, p.scene_id AS old_id, g.t - g.shared AS rem, g.c - g.shared AS add, g.t FROM pick p JOIN good g ON g.leader_id = p.leader_id AND g.scene_id = p.scene_id),
+    FROM pick k JOIN leaders_n l ON l.store_key = k.store_key AND l.n = k.n + 1 LEFT JOIN good g ON g.leader_id = l.leader_id AND g.store_key = l.store_key GROUP BY ALL) x),
+taken AS MATERIALIZED (SELECT p.store_key, p.leader_id, p.scene_id AS old_id, g.t - g.shared AS rem, g.c - g.shared AS add, g.t FROM pick p JOIN good g ON g.store_key = p.store_key AND g.leader_id = p.leader_id AND g.scene_id = p.scene_id),
 plan AS (SELECT l.store_key, l.leader_id, l.c, t.old_id, t.add, t.rem, t.t, CASE WHEN t.old_id IS NULL THEN 'new' WHEN (t.add + t.rem) / t.t < 0.7 THEN 'keep' ELSE 'reorganise' END AS fate,
-   concat('topic:', substr(sha256(concat(l.store_key, '|', l.leader_id, '|pass-x')), 1, 24)) AS new_id FROM leaders_n l LEFT JOIN taken t ON t.leader_id = l.leader_id)
+   concat('topic:', substr(sha256(concat(l.store_key, '|', l.leader_id, '|pass-x')), 1, 24)) AS new_id FROM leaders_n l LEFT JOIN taken t ON t.leader_id = l.leader_id AND t.store_key = l.store_key)
 SELECT store_key, old_id AS scene_id, CASE WHEN add + rem > 0 THEN 'updated' ELSE 'unchanged' END AS effect, t AS members_before, c AS members_after, add AS n_added, rem AS n_removed, '' AS derived_from, '' AS superseded_by FROM plan WHERE fate = 'keep'
 UNION ALL SELECT store_key, new_id, 'created', 0, c, c, 0, coalesce(old_id, ''), '' FROM plan WHERE fate <> 'keep'
 UNION ALL SELECT o.store_key, o.scene_id, 'retired', o.t, 0, 0, o.t, '', coalesce(p.new_id, '') FROM (SELECT store_key, scene_id, count(*) AS t FROM prev_topics GROUP BY 1, 2) o
-  LEFT JOIN plan p ON p.old_id = o.scene_id WHERE p.fate IS NULL OR p.fate = 'reorganise'""")
+  LEFT JOIN plan p ON p.old_id = o.scene_id AND p.store_key = o.store_key WHERE p.fate IS NULL OR p.fate = 'reorganise'""")
 def _(v):
     members = _clusters(v).select("store_key", "leader_id", "atom_id")
     effects = scenes.match_topics(members, v.prev_topics, F.lit("pass-x"), match=MATCH_T)[1]
@@ -1289,20 +1323,20 @@ def _(v):
 
 @register("topic_hysteresis_d16", f"""
 WITH RECURSIVE {CLUSTERS_SQL}, {OVERLAP_SQL}
-SELECT leader_id, scene_id, round((c + t - 2 * shared) / t, 9) AS churn, (c + t - 2 * shared) / t >= 0.7 AS reorganise FROM pairs""")
+SELECT store_key, leader_id, scene_id, round((c + t - 2 * shared) / t, 9) AS churn, (c + t - 2 * shared) / t >= 0.7 AS reorganise FROM pairs""")
 def _(v):
     pairs = scenes.topic_overlaps(_clusters(v).select("store_key", "leader_id", "atom_id"), v.prev_topics)
     churn = (F.col("members_after") + F.col("members_before") - 2 * F.col("shared")) / F.col("members_before")
-    return pairs.select("leader_id", "scene_id", F.round(churn, 9).alias("churn"), (churn >= scenes.REORG).alias("reorganise"))
+    return pairs.select("store_key", "leader_id", "scene_id", F.round(churn, 9).alias("churn"), (churn >= scenes.REORG).alias("reorganise"))
 
 
 HASH_SQL = """
-live AS (SELECT m.scene_id, m.atom_id, a.content FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id WHERE a.status = 'active'),
+live AS (SELECT m.store_key, m.scene_id, m.atom_id, a.content FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key WHERE a.status = 'active'),
 texts AS (SELECT s.*, coalesce(l.t, '') AS t FROM scenes s LEFT JOIN
-  (SELECT scene_id, string_agg(concat(atom_id, ':', content), '|' ORDER BY atom_id) AS t FROM live GROUP BY 1) l ON l.scene_id = s.scene_id)"""
+  (SELECT store_key, scene_id, string_agg(concat(atom_id, ':', content), '|' ORDER BY atom_id) AS t FROM live GROUP BY 1, 2) l ON l.scene_id = s.scene_id AND l.store_key = s.store_key)"""
 
 
-@register("scene_hashes_d19", f"WITH {HASH_SQL} SELECT scene_id, sha256(concat(scene_kind, '|', t)) AS content_hash FROM texts")
+@register("scene_hashes_d19", f"WITH {HASH_SQL} SELECT store_key, scene_id, sha256(concat(scene_kind, '|', t)) AS content_hash FROM texts")
 def _(v):
     return scenes.scene_hashes(v.scenes, v.scene_atoms, v.atoms)
 
@@ -1312,7 +1346,8 @@ WITH {HASH_SQL}, now AS (SELECT scene_id, sha256(concat(scene_kind, '|', t)) AS
 SELECT scene_id FROM now n WHERE NOT EXISTS (SELECT 1 FROM scenes s WHERE s.scene_id = n.scene_id AND s.scene_kind = 'topic')""")
 def _(v):
     now = scenes.scene_hashes(v.scenes, v.scene_atoms, v.atoms)
-    stored = now.join(v.scenes.where("scene_kind = 'topic'").select("scene_id"), "scene_id", "left_semi")
+    topics = v.scenes.where("scene_kind = 'topic'").select("store_key", "scene_id")
+    stored = now.join(topics, ["store_key", "scene_id"], "left_semi")
     return scenes.needs_refresh(now, stored, "scene_id", "content_hash").select("scene_id")
 
 
@@ -1321,12 +1356,14 @@ SELECT scene_id, sha256(concat(title, chr(10), coalesce(summary, ''))) AS render
 def _(v):
     now = scenes.render_hashes(v.scenes)
     stored = scenes.render_hashes(v.scenes.where("status = 'active'"))
-    return scenes.needs_refresh(now, stored, "scene_id", "render_hash")
+    return scenes.needs_refresh(now, stored, "scene_id", "render_hash").select("scene_id", "render_hash")
 
 
 @register("core_hashes_d21", f"""
-WITH {HASH_SQL} SELECT store_key, sha256(string_agg(concat(scene_kind, '|', title, '|', t), '||' ORDER BY scene_id)) AS input_hash
-FROM texts WHERE status = 'active' GROUP BY 1""")
+WITH {HASH_SQL},
+one AS (SELECT store_key, scene_id, substr(sha256(scene_id), 1, 3) AS block, sha256(concat(scene_kind, '|', title, '|', t)) AS d FROM texts WHERE status = 'active'),
+blocks AS (SELECT store_key, block, sha256(string_agg(d, '' ORDER BY scene_id)) AS d FROM one GROUP BY 1, 2)
+SELECT store_key, sha256(string_agg(d, '' ORDER BY block)) AS input_hash FROM blocks GROUP BY 1""")
 def _(v):
     return scenes.core_hashes(v.scenes, v.scene_atoms, v.atoms)
 
@@ -1344,11 +1381,11 @@ def _(v):
 
 
 @register("scene_prompts_d22", """
-WITH live AS (SELECT m.scene_id, m.atom_id, a.type, a.content FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id WHERE a.status = 'active'
-              AND EXISTS (SELECT 1 FROM scenes s WHERE s.scene_id = m.scene_id))
-SELECT scene_id, 0::BIGINT AS line_no, concat('Summarise this ', scene_kind, ' called "', title, '" in two to four sentences:') AS line FROM scenes
-UNION ALL SELECT scene_id, n, concat('  ', n, '. (', type, ') ', content) FROM (
-  SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY atom_id) AS n FROM live) x""")
+WITH live AS (SELECT m.store_key, m.scene_id, m.atom_id, a.type, a.content FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key
+              WHERE a.status = 'active' AND EXISTS (SELECT 1 FROM scenes s WHERE s.scene_id = m.scene_id AND s.store_key = m.store_key))
+SELECT store_key, scene_id, 0::BIGINT AS line_no, concat('Summarise this ', scene_kind, ' called "', title, '" in two to four sentences:') AS line FROM scenes
+UNION ALL SELECT store_key, scene_id, n, concat('  ', n, '. (', type, ') ', content) FROM (
+  SELECT *, row_number() OVER (PARTITION BY store_key, scene_id ORDER BY atom_id) AS n FROM live) x""")
 def _(v):
     return scenes.scene_prompt_lines(v.scenes, v.scene_atoms, v.atoms)
 
@@ -1356,15 +1393,15 @@ def _(v):
 @register("core_prompts_d22", """
 SELECT store_key, scene_id, '' AS atom_id, concat('  ', upper(scene_kind), ': ', title) AS line FROM scenes WHERE status = 'active'
 UNION ALL SELECT s.store_key, s.scene_id, a.id, concat('    - (', a.type, ') ', a.content)
-FROM scenes s JOIN scene_atoms m ON m.scene_id = s.scene_id JOIN atoms a ON a.id = m.atom_id WHERE s.status = 'active' AND a.status = 'active'""")
+FROM scenes s JOIN scene_atoms m ON m.scene_id = s.scene_id AND m.store_key = s.store_key JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key WHERE s.status = 'active' AND a.status = 'active'""")
 def _(v):
     return scenes.core_prompt_lines(v.scenes, v.scene_atoms, v.atoms)
 
 
 @register("decision_prompts_d6_d22", f"""
-WITH shown AS (SELECT pass_id, position, target_no, target_id FROM decision_targets),
+WITH shown AS (SELECT store_key, pass_id, position, target_no, target_id FROM decision_targets),
 known AS (SELECT s.pass_id, s.position, string_agg(concat('    ', s.target_no, '. [', s.target_id, '] (', a.type, ', ', a.confidence, ') ', left(a.id, 8)), chr(10) ORDER BY s.target_no) AS k
-          FROM shown s JOIN atoms a ON a.id = s.target_id GROUP BY 1, 2),
+          FROM shown s JOIN atoms a ON a.id = s.target_id AND a.store_key = s.store_key GROUP BY 1, 2),
 p AS (SELECT d.pass_id, d.position, d.action, (d.position - 1) // 3 AS chunk FROM decisions d),
 b AS (SELECT p.*, p.position - min(p.position) OVER (PARTITION BY p.pass_id, p.chunk) AS local FROM p)
 SELECT b.pass_id, b.chunk, concat('{distill.DECIDE_HEAD}', chr(10), string_agg(concat('Candidate ', b.local, ':', chr(10), '  type: fact', chr(10), '  confidence: high', chr(10),
@@ -1375,8 +1412,9 @@ def _(v):
         "pass_id", "position", F.floor((F.col("position") - 1) / 3).cast("long").alias("chunk"), F.lit("fact").alias("type"),
         F.lit("high").alias("confidence"), F.col("action").alias("content"),
     )
-    facts = v.atom_keys.select(F.col("id").alias("target_id"), "type", "confidence", F.substring("id", 1, 8).alias("content"))
-    shown = v.decision_targets.select("pass_id", "position", F.col("target_no").alias("place"), "target_id").join(facts, "target_id")
+    facts = v.atom_keys.select("store_key", F.col("id").alias("target_id"), "type", "confidence", F.substring("id", 1, 8).alias("content"))
+    asked = v.decision_targets.select("store_key", "pass_id", "position", F.col("target_no").alias("place"), "target_id")
+    shown = asked.join(facts, ["store_key", "target_id"]).drop("store_key")
     return distill.decision_prompts(packed, shown)
 
 
@@ -1392,53 +1430,55 @@ def _(v):
 
 
 REQUESTS_SQL = """
-SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'supersede' WHEN 1 THEN 'merge' ELSE 'archive' END AS op, item_id AS atom_id
-FROM (SELECT split_part(recall_id, '-', 2)::BIGINT AS event_id, item_id FROM trace_refs WHERE source = 'pinned') x"""
+SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'supersede' WHEN 1 THEN 'merge' ELSE 'archive' END AS op, store_key, item_id AS atom_id
+FROM (SELECT split_part(recall_id, '-', 2)::BIGINT * 10 + ordinal AS event_id, store_key, item_id FROM trace_refs WHERE tier = 'T1') x"""
 
 
 @register("lifecycle_changes_e1", f"""
 SELECT r.request_id, r.atom_id, CASE r.op WHEN 'supersede' THEN 'superseded' WHEN 'merge' THEN 'merged' ELSE 'archived' END AS new_status
-FROM ({REQUESTS_SQL}) r JOIN atoms a ON a.id = r.atom_id WHERE r.op <> 'archive' OR a.status = 'active'""")
+FROM (SELECT *, min(request_id) OVER (PARTITION BY store_key, atom_id) AS lead FROM ({REQUESTS_SQL}) q) r
+JOIN atoms a ON a.id = r.atom_id AND a.store_key = r.store_key WHERE r.op <> 'archive' OR (a.status = 'active' AND r.request_id = r.lead)""")
 def _(v):
-    event = F.split("recall_id", "-")[1].cast("long")
+    event = F.split("recall_id", "-")[1].cast("long") * 10 + F.col("ordinal")
     op = F.when(event % 3 == 0, "supersede").when(event % 3 == 1, "merge").otherwise("archive")
-    requests = v.trace_refs.where("source = 'pinned'").select(event.alias("request_id"), op.alias("op"), F.col("item_id").alias("atom_id"))
+    requests = v.trace_refs.where("tier = 'T1'").select(event.alias("request_id"), "store_key", op.alias("op"), F.col("item_id").alias("atom_id"))
     return lifecycle.lifecycle_changes(requests, v.atom_keys).select("request_id", "atom_id", "new_status")
 
 
 CURRENT_SQL = """
-SELECT a.id, coalesce(c.s, a.status) AS status, coalesce(c.k, a.confidence) AS confidence, coalesce(c.p, a.pinned) AS pinned,
+SELECT a.store_key, a.id, coalesce(c.s, a.status) AS status, coalesce(array_to_string(c.g, ','), '') AS tags, coalesce(c.k, a.confidence) AS confidence, coalesce(c.p, a.pinned) AS pinned,
        greatest(a.created_s, c.t) AS updated_s
-FROM atoms a LEFT JOIN (SELECT atom_id, arg_max(new_status, change_seq) FILTER (new_status IS NOT NULL) AS s,
+FROM atoms a LEFT JOIN (SELECT store_key, atom_id, arg_max(new_status, change_seq) FILTER (new_status IS NOT NULL) AS s,
+  arg_max(new_tags, change_seq) FILTER (new_tags IS NOT NULL) AS g,
   arg_max(new_confidence, change_seq) FILTER (new_confidence IS NOT NULL) AS k, arg_max(new_pinned, change_seq) FILTER (new_pinned IS NOT NULL) AS p,
-  max(changed_s) AS t FROM atom_changes GROUP BY 1) c ON c.atom_id = a.id"""
+  max(changed_s) AS t FROM atom_changes GROUP BY 1, 2) c ON c.atom_id = a.id AND c.store_key = a.store_key"""
 
 
 @register("current_atoms_e2", CURRENT_SQL)
 def _(v):
     rows = lifecycle.current_atoms(v.atom_keys, v.atom_changes)
-    return rows.select("id", "status", "confidence", "pinned", "updated_s")
+    return rows.select("store_key", "id", "status", "confidence", "pinned", "updated_s", F.array_join("tags", ",").alias("tags"))
 
 
 @register("delete_turns_e3", """
 SELECT kind, id FROM (
   SELECT 'turn' AS kind, id FROM turns WHERE role <> 'user'
-  UNION ALL SELECT 'atom', e.atom_id FROM atom_evidence e JOIN turns t ON t.id = e.stream_id WHERE t.role = 'user' GROUP BY 2
-  UNION ALL SELECT 'edge', concat(e.atom_id, '/', e.stream_id) FROM atom_evidence e JOIN turns t ON t.id = e.stream_id WHERE t.role <> 'user') x""")
+  UNION ALL SELECT 'atom', concat(e.store_key, '/', e.atom_id) FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key WHERE t.role = 'user' GROUP BY 2
+  UNION ALL SELECT 'edge', concat(e.atom_id, '/', e.stream_id) FROM atom_evidence e JOIN turns t ON t.id = e.stream_id AND t.store_key = e.store_key WHERE t.role <> 'user') x""")
 def _(v):
-    turns_, evidence, affected = lifecycle.delete_turns(v.turns.where("role = 'user'").select("id"), v.turns, v.atom_evidence)
+    turns_, evidence, affected = lifecycle.delete_turns(v.turns.where("role = 'user'"), v.turns, v.atom_evidence)
     edge = F.concat_ws("/", "atom_id", "stream_id")
     return turns_.select(F.lit("turn").alias("kind"), "id").unionByName(
-        affected.select(F.lit("atom").alias("kind"), F.col("atom_id").alias("id"))
+        affected.select(F.lit("atom").alias("kind"), F.concat_ws("/", "store_key", "atom_id").alias("id"))
     ).unionByName(evidence.select(F.lit("edge").alias("kind"), edge.alias("id")))
 
 
 @register("delete_atoms_e4", """
 SELECT 'atom' AS kind, id AS atom_id, '' AS other_id FROM atoms WHERE status <> 'archived'
-UNION ALL SELECT 'edge', e.atom_id, e.stream_id FROM atom_evidence e JOIN atoms a ON a.id = e.atom_id WHERE a.status <> 'archived'
-UNION ALL SELECT 'member', m.atom_id, m.scene_id FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id WHERE a.status <> 'archived'""")
+UNION ALL SELECT 'edge', e.atom_id, e.stream_id FROM atom_evidence e JOIN atoms a ON a.id = e.atom_id AND a.store_key = e.store_key WHERE a.status <> 'archived'
+UNION ALL SELECT 'member', m.atom_id, m.scene_id FROM scene_atoms m JOIN atoms a ON a.id = m.atom_id AND a.store_key = m.store_key WHERE a.status <> 'archived'""")
 def _(v):
-    gone = v.atom_keys.where("status = 'archived'").select("id")
+    gone = v.atom_keys.where("status = 'archived'").select("store_key", "id")
     atoms_, edges, members = lifecycle.delete_atoms(gone, v.atom_keys, v.atom_evidence, v.scene_atoms)
 
     def rows(df: DataFrame, kind: str, atom: str, other: str | None) -> DataFrame:
@@ -1452,7 +1492,7 @@ def _(v):
 
 @register("delete_scenes_e5", """
 SELECT 'scene' AS kind, scene_id, '' AS atom_id FROM scenes WHERE status <> 'retired'
-UNION ALL SELECT 'member', m.scene_id, m.atom_id FROM scene_atoms m WHERE NOT EXISTS (SELECT 1 FROM scenes s WHERE s.scene_id = m.scene_id AND s.status = 'retired')""")
+UNION ALL SELECT 'member', m.scene_id, m.atom_id FROM scene_atoms m WHERE NOT EXISTS (SELECT 1 FROM scenes s WHERE s.scene_id = m.scene_id AND s.store_key = m.store_key AND s.status = 'retired')""")
 def _(v):
     left, members = lifecycle.delete_scenes(v.scenes.where("status = 'retired'"), v.scenes, v.scene_atoms)
     return left.select(F.lit("scene").alias("kind"), "scene_id", F.lit("").alias("atom_id")).unionByName(
@@ -1464,14 +1504,13 @@ DIRTY_SQL = """
 SELECT c.store_key, c.marked_s, c.reason FROM (
   SELECT store_key, max(changed_s) AS marked_s, arg_max(reason, (changed_s, reason)) AS reason
   FROM (SELECT store_key, changed_s, concat(coalesce(new_status, 'metadata'), ' ', atom_id) AS reason FROM atom_changes WHERE new_status IS NOT NULL) z GROUP BY 1) c
-LEFT JOIN (SELECT store_key, max(started_s) AS clean_s FROM passes WHERE status = 'done' AND store_key <> 'tenant1:self' AND pass_no < 10 GROUP BY 1) p ON p.store_key = c.store_key
+LEFT JOIN (SELECT store_key, max(started_s) AS clean_s FROM passes WHERE status = 'done' GROUP BY 1) p ON p.store_key = c.store_key
 WHERE c.marked_s > coalesce(p.clean_s, -1)"""
 
 
 def _dirty(v: MemoryViews) -> DataFrame:
     changes = v.atom_changes.where("new_status IS NOT NULL").withColumn("reason", F.concat_ws(" ", "new_status", "atom_id"))
-    clean = v.passes.where("store_key <> 'tenant1:self' AND pass_no < 10")
-    return inventory.dirty_stores(changes, clean)
+    return inventory.dirty_stores(changes, v.passes)
 
 
 @register("dirty_stores_e6", DIRTY_SQL)
@@ -1502,11 +1541,11 @@ def _(v):
 
 
 @register("add_edges_e9", """
-SELECT DISTINCT atom_id, stream_id FROM (SELECT atom_id, stream_id FROM atom_evidence
-  UNION ALL SELECT atom_id, regexp_replace(stream_id, '-[0-9]+$', '-0') FROM atom_evidence) x""")
+SELECT DISTINCT store_key, atom_id, stream_id FROM (SELECT store_key, atom_id, stream_id FROM atom_evidence
+  UNION ALL SELECT store_key, atom_id, regexp_replace(stream_id, '-[0-9]+$', '-0') FROM atom_evidence) x""")
 def _(v):
-    edges = v.atom_evidence.select("atom_id", "stream_id")
-    new = edges.select("atom_id", F.regexp_replace("stream_id", "-[0-9]+$", "-0").alias("stream_id"))
+    edges = v.atom_evidence.select("store_key", "atom_id", "stream_id")
+    new = edges.select("store_key", "atom_id", F.regexp_replace("stream_id", "-[0-9]+$", "-0").alias("stream_id"))
     return lifecycle.add_edges(new, edges)
 
 
@@ -1520,19 +1559,20 @@ def _(v):
     return audit.list_passes(_summaries(v), status="done", actions=["merge", "update"]).select(SUMMARY_COLUMNS)
 
 
-@register("sample_decisions_k2")
+@register("sample_decisions_k2", """
+SELECT * FROM decisions ORDER BY sha256(concat('7|', pass_id, '|', id)), id LIMIT 25""")
 def _(v):
     return audit.sample_decisions(v.decisions, 25, seed=7)
 
 
 WARN = {
-    "large_extraction": "SELECT pass_id, 'large_extraction' AS code, concat(candidate_count, ' candidate(s) extracted from ', input_turn_count, ' turn(s)') AS message FROM passes WHERE input_turn_count > 0 AND candidate_count / input_turn_count > 1.5",
-    "empty": "SELECT pass_id, 'empty_extraction', concat('0 candidates extracted from ', input_turn_count, ' turns') FROM passes WHERE input_turn_count >= 5 AND candidate_count = 0",
-    "merge": "SELECT pass_id, 'large_merge' AS code, concat('merge absorbed ', n_targets, ' active atom(s) (decision ', id, ')') AS message FROM decisions WHERE action = 'merge' AND n_targets >= 3",
-    "scene": "SELECT pass_id, 'scene_churn' AS code, concat(scene_kind, ' scene ', scene_id, ' membership changed ', floor((n_added + n_removed) / greatest(members_before, members_after, 1) * 100 + 0.5)::BIGINT, '%') AS message FROM scene_effects WHERE effect NOT IN ('created', 'retired') AND (n_added + n_removed) / greatest(members_before, members_after, 1) > 0.5",
-    "growth": "SELECT pass_id, 'atom_growth_spike' AS code, concat(n, ' new atom(s) stored in a single pass') AS message FROM (SELECT pass_id, count(*) AS n FROM decisions WHERE action = 'store' GROUP BY 1) g WHERE n >= {spike}",
-    "rapid": f"SELECT pass_id, 'rapid_supersession' AS code, concat('atom ', target_id, ' superseded/absorbed ', floor(age_minutes + 0.5)::BIGINT, ' min after creation (decision ', decision_id, ')') AS message FROM ({AGES_SQL}) x WHERE action IN ('update', 'merge') AND age_minutes >= 0 AND age_minutes < 60",
-    "core": "SELECT pass_id, 'core_churn' AS code, concat('core size changed ', floor(abs(new_chars - old_chars) / greatest(old_chars, 1) * 100 + 0.5)::BIGINT, '% (', old_chars, ' → ', new_chars, ' chars)') AS message FROM core_effects WHERE effect = 'regenerated' AND old_chars > 0 AND abs(new_chars - old_chars) / greatest(old_chars, 1) > 0.5",
+    "large_extraction": "SELECT pass_id, 'large_extraction' AS code, concat(candidate_count, ' candidates out of ', input_turn_count, ' turns; limit 1.5 per turn') AS message FROM passes WHERE input_turn_count > 0 AND candidate_count / input_turn_count > 1.5",
+    "empty": "SELECT pass_id, 'empty_extraction', concat(input_turn_count, ' turns gave no candidate; expected from 5 turns on') FROM passes WHERE input_turn_count >= 5 AND candidate_count = 0",
+    "merge": "SELECT pass_id, 'large_merge' AS code, concat('decision ', id, ' merges ', n_targets, ' atoms; limit 3') AS message FROM decisions WHERE action = 'merge' AND n_targets >= 3",
+    "scene": "SELECT pass_id, 'scene_churn' AS code, concat(floor((n_added + n_removed) / greatest(members_before, members_after, 1) * 100 + 0.5)::BIGINT, '% of the members of ', scene_kind, ' ', scene_id, ' moved; limit 50%') AS message FROM scene_effects WHERE effect NOT IN ('created', 'retired') AND (n_added + n_removed) / greatest(members_before, members_after, 1) > 0.5",
+    "growth": "SELECT pass_id, 'atom_growth_spike' AS code, concat('the pass stored ', n, ' atoms; limit {spike}') AS message FROM (SELECT pass_id, count(*) AS n FROM decisions WHERE action = 'store' GROUP BY 1) g WHERE n >= {spike}",
+    "rapid": f"SELECT pass_id, 'rapid_supersession' AS code, concat('decision ', decision_id, ' replaces ', target_id, ', which is ', floor(age_minutes + 0.5)::BIGINT, ' minutes old; limit 60') AS message FROM ({AGES_SQL}) x WHERE action IN ('update', 'merge') AND age_minutes >= 0 AND age_minutes < 60",
+    "core": "SELECT pass_id, 'core_churn' AS code, concat('profile went from ', old_chars, ' to ', new_chars, ' characters, ', floor(abs(new_chars - old_chars) / greatest(old_chars, 1) * 100 + 0.5)::BIGINT, '%; limit 50%') AS message FROM core_effects WHERE effect = 'regenerated' AND old_chars > 0 AND abs(new_chars - old_chars) / greatest(old_chars, 1) > 0.5",
 }
 CODES = ["pass_id", "code", "message"]
 
@@ -1630,12 +1670,12 @@ def _(v):
 
 @register("membership_diff_k12", f"""
 WITH {EPISODE_CTES}
-SELECT scene_id, atom_id, CASE change WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '=' END AS marker FROM delta""")
+SELECT store_key, scene_id, atom_id, CASE change WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '=' END AS marker FROM delta""")
 def _(v):
     members, _effects, delta = _episodes(v)
     moves = delta.where("change <> 'kept'").withColumn("pass_id", F.lit("p"))
     rows = audit.membership_diff(moves, members.withColumn("pass_id", F.lit("p")))
-    return rows.select("scene_id", "atom_id", "marker")
+    return rows.select("store_key", "scene_id", "atom_id", "marker")
 
 
 @register("narration_failures_k13", """

@@ -27,7 +27,7 @@ FROM conversations""",
     "atoms": """
 SELECT * EXCLUDE (rn) FROM (
   SELECT b.*, concat('l1-', substr(sha256(concat(type, ':', content)), 1, 24)) AS id,
-         row_number() OVER (PARTITION BY type, content ORDER BY src_doc_id) AS rn
+         row_number() OVER (PARTITION BY store_key, type, content ORDER BY src_doc_id) AS rn
   FROM (
     SELECT d.doc_id AS src_doc_id, d.text AS content,
            concat('tenant', d.doc_id % 4, ':self') AS store_key,
@@ -54,7 +54,7 @@ SELECT concat('scene-', d.doc_id) AS scene_id, concat('tenant', d.doc_id % 4, ':
        1704067200 + (d.doc_id * 1800) % 5184000 AS updated_s, e.embedding
 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
     "scene_atoms": """
-SELECT concat('scene-', unnest(list_distinct([src_doc_id, src_doc_id // 2, src_doc_id // 3]))) AS scene_id,
+SELECT store_key, concat('scene-', unnest(list_distinct([src_doc_id, src_doc_id // 8 * 4 + src_doc_id % 4, src_doc_id // 12 * 4 + src_doc_id % 4]))) AS scene_id,
        id AS atom_id FROM atoms""",
     "core": """
 SELECT concat('tenant', n_nationkey % 4, ':self') AS store_key,
@@ -86,16 +86,16 @@ SELECT recall_id, store_key, ordinal,
        CASE WHEN ordinal <= 2 THEN 'T1' WHEN ordinal = 3 THEN 'T2' ELSE 'T3' END AS tier,
        CASE WHEN ordinal = 0 THEN 'pinned' WHEN ordinal <= 2 THEN 'ranked'
             WHEN ordinal = 3 THEN 'scene' ELSE 'core' END AS source,
-       event_id // 10 + ordinal * 3 AS item_doc_id, 40 + (event_id * 13 + ordinal * 7) % 560 AS chars,
+       (event_id // 40 + ordinal * 3) * 4 + substr(store_key, 7, 1)::BIGINT AS item_doc_id, 40 + (event_id * 13 + ordinal * 7) % 560 AS chars,
        CASE (event_id + ordinal) % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'used' ELSE 'unused' END AS usage
 FROM (SELECT *, unnest(range(0, event_id % 5 + 1)) AS ordinal FROM traces) t""",
     "trace_refs": """
 SELECT i.recall_id, i.store_key, i.ordinal, i.tier, i.source, i.chars, i.usage,
        CASE i.tier WHEN 'T1' THEN coalesce(a.id, concat('gone-', i.item_doc_id))
                    WHEN 'T2' THEN concat('scene-', i.item_doc_id) ELSE 'core' END AS item_id
-FROM trace_items i LEFT JOIN atoms a ON a.src_doc_id = i.item_doc_id""",
+FROM trace_items i LEFT JOIN atoms a ON a.src_doc_id = i.item_doc_id AND a.store_key = i.store_key""",
     "passes": """
-SELECT concat('pass-', o_orderkey) AS pass_id, concat('tenant', o_custkey % 4, ':self') AS store_key,
+SELECT concat('pass-', o_orderkey) AS pass_id, concat('tenant', o_orderkey % 4, ':self') AS store_key,
        o_orderkey AS pass_no, 1704067200 + o_orderkey * 60 AS started_s,
        CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'done' END AS status,
        CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0
@@ -109,19 +109,20 @@ SELECT concat('pass-', l_orderkey) AS pass_id, concat('pass-', l_orderkey, '-dec
        l_linenumber::BIGINT AS position,
        CASE part % 4 WHEN 0 THEN 'store' WHEN 1 THEN 'update' WHEN 2 THEN 'merge' ELSE 'skip' END AS action,
        (CASE part % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 + supp % 3 ELSE 0 END)::BIGINT AS n_targets,
-       part AS atom_doc
+       concat('tenant', l_orderkey % 4, ':self') AS store_key, part // 4 * 4 + l_orderkey % 4 AS atom_doc
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp
       FROM lineitem GROUP BY ALL) x""",
     "decision_targets": """
-SELECT t.decision_id, t.pass_id, t.action, t.position, t.target_no,
-       coalesce(a.id, concat('gone-', t.atom_doc // 2 + t.target_no)) AS target_id
-FROM (SELECT id AS decision_id, pass_id, action, position, atom_doc,
-             unnest(range(1, n_targets + 1)) AS target_no FROM decisions) t
-LEFT JOIN atoms a ON a.src_doc_id = t.atom_doc // 2 + t.target_no""",
+SELECT t.decision_id, t.pass_id, t.store_key, t.action, t.position, t.target_no,
+       coalesce(a.id, concat('gone-', t.target_doc)) AS target_id
+FROM (SELECT *, (atom_doc // 8 + target_no) * 4 + substr(store_key, 7, 1)::BIGINT AS target_doc FROM (
+        SELECT id AS decision_id, pass_id, store_key, action, position, atom_doc,
+             unnest(range(1, n_targets + 1)) AS target_no FROM decisions) u) t
+LEFT JOIN atoms a ON a.src_doc_id = t.target_doc AND a.store_key = t.store_key""",
     "decision_rows": """
-SELECT d.pass_id, d.id, d.position, d.action, d.n_targets,
+SELECT d.pass_id, d.store_key, d.id, d.position, d.action, d.n_targets,
        CASE WHEN d.action <> 'skip' THEN a.id END AS atom_id
-FROM decisions d LEFT JOIN atoms a ON a.src_doc_id = d.atom_doc""",
+FROM decisions d LEFT JOIN atoms a ON a.src_doc_id = d.atom_doc AND a.store_key = d.store_key""",
     "scene_effects": """
 SELECT concat('pass-', l_orderkey) AS pass_id, concat('scene-', l_partkey) AS scene_id,
        CASE WHEN l_partkey % 2 = 0 THEN 'episode' ELSE 'topic' END AS scene_kind,
@@ -147,7 +148,8 @@ SELECT atom_id, store_key, change_seq, 1704067200 + src_doc_id * 60 + change_seq
        CASE WHEN (src_doc_id + change_seq) % 5 = 0 THEN 'archived'
             WHEN (src_doc_id + change_seq) % 7 = 0 THEN 'superseded' END AS new_status,
        CASE WHEN (src_doc_id + change_seq) % 3 = 0 THEN 'high' END AS new_confidence,
-       CASE WHEN (src_doc_id + change_seq) % 11 = 0 THEN true END AS new_pinned
+       CASE WHEN (src_doc_id + change_seq) % 11 = 0 THEN true END AS new_pinned,
+       CASE WHEN (src_doc_id + change_seq) % 4 = 0 THEN ['seen', concat('step-', change_seq)] WHEN (src_doc_id + change_seq) % 13 = 0 THEN []::VARCHAR[] END AS new_tags
 FROM (SELECT id AS atom_id, store_key, src_doc_id, unnest([1, 2, 3])::BIGINT AS change_seq FROM atoms) a""",
     "attempts": """
 SELECT concat('job-', user_id, '-', event_id // 2000) AS job_id, concat('tenant', user_id % 4, ':self') AS store_key,
@@ -172,7 +174,7 @@ SELECT event_id AS request_id, concat('tenant', user_id % 4) AS tenant,
        event_type IN ('purchase', 'signup') AS is_write FROM events""",
     "incoming_turns": """
 SELECT copy::BIGINT * 1000000000000 + conv_id * 100000 + turn AS arrival,
-       concat('in-', conv_id, '-', turn, '-', copy) AS id, concat('tenant', conv_id % 4, ':self') AS store_key,
+       concat('turn-', conv_id, '-', turn) AS id, concat('tenant', conv_id % 4, ':self') AS store_key,
        concat('sess-', conv_id) AS session_id,
        CASE WHEN copy = 3 THEN turn + 100000 ELSE turn END AS turn_index, concat(conv_id, ':', turn) AS turn_id,
        CASE WHEN copy = 2 THEN concat(text, ' (edited)') ELSE text END AS content

@@ -34,22 +34,22 @@ def export_cases(
     turn = F.struct("place", "stream_id", "session_id", "role", "content", "truncated")
 
     def lists(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return with_evidence_text(rows, turns, max_chars).groupBy(key).agg(
+        return with_evidence_text(rows, turns, max_chars).groupBy("store_key", key).agg(
             F.array_sort(F.collect_list(turn)).alias(name)
         )
 
     named = targets.join(
-        atoms.select(F.col("id").alias("target_id"), "type", "content", "confidence"), "target_id", "left"
+        atoms.select("store_key", F.col("id").alias("target_id"), "type", "content", "confidence"), ["store_key", "target_id"], "left"
     )
     atom = F.struct("target_no", "target_id", "type", "content", "confidence")
-    existing = named.groupBy("decision_id").agg(F.array_sort(F.collect_list(atom)).alias("existing_atoms"))
+    existing = named.groupBy("store_key", "decision_id").agg(F.array_sort(F.collect_list(atom)).alias("existing_atoms"))
     window = F.when(F.col("atom_id").isNull(), F.col("_w"))
     return (
         decisions.withColumnRenamed("id", "decision_id")
-        .join(lists(of_atom, "atom_id", "_a"), "atom_id", "left")
-        .join(lists(of_pass, "pass_id", "_w"), "pass_id", "left")
-        .join(existing, "decision_id", "left")
-        .join(passes.select("pass_id", "store_key"), "pass_id")
+        .join(lists(of_atom, "atom_id", "_a"), ["store_key", "atom_id"], "left")
+        .join(lists(of_pass, "pass_id", "_w"), ["store_key", "pass_id"], "left")
+        .join(existing, ["store_key", "decision_id"], "left")
+        .join(passes.select("pass_id", "store_key"), ["store_key", "pass_id"])
         .select("store_key", "pass_id", "decision_id", "action", F.coalesce("_a", window).alias("input_evidence"),
                 "existing_atoms", F.col("atom_id").alias("resulting_atom_id"))
     )

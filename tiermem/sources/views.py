@@ -21,6 +21,10 @@ def _tenant(number: Column) -> Column:
     return F.concat(F.lit("tenant"), (number % 4).cast("string"), F.lit(":self"))
 
 
+def _store_no(key: str = "store_key") -> Column:
+    return F.substring(key, 7, 1).cast("long")
+
+
 def _pick(number: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
 
@@ -37,14 +41,9 @@ class MemoryViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _spread(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Give every core work when the input has fewer splits than the cluster has cores."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
     @cached_property
     def documents(self) -> DataFrame:
-        return self._spread(self.table("documents").select("doc_id", "text"), "doc_id")
+        return self.table("documents").select("doc_id", "text")
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -81,17 +80,18 @@ class MemoryViews:
         typed = self.documents.withColumn(
             "type", _pick(doc, ["fact", "pattern", "preference", "constraint", "instruction"])
         )
-        named = typed.withColumn("id", identity.atom_id(F.col("type"), F.col("text")))
+        named = typed.withColumns({"id": identity.atom_id(F.col("type"), F.col("text")), "store_key": _tenant(doc)})
+        # Ids are hashes of type and text: unique in a store, the same in two stores that hold the same sentence.
         # One pass, one shuffle; copies shrink to one row before it, and the text is
         # pruned away for readers that only need keys.
-        first = named.groupBy("id").agg(
+        first = named.groupBy("store_key", "id").agg(
             F.min("doc_id").alias("doc_id"), F.min_by("type", "doc_id").alias("type"),
             F.min_by("text", "doc_id").alias("text"),
         )
         status = _pick(doc, ["active"] * 7 + ["superseded", "merged", "archived"])
         return first.select(
             "id",
-            _tenant(doc).alias("store_key"),
+            "store_key",
             doc.alias("src_doc_id"),
             "type",
             F.col("text").alias("content"),
@@ -151,9 +151,9 @@ class MemoryViews:
     @cached_property
     def scene_atoms(self) -> DataFrame:
         doc = F.col("src_doc_id")
-        homes = F.array_distinct(F.array(doc, _idiv(doc, 2), _idiv(doc, 3)))
-        rows = self.atom_keys.select(F.col("id").alias("atom_id"), F.explode(homes).alias("home"))
-        return rows.select(F.concat_ws("-", F.lit("scene"), "home").alias("scene_id"), "atom_id")
+        homes = F.array_distinct(F.array(doc, _idiv(doc, 8) * 4 + doc % 4, _idiv(doc, 12) * 4 + doc % 4))
+        rows = self.atom_keys.select("store_key", F.col("id").alias("atom_id"), F.explode(homes).alias("home"))
+        return rows.select("store_key", F.concat_ws("-", F.lit("scene"), "home").alias("scene_id"), "atom_id")
 
     @cached_property
     def core(self) -> DataFrame:
@@ -226,7 +226,7 @@ class MemoryViews:
             "recall_id", "store_key", event,
             F.explode(F.sequence(F.lit(0).cast("long"), event % 5)).alias("ordinal"),
         )
-        target = _idiv(event, 10) + at * 3
+        target = (_idiv(event, 40) + at * 3) * 4 + _store_no()
         return rows.select(
             "recall_id",
             "store_key",
@@ -242,10 +242,10 @@ class MemoryViews:
     @cached_property
     def trace_refs(self) -> DataFrame:
         """Trace items with the id of the atom or scene they name."""
-        ids = self.atom_keys.select(F.col("src_doc_id").alias("item_doc_id"), "id")
+        ids = self.atom_keys.select(F.col("src_doc_id").alias("item_doc_id"), "store_key", "id")
         item = F.when(F.col("tier") == "T1", F.coalesce("id", F.concat_ws("-", F.lit("gone"), "item_doc_id")))
         item = item.when(F.col("tier") == "T2", F.concat_ws("-", F.lit("scene"), "item_doc_id"))
-        return self.trace_items.join(ids, "item_doc_id", "left").select(
+        return self.trace_items.join(ids, ["store_key", "item_doc_id"], "left").select(
             "recall_id", "store_key", "ordinal", "tier", "source", "chars", "usage",
             item.otherwise("core").alias("item_id"),
         )
@@ -261,7 +261,7 @@ class MemoryViews:
         )).when(failed, F.lit("malformed extraction response"))
         return self.table("orders").select(
             F.concat(F.lit("pass-"), key.cast("string")).alias("pass_id"),
-            _tenant(F.col("o_custkey")).alias("store_key"),
+            _tenant(key).alias("store_key"),
             key.alias("pass_no"),
             (EPOCH_S + key * 60).alias("started_s"),
             F.when(failed, "failed").otherwise("done").alias("status"),
@@ -285,29 +285,31 @@ class MemoryViews:
             _pick(part, ["store", "update", "merge", "skip"]).alias("action"),
             F.when(part % 4 == 1, 1).when(part % 4 == 2, 2 + F.col("supp") % 3)
             .otherwise(0).cast("long").alias("n_targets"),
-            part.alias("atom_doc"),
+            _tenant(F.col("l_orderkey")).alias("store_key"),
+            (_idiv(part, 4) * 4 + F.col("l_orderkey") % 4).alias("atom_doc"),
         )
 
     @cached_property
     def decision_targets(self) -> DataFrame:
         one = F.lit(1).cast("long")
         rows = self.decisions.where("n_targets > 0").select(
-            F.col("id").alias("decision_id"), "pass_id", "action", "position", "atom_doc",
+            F.col("id").alias("decision_id"), "pass_id", "store_key", "action", "position", "atom_doc",
             F.explode(F.sequence(one, F.col("n_targets"))).alias("target_no"),
         )
-        ids = self.atom_keys.select(F.col("src_doc_id").alias("target_doc"), F.col("id").alias("target_id"))
-        placed = rows.withColumn("target_doc", _idiv(F.col("atom_doc"), 2) + F.col("target_no"))
-        return placed.join(ids, "target_doc", "left").select(
-            "decision_id", "pass_id", "action", "position", "target_no",
+        ids = self.atom_keys.select(F.col("src_doc_id").alias("target_doc"), "store_key", F.col("id").alias("target_id"))
+        target = (_idiv(F.col("atom_doc"), 8) + F.col("target_no")) * 4 + _store_no()
+        placed = rows.withColumn("target_doc", target)
+        return placed.join(ids, ["store_key", "target_doc"], "left").select(
+            "decision_id", "pass_id", "store_key", "action", "position", "target_no",
             F.coalesce("target_id", F.concat_ws("-", F.lit("gone"), "target_doc")).alias("target_id"),
         )
 
     @cached_property
     def decision_rows(self) -> DataFrame:
         """Decisions with the id of the atom they wrote (null for a skip)."""
-        ids = self.atom_keys.select(F.col("src_doc_id").alias("atom_doc"), F.col("id").alias("doc_atom"))
-        return self.decisions.join(ids, "atom_doc", "left").select(
-            "pass_id", "id", "position", "action", "n_targets",
+        ids = self.atom_keys.select(F.col("src_doc_id").alias("atom_doc"), "store_key", F.col("id").alias("doc_atom"))
+        return self.decisions.join(ids, ["store_key", "atom_doc"], "left").select(
+            "pass_id", "store_key", "id", "position", "action", "n_targets",
             F.when(F.col("action") != "skip", F.col("doc_atom")).alias("atom_id"),
         )
 
@@ -375,6 +377,8 @@ class MemoryViews:
             F.when(mix % 5 == 0, "archived").when(mix % 7 == 0, "superseded").alias("new_status"),
             F.when(mix % 3 == 0, "high").alias("new_confidence"),
             F.when(mix % 11 == 0, True).alias("new_pinned"),
+            F.when(mix % 4 == 0, F.array(F.lit("seen"), F.concat(F.lit("step-"), F.col("change_seq").cast("string"))))
+            .when(mix % 13 == 0, F.array().cast("array<string>")).alias("new_tags"),
         )
 
     @cached_property
@@ -448,7 +452,7 @@ class MemoryViews:
         # copy 0: the turn; 1: sent again; 2: edited; 3: same turn_id at another index
         return copies.select(
             (F.col("copy") * 1000000000000 + conv * 100000 + turn).alias("arrival"),
-            F.concat_ws("-", F.lit("in"), conv, turn, "copy").alias("id"),
+            F.concat_ws("-", F.lit("turn"), conv, turn).alias("id"),
             "store_key",
             "session_id",
             F.when(F.col("copy") == 3, turn + 100000).otherwise(turn).alias("turn_index"),
