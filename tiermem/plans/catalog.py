@@ -6,10 +6,11 @@ checked in ``tests/`` against brute force on small fixtures.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiermem.functions import identity, text
 from tiermem.functions.vectors import hash_embed
@@ -19,8 +20,10 @@ from tiermem.operators import (
 )
 from tiermem.plans import oracle_search as osql
 from tiermem.plans.views_sql import toks, with_views
+from tiermem.session import cut_lineage, shared_folder
 from tiermem.sources import export, snapshot
 from tiermem.sources.views import AS_OF_S, EPOCH_S, MemoryViews
+from tiermem.streaming import incremental, keyed, rolling
 
 
 @dataclass(frozen=True)
@@ -433,6 +436,21 @@ def _(v):
     return checks.duplicate_turn_keys(v.incoming_turns)
 
 
+@register("check_registry_c8", """
+SELECT concat('pool-', s_suppkey) AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'name_mismatch' WHEN s_suppkey % 7 = 0 THEN 'members_missing'
+  WHEN s_nationkey % 4 = 3 THEN 'bad_access' WHEN s_suppkey % 11 = 0 THEN 'bad_dates' ELSE 'ok' END AS verdict FROM supplier""")
+def _(v):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    name = F.concat(F.lit("pool-"), key.cast("string"))
+    access_ = F.element_at(F.array(*map(F.lit, ["none", "read", "readwrite", "owner"])), (nation % 4 + 1).cast("int"))
+    declared = v.table("supplier").select(
+        name.alias("key"), F.when(key % 5 != 0, name).otherwise("other").alias("name"),
+        F.when(key % 7 != 0, F.create_map(F.lit("tenant0"), F.lit("read"), F.lit("tenant1"), access_)).alias("members"),
+        F.when(key % 11 != 0, F.lit("2024-01-01")).alias("created_at"), F.lit("2024-01-02").alias("updated_at"),
+    )
+    return checks.check_registry(declared)
+
+
 @register("check_members_c8", """
 SELECT c_name AS pool, concat('tenant', c_custkey % 4) AS tenant,
        CASE WHEN NOT regexp_full_match(c_name, '[a-z0-9][a-z0-9_-]{0,63}') THEN 'bad_name'
@@ -599,6 +617,12 @@ def _(v):
     )
 
 
+@register("visible_rows_j9", """
+SELECT r.request_id, r.pool FROM pool_requests r JOIN pool_members m ON m.pool = r.pool AND m.tenant = 'tenant1' WHERE m.access <> 'none'""")
+def _(v):
+    return access.visible_rows(v.pool_requests, v.pool_members, "tenant1").select("request_id", "pool")
+
+
 @register("pools_for_tenants_j9", "SELECT tenant, pool, access FROM pool_members WHERE access <> 'none'")
 def _(v):
     return access.pools_for(v.pool_members)
@@ -671,6 +695,11 @@ def _jobs(v: MemoryViews) -> DataFrame:
     return inventory.attempt_ledger(v.attempts, AS_OF)
 
 
+@register("dead_jobs_m2", f"SELECT job_id, store_key, attempts, updated_s FROM ({LEDGER_SQL}) j WHERE status = 'dead'")
+def _(v):
+    return inventory.dead_jobs(_jobs(v)).select("job_id", "store_key", "attempts", "updated_s")
+
+
 @register("job_report_m2", f"""
 SELECT status, count(*) AS n, arg_min(job_id, (updated_s, job_id)) AS oldest_job, min(updated_s) AS oldest_s,
        CASE WHEN status = 'dead' THEN 'error' WHEN status = 'pending' AND 1709251200 - min(updated_s) > 900 THEN 'warn' ELSE 'ok' END AS level
@@ -1722,6 +1751,68 @@ def _(v):
     return inventory.embedding_lock(vectors, "m1", 64)
 
 
+# ── streams as tables ────────────────────────────────────────────────────────
+
+
+@register("settle_messages_h2", r"""
+SELECT message_id, session_id, role, content FROM (
+  SELECT message_id, session_id, role, CASE WHEN turn % 2 = 0 AND one <> '' THEN one ELSE two END AS content FROM (
+    SELECT turn, concat('m-', conv_id, '-', turn) AS message_id, concat('sess-', conv_id) AS session_id, role,
+           regexp_replace(substr(text, 1, 20), '^\s+|\s+$', '', 'g') AS one,
+           CASE WHEN turn % 5 = 0 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS two FROM conversations WHERE turn % 7 <> 6) p) x
+WHERE content <> ''""")
+def _(v):
+    turn = F.col("turn")
+    base = v.table("conversations").select(
+        F.concat_ws("-", F.lit("m"), "conv_id", turn).alias("message_id"),
+        F.concat(F.lit("sess-"), F.col("conv_id").cast("string")).alias("session_id"), turn, "role", "text",
+    )
+
+    def event(seq, kind: str, role, text_) -> Column:
+        return F.struct(seq.cast("long").alias("event_seq"), F.lit(kind).alias("kind"), role.alias("role"), text_.alias("text"))
+
+    none = F.lit(None).cast("string")
+    # a growing text in two parts, blank at the end for some; settled before or after them, or never
+    events = F.array(
+        event(F.lit(1), "part", none, F.substring("text", 1, 20)),
+        event(F.lit(2), "part", none, F.when(turn % 5 == 0, "  ").otherwise(F.col("text"))),
+        F.when(turn % 7 != 6, event(F.when(turn % 2 == 0, 0).otherwise(3), "settled", F.col("role"), none)),
+    )
+    rows = base.select("message_id", "session_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
+    return keyed.settle_messages(rows.select("message_id", "session_id", "e.*"))
+
+
+@register("rolling_latency_h7", f"""
+SELECT l.store_key, l.obs_s // 300 * 300 AS window_s, b.bin::BIGINT AS bin, count(*) AS n FROM latency l JOIN {BINS_SQL} b ON l.ms >= b.lo AND l.ms < b.hi GROUP BY 1, 2, 3""")
+def _(v):
+    samples = v.latency.select("store_key", F.timestamp_seconds("obs_s").alias("ts"), "ms")
+    return rolling.rolling_histogram(samples).select("store_key", F.unix_timestamp("window_start").alias("window_s"), "bin", "n")
+
+
+@register("incremental_distill_h3", r"""
+WITH said AS (SELECT store_key, session_id, id, seq, (seq - 1) // 20 AS w, concat('l1-', substr(sha256(concat('fact:', trim(regexp_replace(content, '\s+', ' ', 'g')))), 1, 24)) AS atom
+              FROM turns WHERE role = 'user'),
+edges AS (SELECT DISTINCT s.store_key, s.atom, t.id, t.session_id FROM said s JOIN turns t ON t.store_key = s.store_key AND (t.seq - 1) // 20 = s.w)
+SELECT DISTINCT 'atom' AS kind, store_key, atom AS key FROM said
+UNION ALL SELECT 'edge', store_key, concat(atom, '/', id) FROM edges
+UNION ALL SELECT DISTINCT 'episode', store_key, concat('episode:', substr(sha256(session_id), 1, 24), '/', atom) FROM edges
+UNION ALL SELECT 'cursor', store_key, max(seq)::VARCHAR FROM turns GROUP BY 2""")
+def _(v):
+    turns = cut_lineage(v.turns)
+    sink = f"{shared_folder(v.spark)}/distill-{uuid.uuid4().hex}"
+    cut = turns.groupBy("store_key").agg((F.floor(F.max("seq") / 40) * 20).alias("cut"))
+    incremental.distill_batch(turns.join(cut, "store_key").where("seq <= cut").drop("cut"), 0, sink)
+    incremental.distill_batch(turns, 1, sink)
+
+    def rows(kind: str, name: str, *parts: str) -> DataFrame:
+        found = incremental.read_output(v.spark, sink, name)
+        return found.select(F.lit(kind).alias("kind"), "store_key", F.concat_ws("/", *parts).alias("key"))
+
+    heads = incremental.latest_cursors(v.spark, sink).select(F.lit("cursor").alias("kind"), "store_key", F.col("cursor").cast("string").alias("key"))
+    return rows("atom", "atoms", "id").unionByName(rows("edge", "evidence", "atom_id", "stream_id")).unionByName(
+        rows("episode", "episodes", "scene_id", "atom_id")).unionByName(heads)
+
+
 # ── gates and ledgers ────────────────────────────────────────────────────────
 
 
