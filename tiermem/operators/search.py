@@ -29,45 +29,31 @@ class Weights:
     half_life_days: float = 30.0
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """docs(store_key, id, body) -> (store_key, id, term, tf, doc_len).
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """docs(store_key, id, body) -> (store_key, id, term, tf, doc_len), in one pass over the texts.
 
-    With a vocabulary (column ``term``) other words are dropped before the shuffle.
+    Every document also has a row under the empty term, so that the size and the length
+    of a store follow from the same table. With ``wanted`` (store_key, term) other stores
+    are not tokenised and other words are dropped before the shuffle.
     """
+    if wanted is not None:
+        docs = docs.join(wanted.select("store_key").distinct(), "store_key", "left_semi")
     words = text.tokens(F.col("body"))
     rows = docs.select("store_key", "id", words.alias("w")).select(
-        "store_key", "id", F.size("w").alias("doc_len"), F.explode("w").alias("term")
+        "store_key", "id", F.size("w").alias("doc_len"), F.explode(F.array_append("w", F.lit(""))).alias("term")
     )
-    if vocabulary is not None:
-        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    # Stated here so that every join on these keys sees the same, shareable plan below.
-    keyed = rows.where("store_key IS NOT NULL AND id IS NOT NULL AND term IS NOT NULL")
+    if wanted is not None:
+        own = wanted.select("store_key").distinct().withColumn("term", F.lit(""))
+        rows = rows.join(wanted.select("store_key", "term").distinct().unionByName(own), ["store_key", "term"], "left_semi")
+    keyed = rows.where("store_key IS NOT NULL AND id IS NOT NULL")
     return keyed.groupBy("store_key", "id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_statistics(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(store_key, term, df, n_docs, avg_len) over all rows of a store, whatever their status.
-
-    One pass: every document also counts under an empty term, whose totals are the
-    size and the length of the store. Only one row per (store, term) is shuffled.
-    """
-    words = text.tokens(F.col("body"))
-    whole_store = docs.sparkSession.range(1).select(F.lit("").alias("term"))
-    kept = vocabulary.select("term").distinct().unionByName(whole_store)
-    seen = (
-        docs.select("store_key", words.alias("w"))
-        .select("store_key", F.size("w").alias("len"),
-                F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"))
-        .join(kept, "term", "left_semi")
-        .groupBy("store_key", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("_len"))
-    )
-    whole = F.col("term") == ""
-    store = Window.partitionBy("store_key")
-    return seen.withColumns({
-        "n_docs": F.max(F.when(whole, F.col("df"))).over(store),
-        "avg_len": F.max(F.when(whole, F.col("_len") / F.col("df"))).over(store),
-    }).where(~whole).drop("_len")
+def term_statistics(index: DataFrame) -> DataFrame:
+    """postings -> (store_key, term, df, n_docs, avg_len) over all rows of a store, whatever their status."""
+    sums = index.groupBy("store_key", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("_len"))
+    whole = sums.where("term = ''").select("store_key", F.col("df").alias("n_docs"), (F.col("_len") / F.col("df")).alias("avg_len"))
+    return sums.where("term <> ''").drop("_len").join(whole, "store_key")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -83,11 +69,12 @@ def bm25_topn(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
 
     Candidates come from the rarest term of each query only. The other terms are
     looked up for those candidates alone, so a frequent word in a longer query
-    multiplies nothing. The two small intermediate tables are written out, because
-    each is read more than once.
+    multiplies nothing. The texts are tokenised once, into a stored table of the postings
+    the queries can use; everything after reads that table.
     """
-    terms = query_terms(queries)
-    stats = term_statistics(docs, terms)
+    terms = cut_lineage(query_terms(queries))
+    index = cut_lineage(postings(docs, terms))
+    stats = term_statistics(index)
     of_query = Window.partitionBy("query_id")
     n, df = F.col("n_docs"), F.col("df")
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
@@ -110,18 +97,14 @@ def bm25_topn(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
         tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     )
     candidates = cut_lineage(
-        postings(docs, leads).join(leads, ["store_key", "term"]).select(
+        index.join(leads, ["store_key", "term"]).select(
             "query_id", "store_key", "id", "n_terms", "fetch", part.alias("part")
         )
     )
-    longer = candidates.where("n_terms > 1")
-    reread = docs.join(longer.select("store_key", "id").distinct(), ["store_key", "id"], "left_semi")
-    lookups = longer.select("query_id", "id").join(
+    lookups = candidates.where("n_terms > 1").select("query_id", "id").join(
         rest.select("query_id", "store_key", "term", "idf", "avg_len"), "query_id"
     )
-    others = postings(reread, rest).join(lookups, ["store_key", "id", "term"]).select(
-        "query_id", "id", part.alias("part")
-    )
+    others = index.join(lookups, ["store_key", "id", "term"]).select("query_id", "id", part.alias("part"))
     hits = candidates.select("query_id", "id", "part").unionByName(others)
     scored = (
         hits.groupBy("query_id", "id")

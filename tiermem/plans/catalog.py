@@ -847,6 +847,14 @@ def _turn_docs(v: MemoryViews) -> DataFrame:
     return v.turns.withColumn("_conv", conv).join(vectors, "_conv", "left").drop("_conv")
 
 
+@register("postings_l0", f"""
+SELECT store_key, id, term, n::BIGINT AS doc_len, count(*) AS tf FROM (
+  SELECT store_key, id, len(w) AS n, unnest(list_append(w, '')) AS term FROM (SELECT store_key, id, {toks('content')} AS w FROM atoms) t) x GROUP BY ALL""")
+def _(v):
+    found = search.postings(search.atom_docs(v.atoms))
+    return found.select("store_key", "id", "term", F.col("doc_len").cast("long").alias("doc_len"), "tf")
+
+
 @register("lexical_atoms_l1", f"WITH {osql.hybrid_ctes('a', osql.ATOM_DOCS, '10', 3)} SELECT query_id, id, score, rank0 FROM a_lex")
 def _(v):
     asked = search.with_limit(v.recall_queries, 10, search.ATOM_OVERFETCH)
