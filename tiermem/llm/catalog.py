@@ -85,6 +85,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS s
+            FROM words
+        ), tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n, any_value(a.n) AS n, any_value(b.n) AS m
+            FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), edges AS MATERIALIZED (
+            SELECT x, y FROM pairs WHERE 100 * both_n >= 90 * (n + m - both_n)
+            UNION ALL SELECT y, x FROM pairs WHERE 100 * both_n >= 90 * (n + m - both_n)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM sets
+            UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
+        FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = s.doc_id
+    """,
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
