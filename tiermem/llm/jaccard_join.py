@@ -37,6 +37,7 @@ COUNTERS = 1 << 20
 CHUNKS = 64
 MEMBERS = 256
 BLOCK_TOKENS = 300_000
+BROADCAST_IDS = 2_000_000
 QUERIES = 512
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -337,7 +338,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         members.join(met.select("grp").distinct(), "grp", "left_semi").select("id")).distinct()
     used = cut_lineage(used)
     release(spark)
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_")).join(used, "id")
+    # ids of a checked number are sent to the texts; beyond it both sides are shuffled
+    few = F.broadcast(used) if used.count() <= BROADCAST_IDS else used
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_")).join(few, "id")
     full = cut_lineage(_sets(chosen, words, "id", "text_"))
 
     def units(member: DataFrame, query: DataFrame) -> DataFrame:
