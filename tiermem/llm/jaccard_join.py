@@ -37,6 +37,7 @@ COUNTERS = 1 << 20
 CHUNKS = 64
 MEMBERS = 256
 BLOCK_TOKENS = 300_000
+SMALL_TOKENS = 2_000  # no use in more parts than that for a small table
 BROADCAST_IDS = 2_000_000
 QUERIES = 512
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -157,8 +158,8 @@ def _shared_posts(sets: DataFrame, copies: DataFrame, total: int) -> DataFrame:
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, -(-total // BLOCK_TOKENS))
-    stored = bucketed(sets.select("id", "n", "sig", "prefix").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "block", parts)
+    blocks = max(1, min(parts, total // SMALL_TOKENS), -(-total // BLOCK_TOKENS))
+    stored = bucketed(sets.select("id", "n", "sig", "prefix").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "block", min(parts, blocks))
     block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
     letters = "block bigint, kind int, number bigint, first binary"
     mail = cut_lineage(copies.select(block_of.alias("block"), F.lit(0).alias("kind"), F.col("id").alias("number"), F.col("sig").alias("first")))

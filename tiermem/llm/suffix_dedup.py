@@ -34,6 +34,7 @@ from tiermem.llm.common import bucketed, cut_lineage
 
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 3 << 20  # of text, whose anchors take about half of that
+SMALL_BYTES = 64 << 10  # no use in more parts than that for a small table
 CHUNK = 1 << 18
 CROWDED = 5000
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -310,10 +311,10 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, -(-total // BLOCK_BYTES))
-    buckets = max(parts, -(-total // BUCKET_BYTES))
+    blocks = max(1, min(parts, total // SMALL_BYTES), -(-total // BLOCK_BYTES))
+    buckets = max(1, min(parts, total // SMALL_BYTES), -(-total // BUCKET_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    stored = bucketed(rows, "block", parts)
+    stored = bucketed(rows, "block", min(parts, blocks))
 
     digests = cut_lineage(stored.filter(F.octet_length("text") >= length).select("id", "block", F.sha2("text", 256).alias("digest")))
     least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("digest", "least")
