@@ -33,7 +33,7 @@ from tiermem.llm.common import bucketed, cut_lineage, release, text_rows
 from tiermem.llm.components import components
 
 CACHED_WORDS = 300_000
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
 CHUNKS = 64
 MEMBERS = 256
 BLOCK_TOKENS = 300_000
@@ -91,11 +91,11 @@ def _token_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> np
         shingler, total, seen = Shingler(words), np.zeros(COUNTERS, np.uint32), False
         for _, texts in text_rows(batches):
             for text in texts:
-                total += np.bincount((shingler.grams(text) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) \
+                total += np.bincount((shingler.grams(text) >> np.uint64(43)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) \
                     if len(text or "") > 1 << 20 else 0
             short = [shingler.grams(t) for t in texts if len(t or "") <= 1 << 20]
             if short:
-                total += np.bincount((np.concatenate(short) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                total += np.bincount((np.concatenate(short) >> np.uint64(43)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             seen = True
         if seen:
             yield pa.RecordBatch.from_pydict({
@@ -130,7 +130,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts, id_col: str, te
                     rows.append((0, None, None))
                     continue
                 take = n + (-percent * n) // 100 + 1
-                order = np.lexsort((tokens, common[(tokens >> np.uint64(44)).astype(np.int64)]))[:take]
+                order = np.lexsort((tokens, common[(tokens >> np.uint64(43)).astype(np.int64)]))[:take]
                 rows.append((n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), tokens[order].tobytes()))
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(ids, pa.int64()), "n": pa.array([r[0] for r in rows], pa.int64()),
