@@ -225,3 +225,28 @@ def test_top_k_blocks_ties_and_odd_sides(spark, monkeypatch, scale):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:6])]
     assert got == sorted(want)
     assert top_k.search(df, queries.limit(0), k=3).count() == 0 and top_k.search(df.limit(0), queries, k=3).count() == 0
+
+
+def exact_classes(x, threshold=0.9):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    hit, union = x @ x.T >= threshold, Union()
+    np.fill_diagonal(hit, False)
+    for a, b in zip(*np.nonzero(hit)):
+        union.join(int(a), int(b))
+    return {i: (int(hit[i].sum()), union.root(i)) for i in range(len(x))}
+
+
+def found_classes(spark, x):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    return {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_classes(df).collect()}
+
+
+def test_near_vectors_isolated_pairs(spark):
+    """Many pairs alone among random rows, beside one family that holds most links."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 64))
+    x[:600] = x[600:1200] + rng.normal(size=(600, 64)) * 0.45
+    x[3500:] = x[3500] + rng.normal(size=(1500, 64)) * 0.2
+    want = exact_classes(x)
+    assert sum(want[i][0] > 0 for i in range(600)) > 300
+    assert found_classes(spark, x) == want

@@ -7,10 +7,13 @@ keeps what improves its list. A list whose entries all reach the threshold is sa
 and enlarged. An audit compares a fixed number of rows with all rows; while too few of
 their links are reached, the graph gets another table and another round.
 
-Edges at the threshold give candidate classes. A class that outgrows any list is not
-listed pair by pair: its members are counted against each other in packed blocks, in
-double precision, which gives the exact number of links and a spanning forest of exact
-links, and from these the final classes. Equal vectors are one node with a weight.
+Edges at the threshold give candidate classes. The graph and its audit decide no result,
+only which rows are packed together: a large class has blocks of its own, the rest is
+dealt out. Every block has a centre and the largest angle to it. All pairs of blocks
+that these angles let hold a link are compared, in double precision wherever single
+precision comes near the threshold. That gives the exact number of links and a spanning
+forest of exact links, and from these the final classes. Equal vectors are one node with
+a weight.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ TABLES = 4
 LEAF = 192
 HUB = 60
 PACK = 1024
+CELLS = 1 << 19
+SIDES = 12
 AUDITED = 200
 SLACK = 1e-4
+NONE = np.iinfo(np.int64).min
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -46,8 +52,8 @@ def _cells(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _nodes(vectors: DataFrame, width: int) -> DataFrame:
-    """node, ``exact`` (components as doubles, padded to ``width``) and ``unit`` (normed, single precision)."""
+def _nodes(vectors: DataFrame, width: int, kind: type) -> DataFrame:
+    """node, ``exact`` (components as they are, of type ``kind``, padded to ``width``) and ``unit`` (normed, single precision)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.asarray(batch.column(1).value_lengths()).astype(np.int64)
@@ -55,7 +61,7 @@ def _nodes(vectors: DataFrame, width: int) -> DataFrame:
             flat = np.asarray(batch.column(1).flatten()).astype(np.float64)
             x[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
             unit = _unit(x).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "exact": pa.array([r.tobytes() for r in x], pa.binary()),
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "exact": pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
                                               "unit": pa.array([r.tobytes() for r in unit], pa.binary())})
 
     return vectors.select("node", "vector").mapInArrow(run, "node bigint, exact binary, unit binary")
@@ -197,51 +203,114 @@ def _audit(nodes: DataFrame, classes: DataFrame, count: int, threshold: float) -
     return met[1] / met[0] if met[0] else 1.0
 
 
-def _counted(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Per pair of packed blocks of a class: node, links to the other block (weighted), and links of a spanning forest (``other``)."""
-    members = classes.join(nodes.select("node", "exact", "weight"), "node")
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
-    place = F.floor((F.row_number().over(Window.partitionBy("component", "part").orderBy("node")) - 1) / PACK)
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = members.withColumn("place", place).join(sizes, "component")
-    # a small class is one block; a large one has a block of up to PACK rows per part and place
-    parts = F.least(F.lit(64), F.ceil(F.col("members") / PACK))
-    members = members.withColumn("block", F.col("place") * 64 + F.pmod("part", parts))
-    packed = members.groupBy("component", "block").agg(F.collect_list(F.struct("node", "weight", "exact")).alias("rows"))
-    packed = cut_lineage(packed)
-    left = packed.select("component", F.col("block").alias("i"), F.col("rows").alias("a"))
-    right = packed.select("component", F.col("block").alias("j"), F.col("rows").alias("b"))
-    pairs = left.join(right, "component").filter("i <= j").select((F.col("i") == F.col("j")).alias("own"), "a", "b")
-
-    def unpack(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = cell.values
-        return np.asarray(rows.field("node")), np.asarray(rows.field("weight")), _unit(_cells(rows.field("exact"), np.float64))
+def _packed(nodes: DataFrame, classes: DataFrame, count: int, width: int, kind: type) -> DataFrame:
+    """All nodes in blocks with a centre and the largest angle to it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, links, other = [], [], []
-            for own, ca, cb in zip(*(batch.column(i) for i in range(3))):
-                ia, wa, xa = unpack(ca)
-                ib, wb, xb = (ia, wa, xa) if own.as_py() else unpack(cb)
-                hit = xa @ xb.T >= threshold
-                if own.as_py():
-                    np.fill_diagonal(hit, False)
-                node += [ia, *(() if own.as_py() else (ib,))]
-                links += [hit @ wb, *(() if own.as_py() else (wa @ hit,))]
-                other += _spanning(hit, ia, ib, own.as_py())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(node)), "links": pa.array(np.concatenate(links).astype(np.int64)),
-                                              "other": pa.array(np.concatenate(other).astype(np.float64), from_pandas=True).cast(pa.int64())})
-
-    return pairs.mapInArrow(run, "node bigint, links bigint, other bigint")
-
-
-def _spanning(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray, own: bool) -> list[np.ndarray]:
-    """For every row (then every column) of a block pair a link of a spanning forest of its links, NaN for roots."""
+    A class of half a block or more has blocks of its own; the other nodes are dealt out by a hash.
+    """
+    most = max(PACK, min(CELLS // width, -(-count // SIDES)))
+    large = cut_lineage(classes.groupBy("component").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= most / 2))
+    rest = count - (large.agg(F.sum("members")).first()[0] or 0)
+    parts, draw = F.ceil(F.col("members") / most), F.xxhash64("node", F.lit("block"))
+    placed = nodes.join(classes, "node", "left").join(F.broadcast(large), "component", "left")  # at most twice as many as blocks
+    block = F.when(F.col("members").isNotNull(), F.xxhash64("component", F.pmod(draw, parts))).otherwise(
+        F.pmod(draw, F.lit(max(1, -(-rest // most)))))
+
+    def pack(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        keys, ids, weights = (np.asarray(table.column(c).combine_chunks()) for c in ("block", "node", "weight"))
+        exact = _cells(table.column("exact").combine_chunks(), kind)
+        centres, angles, spans = [], [], list(zip(cuts[:-1], cuts[1:]))
+        for i, j in spans:
+            x = _unit(exact[i:j].astype(np.float64))
+            centre = x.mean(0)
+            centre /= max(np.sqrt(centre @ centre), 1e-12)
+            centres.append(centre.tobytes())
+            angles.append(float(np.arccos(np.clip(x @ centre, -1, 1).min())))
+        packs = ([x[i:j].tobytes() for i, j in spans] for x in (ids, weights, exact))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in packs), pa.array(centres, pa.binary()), pa.array(angles)],
+            names=["block", "ids", "weights", "cells", "centre", "angle"])
+
+    return _grouped(placed.select(block.alias("block"), "node", "weight", "exact"), "block", pack,
+                    "block bigint, ids binary, weights binary, cells binary, centre binary, angle double")
+
+
+def _counted(packed: DataFrame, width: int, kind: type, threshold: float) -> DataFrame:
+    """Links of every node (weighted, in parts) and links of a spanning forest (``other``) from all pairs of blocks.
+
+    Only pairs whose angle, less the blocks' own, is too wide for a link are left out. A pair is the key
+    of its meeting, so the pairs of one class spread over tasks.
+    """
+    known = packed.select("block", "centre", "angle").collect()  # a row per block
+    centres = np.array([np.frombuffer(r[1]) for r in known]).reshape(-1, width)
+    angles = np.array([r[2] for r in known])
+    near = np.arccos(np.clip(centres @ centres.T, -1, 1)) - angles[:, None] - angles <= np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    near = near | near.T | np.eye(len(known), dtype=bool)
+    plan = [(r[0], [min(i, int(j)) * len(known) + max(i, int(j)) for j in np.flatnonzero(near[i])]) for i, r in enumerate(known)]
+    plan = packed.sparkSession.createDataFrame(plan, "block long, pairs array<bigint>")
+    sent = packed.join(F.broadcast(plan), "block").select(F.explode("pairs").alias("pair"), "ids", "weights", "cells")
+
+    def meet(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch | None:
+        ids, weights, cells = (table.column(c) for c in ("ids", "weights", "cells"))
+        node, links, other = [], [], []
+
+        def block(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = np.frombuffer(cells[at].as_py(), kind).reshape(-1, width).astype(np.float64)
+            return np.frombuffer(ids[at].as_py(), np.int64), np.frombuffer(weights[at].as_py(), np.int64), _unit(x)
+
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            for n, k, o in _links(block(i), block(i + 1) if j - i > 1 else None, threshold):
+                node.append(n)
+                links.append(k)
+                other.append(o)
+        if not node:
+            return None
+        other = np.concatenate(other)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(links)), pa.array(other, mask=other == NONE)],
+                                          names=["node", "links", "other"])
+
+    return _grouped(sent, "pair", meet, "node bigint, links bigint, other bigint")
+
+
+def _links(a: tuple, b: tuple | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Node, links and forest link (or ``NONE``) of the rows of two blocks, or of one with itself, that have a link."""
+    own = b is None
+    (ia, wa, xa), (ib, wb, xb) = a, a if own else b
+    ra, rb = xa.astype(np.float32), xb.astype(np.float32)
+    links_a = np.zeros(len(ia), np.int64)
+    links_b = links_a if own else np.zeros(len(ib), np.int64)
+    for p in range(0, len(ia), PACK):
+        for q in range(p if own else 0, len(ib), PACK):
+            same, rows, cols = own and p == q, slice(p, p + PACK), slice(q, q + PACK)
+            rough = ra[rows] @ rb[cols].T
+            if same:
+                np.fill_diagonal(rough, -2)
+            if rough.max() < threshold - SLACK:
+                continue
+            hit = xa[rows] @ xb[cols].T >= threshold
+            if same:
+                np.fill_diagonal(hit, False)
+            links_a[rows] += hit @ wb[cols]
+            if not same:
+                links_b[cols] += wa[rows] @ hit
+            up, down = _spanning(hit, same)
+            found = np.flatnonzero(up >= 0)
+            yield ia[rows][found], np.zeros(len(found), np.int64), ib[cols][up[found]]
+            if not same:
+                found = np.flatnonzero(down >= 0)
+                yield ib[cols][found], np.zeros(len(found), np.int64), ia[rows][down[found]]
+    for ids, links in ((ia, links_a), *(() if own else ((ib, links_b),))):
+        found = np.flatnonzero(links)
+        yield ids[found], links[found], np.full(len(found), NONE)
+
+
+def _spanning(hit: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For every row its column, and for every column its row, in a spanning forest of the links; -1 for roots."""
     n, m = hit.shape
-    parent_a, parent_b = np.full(n, np.nan), np.full(m, np.nan)
+    parent_a, parent_b = np.full(n, -1), np.full(m, -1)
     seen_a, seen_b = np.zeros(n, bool), np.zeros(m, bool)
-    for root in range(n):
-        if seen_a[root] or not hit[root].any():
+    for root in np.flatnonzero(hit.any(1)):
+        if seen_a[root]:
             continue
         seen_a[root] = True
         if own:
@@ -252,7 +321,7 @@ def _spanning(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray, own: bool) -> lis
             new = np.flatnonzero(reach.any(0) & ~seen_b)
             if not len(new):
                 break
-            parent_b[new] = ia[front[reach[:, new].argmax(0)]]
+            parent_b[new] = front[reach[:, new].argmax(0)]
             seen_b[new] = True
             if own:
                 parent_a[new] = parent_b[new]
@@ -261,10 +330,10 @@ def _spanning(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray, own: bool) -> lis
             else:
                 back = hit[:, new]
                 rows = np.flatnonzero(back.any(1) & ~seen_a)
-                parent_a[rows] = ib[new[back[rows].argmax(1)]]
+                parent_a[rows] = new[back[rows].argmax(1)]
                 seen_a[rows] = True
                 front = rows
-    return [parent_a] if own else [parent_a, parent_b]
+    return parent_a, parent_b
 
 
 def near_classes(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, rounds: int = 4,
@@ -284,7 +353,8 @@ def near_classes(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     same = cut_lineage(same)
     count, width = same.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     width = width or 1
-    nodes = cut_lineage(_nodes(same, width).join(same.select("node", "weight"), "node"))
+    kind = np.float32 if rows.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+    nodes = cut_lineage(_nodes(same, width, kind).join(same.select("node", "weight"), "node"))
 
     graph = cut_lineage(_lists(_table_edges(nodes, count, width, 1, TABLES), threshold))
     loose, enough = threshold - SLACK, False
@@ -300,7 +370,8 @@ def near_classes(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
         if _audit(nodes, classes, count, threshold) >= recall:
             break
 
-    counted = cut_lineage(_counted(nodes, classes, threshold))
+    packed = cut_lineage(_packed(nodes, classes, count, width, kind))
+    counted = cut_lineage(_counted(packed, width, kind, threshold))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(counted.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     result = nodes.select("node", "weight").join(links, "node", "left").join(found, "node", "left").select(
