@@ -250,3 +250,13 @@ def test_near_vectors_isolated_pairs(spark):
     want = exact_classes(x)
     assert sum(want[i][0] > 0 for i in range(600)) > 300
     assert found_classes(spark, x) == want
+
+
+def test_near_vectors_links_between_dense_families(spark):
+    """Two families whose members all have more close neighbours inside than a list holds, and links between them."""
+    rng = np.random.default_rng(7)
+    centre, aside = rng.normal(size=(2, 64))
+    x = np.stack([centre, centre + 0.45 * aside])[np.arange(400) % 2] + rng.normal(size=(400, 64)) * 0.08
+    want = exact_classes(x)
+    assert {c for _, c in want.values()} == {0} and min(k for k, _ in want.values()) > 199
+    assert found_classes(spark, x) == want
