@@ -153,6 +153,18 @@ def test_article_without_surroundings(wrap):
     assert html_text.main_text(PAGE % (wrap % ARTICLE)) == WANTED
 
 
+@pytest.mark.parametrize("body", [
+    "<section id='discussion'><p>Kept.</p></section>", "<h2 id='how-social-media-works'>Kept.</h2>", "<div class='search-theory'>Kept.</div>",
+    "<h3 id='related-work'>Kept.</h3>", "<p class='notice-of-death'>Kept.", "<section class='discussion'>Kept.</section>",
+    "<p class='ad'>Gone.<p>Kept.", "<ul><li class='share'>Gone.<ul><li>Gone.<li>Gone.</ul><li>Kept.</ul>",
+    "<table><tr><td class='ad'>Gone.<td>Kept.<tr></table>", "<dl><dt class='ad'>Gone.<dd>Kept.</dl>", "<div><p class='share'>Gone.</div>Kept.",
+    "<div class='ad'><p>Gone.<p>Gone.</div>Kept.", "<svg viewBox='0 0 1 1'/>Kept.", "<p data-id='ad' title='class=ad'>Kept.",
+    "<div class='cookie-notice'>Gone.</div><div class='ad-slot-2'>Gone.</div>Kept.",
+])
+def test_article_parts_are_kept_and_open_ended_ones_skipped(body):
+    assert html_text.main_text(f"<nav>Menu</nav><article><p>First.</p>{body}<p>Last.</p></article><p>After.</p>") == "First. Kept. Last."
+
+
 def test_html_query_on_given_pages(spark):
     def truth(page):
         body = page[page.index("<article>") + 9:].split("</article>")[0]

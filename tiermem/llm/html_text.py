@@ -28,11 +28,12 @@ WINDOW = 3
 SURGE = 80
 DROPPED = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>"
+    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>"
     r"|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|button)(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*)",
     re.S | re.I,
 )
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 CONTAINERS = frozenset("nav header footer aside form menu dialog fieldset".split())
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
@@ -40,6 +41,19 @@ NAMES = frozenset(
     "consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended widget "
     "pagination pager toolbar contentinfo complementary search".split()
 )
+#: Names that parts of an article also bear, and words that stand beside a name without changing it.
+SHARED = frozenset("discussion header notice notices alert search social promotion".split())
+PLAIN = frozenset(
+    "list lists box boxes wrapper wrap container item items link links left right top bottom main site page slot unit block button buttons "
+    "area section bar inner outer posts stories form icon icons primary secondary global mobile desktop sticky thread".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may lack an end tag: the start tags that end them, and the elements that shield them from these.
+OPEN_ENDED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), "tr": (frozenset(("tr", "tbody", "tfoot")), frozenset(("table",))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th", "tr", "tbody", "tfoot")), frozenset(("table",)))),
+}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u "
     "var wbr img label".split()
@@ -48,18 +62,36 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ARTICLE = frozenset(("article", "main"))
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _named(name: str, inside: bool) -> bool:
+    """Whether a whole class, role or id names a container; words beside it must not change its meaning."""
+    words = {w for w in re.split(r"[\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1}
+    names = words & NAMES
+    return bool(names) and words <= NAMES | PLAIN and not (inside and names <= SHARED)
+
+
+def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is never part of an article. Names of headings say nothing, nor do ids of sections or inside an article."""
     if tag in CONTAINERS:
         return True
-    if tag in ("body", "html", *ARTICLE) or "=" not in attributes:
+    if tag in ("body", "html", *ARTICLE, *HEADINGS) or "=" not in attributes:
         return False
-    for found in ATTRIBUTE.finditer(attributes):
-        value = next(v for v in (*found.groups(), "") if v is not None)
-        if any(w in NAMES for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())):
+    used = ("class", "role") if inside or tag == "section" else ("class", "role", "id")
+    for key, *values in ATTRIBUTE.findall(attributes):
+        if key.lower() in used and any(_named(name, inside) for name in "".join(values).split()):
             return True
     return False
 
 
+def _ends(skipped: str, opened: list[str], ending: bool, tag: str, inside: int) -> bool:
+    """Whether a block tag ends a skipped element that has no end tag of its own before it."""
+    if tag in ARTICLE and bool(ending) == (inside > 0):
+        return True
+    if ending:  # of a parent, as no element inside is open by this name
+        return skipped == "p" or skipped in OPEN_ENDED
+    closers, shields = OPEN_ENDED.get(skipped, (frozenset(), frozenset()))
+    return skipped == "p" or (tag in closers and not shields.intersection(opened))
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, length (link text outside an article counts nothing) and the article mark of every line of a page."""
     page = DROPPED.sub(" ", page)
@@ -73,7 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         parts.clear()
         state["linked"] = 0
 
-    skipped, depth, anchors, at = "", 0, 0, 0
+    skipped, opened, anchors, at = "", [], 0, 0
     for found in TAG.finditer(page):
         if not skipped and found.start() > at:
             text = html.unescape(page[at:found.start()])
@@ -84,11 +116,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         if skipped:
-            if tag == skipped:
-                depth += -1 if ending else 1
-            if depth == 0 or (tag in ARTICLE and not ending and not state["inside"]):
+            if tag in INLINE or tag in VOID:
+                continue
+            if ending and tag in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(tag):]
+            elif ending and tag == skipped:
+                skipped = ""
+            elif _ends(skipped, opened, ending, tag, state["inside"]):
                 skipped = ""
-            if skipped or tag not in ARTICLE:
+            elif not ending and not found[0].endswith("/>"):
+                opened.append(tag)
+            if skipped or (ending and tag not in ARTICLE):
                 continue
         if tag in INLINE:
             anchors += (1 if not ending else -min(1, anchors)) if tag == "a" else 0
@@ -96,8 +134,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         close()
         if tag in ARTICLE:
             state["inside"] = max(0, state["inside"] + (-1 if ending else 1))
-        elif not ending and tag not in VOID and not found[0].endswith("/>") and _boilerplate(tag, found[3] or found[6] or ""):
-            skipped, depth = tag, 1
+        elif not ending and tag not in VOID and not found[0].endswith("/>") and _boilerplate(
+                tag, found[3] or found[6] or "", state["inside"] > 0):
+            skipped, opened = tag, []
     if not skipped:
         rest = page[at:]
         parts.append(html.unescape(rest[:rest.find("<")] if re.search(r"<[a-zA-Z/!?]", rest) else rest))
