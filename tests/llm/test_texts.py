@@ -165,6 +165,21 @@ def test_article_parts_are_kept_and_open_ended_ones_skipped(body):
     assert html_text.main_text(f"<nav>Menu</nav><article><p>First.</p>{body}<p>Last.</p></article><p>After.</p>") == "First. Kept. Last."
 
 
+LONG = "A long paragraph of the story that goes on and on with many words about the matter at hand. " * 20
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div><section><h1>Title</h1></section></div><div><div><p>Short start.</p></div></div><div><div><p>{LONG}</p></div></div>",
+     f"Title Short start. {LONG}"),
+    (f"<p>{LONG}</p><div><div><section></section></div></div><p>Short middle.</p><div><div></div></div><p>{LONG}</p><div><div></div></div><p>The end.</p>",
+     f"{LONG}Short middle. {LONG}The end."),
+    (f"<p>{LONG}</p><p><a href='/s'>A source</a></p><p>Last words.</p>", f"{LONG}A source Last words."),
+    (f"<ul><li><a>One</a><li><a>Two</a></ul><p>{LONG}</p><ul><li><a>1</a><li><a>2</a><li><a>3</a><li><a>4</a></ul><p>Last words.</p><p><a>More</a>", f"{LONG}Last words."),
+])
+def test_uneven_unmarked_articles(page, want):
+    assert html_text.main_text(f"<body>{page}</body>") == want.strip()
+
+
 def test_html_query_on_given_pages(spark):
     def truth(page):
         body = page[page.index("<article>") + 9:].split("</article>")[0]

@@ -1,15 +1,18 @@
-"""Main text of web pages by line-block distribution.
-
-Markup is stripped to lines, one per block element. Scripts, styles and containers
-that are never part of an article (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) leave lines of length zero, and so does link text
-outside an article. The lengths are summed over a sliding window of lines; a surge is
-a line where the sum rises above the threshold, a dive the place where it falls to
-zero. The lines between surges and dives are the text.
-
-A page that marks its article (``article`` or ``main``) gives no length to lines
-outside the mark. A page that does not keeps the runs that hold at least a fifth of
-the largest run.
+"""Main text of web pages: the marked article, or else by line-block distribution.
+
+Markup is stripped to lines, one per block element that holds text. Scripts, styles and
+containers that are never part of an article (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments) leave no lines.
+
+A page that marks its article (``article`` or ``main``) gives the lines inside the mark,
+all of them; line-block distribution decides nothing there, because it would drop short
+blocks of a text whose bounds the page states.
+
+On other pages link text counts nothing, and the lengths are summed over a sliding window
+of lines. The text begins at the first surge, where the sum rises above the threshold, or
+at the lines with text of their own right before it. From there to the last dive every run
+is kept whole: a run begins at a line with text of its own and ends where the sum falls to
+zero, which is where a window holds links alone.
 """
 
 from __future__ import annotations
@@ -146,23 +149,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     """The article's text: white space inside a block is one space, blocks are joined by one space."""
-    lines = lines_of(page or "")
-    marked = any(inside and length for _, length, inside in lines)
-    lengths = [length if inside or not marked else 0 for _, length, inside in lines]
+    lines = [line for line in lines_of(page or "") if line[0]]
+    if any(inside for _, _, inside in lines):
+        return " ".join(text for text, _, inside in lines if inside)
+    lengths = [length for _, length, _ in lines]
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
-    surge = 1 if marked else min(SURGE, max(sums, default=0))
-    runs, start = [], None
-    for i, (length, total) in enumerate(zip(lengths, sums)):
-        if start is None and length and total >= surge:
-            start = i
-        elif start is not None and total == 0:
-            runs.append((start, i))
-            start = None
-    if start is not None:
-        runs.append((start, len(lengths)))
-    held = [sum(lengths[a:b]) for a, b in runs]
-    floor = 0 if marked else max(held, default=0) / 5
-    kept = [lines[i][0] for (a, b), size in zip(runs, held) if size >= floor for i in range(a, b) if lengths[i]]
+    surge = min(SURGE, max(sums, default=0))
+    first = next((i for i, (length, total) in enumerate(zip(lengths, sums)) if length and total >= surge), len(lines))
+    while first and lengths[first - 1]:
+        first -= 1
+    kept, running = [], False
+    for i in range(first, len(lines)):
+        running = sums[i] > 0 and (running or lengths[i] > 0)
+        if running:
+            kept.append(lines[i][0])
     return " ".join(kept)
 
 
