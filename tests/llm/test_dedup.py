@@ -260,3 +260,11 @@ def test_near_vectors_links_between_dense_families(spark):
     want = exact_classes(x)
     assert {c for _, c in want.values()} == {0} and min(k for k, _ in want.values()) > 199
     assert found_classes(spark, x) == want
+
+
+def test_near_vectors_copies_pass_no_window(spark):
+    """A vector that many rows hold is aggregated before it is shuffled, never ranked in one task."""
+    rows = [(i, [1.0, 2.0] if i % 2 else [float(i), -1.0]) for i in range(40)]
+    got = near_vectors.near_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n_links, r.component_id) for r in got.collect() if r.vec_id % 2} == {(19, 1)}

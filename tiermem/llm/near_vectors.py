@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermem.llm.common import cut_lineage
@@ -348,9 +348,9 @@ def near_classes(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     good = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     good = good.groupBy("id").agg(F.min("vector").alias("vector"))
-    classed = good.withColumn("node", F.min("id").over(Window.partitionBy("vector")))
     same = good.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
     same = cut_lineage(same)
+    classed = good.join(same.select("vector", "node"), "vector")
     count, width = same.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     width = width or 1
     kind = np.float32 if rows.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
