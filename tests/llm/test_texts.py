@@ -249,6 +249,12 @@ def check_packing(rows, texts, capacity):
     return len(sequences)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>X<|endoftext|><|endoftext|>", "a<|ENDOFTEXT|>b", "e<|endoftext|>\u0301 it'<|endoftext|>s",
+                                  "<|endoftext|>", "<|end<|endoftext|>oftext|>", ""])
+def test_packing_encodes_added_tokens_like_the_library(text):
+    assert packing.word_encoder(WORDS).encode(text) == packed(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids)
+
+
 def test_packing_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = catalog.QUERIES["op7_best_fit_packing"](spark, SMALL).collect()

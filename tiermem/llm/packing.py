@@ -50,6 +50,11 @@ class WordEncoder(dict):
         heads = "'s|'t|'re|'ve|'m|'ll|'d|"
         self.split = regex.compile(heads + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.near_split = re.compile(heads + rf"[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
+            raise ValueError("added tokens must be plain strings of the text as it is")
+        self.added = {content: struct.pack("<I", i) for content, (i, _) in added.items()}
+        self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def __missing__(self, word: str) -> bytes:
         shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
@@ -62,7 +67,12 @@ class WordEncoder(dict):
         return packed
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; strings of special tokens are ordinary text."""
+        """Ids of a text as little-endian unsigned 32-bit integers; strings of added tokens get their ids, as in the library."""
+        if not any(content in text for content in self.added):
+            return self._encode_plain(text)
+        return b"".join(self.added.get(part) or self._encode_plain(part) for part in self.added_split.split(text))
+
+    def _encode_plain(self, text: str) -> bytes:
         split, lowered = self.near_split, text.lower()
         if FAR.search(text) or FAR.search(lowered):
             split, lowered = self.split, self.normalize(text)
