@@ -44,20 +44,12 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document repeats of smaller ids are cut out; documents left without text go.
 
-    A character that a cut splits goes as a whole; ``n_chars`` is counted anew.
+    A character that a cut splits goes as a whole; ``n_chars`` is counted anew. Each of repeated rows gives one row.
     """
-    out = suffix_dedup.dedup(docs, length=50)
-    kept = out.select(F.col("doc_id").alias("id_"), F.col("n_removed"), "kept")
-    text = F.when(F.col("n_removed") > 0, _valid_text(F.col("kept"))).otherwise(F.col("kept").cast("string"))
-    kept = kept.select("id_", text.alias("text_")).filter(F.trim("text_") != "")
-    rest = docs.select("doc_id", "lang", "source")
-    joined = rest.join(kept, rest["doc_id"] == kept["id_"])
-    return joined.select("doc_id", F.col("text_").alias("text"), "lang", "source", F.length("text_").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-
-
-def _valid_text(raw):
-    """The text of UTF-8 bytes without the pieces of split characters."""
-    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�", "")
+    out = suffix_dedup.dedup(docs.filter(F.col("doc_id").isNotNull()), length=50, keep=("lang", "source"), whole=True)
+    out = out.withColumn("text", F.col("kept").cast("string")).filter(F.trim("text") != "")
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text", "lang", "source",
+                      F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

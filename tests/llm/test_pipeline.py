@@ -53,3 +53,15 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
         assert stage(spark, no_docs, "/root/testdata/sf0.001").count() == 0
     kept = {r.doc_id for r in corpus_pipeline.detect_language(spark, odd_docs, "/root/testdata/sf0.001").collect()}
     assert not kept & {4, 5, 6, 7, None} and {1, 8, 9} <= kept
+
+
+def test_passage_stage_keeps_text_outside_cuts_and_rows(spark):
+    """Replacement characters of the text stay, split characters go whole, and each of repeated rows comes out once."""
+    one, two = "one passage that is far longer than the fifty bytes needed to cut it", "and quite another passage, also of well over fifty bytes in all"
+    rows = [(1, one + "é x", "en", "s", 1), (2, "a\ufffdb " + one + "\ufffd tail", "en", "s", 1), (2, "a\ufffdb " + one + "\ufffd tail", "de", None, 1),
+            (3, "start:" + one + "è end", "en", "s", 1), (10, "zĩ" + two + "è", "en", "s", 1), (11, "x é" + two + "é y", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text, r.lang, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, SMALL).collect())
+    want = [(1, one + "é x", "en"), (2, "a\ufffdb \ufffd tail", "de"), (2, "a\ufffdb \ufffd tail", "en"), (3, "start: end", "en"),
+            (10, "zĩ" + two + "è", "en"), (11, "x  y", "en")]
+    assert got == [(*w, len(w[1])) for w in want]

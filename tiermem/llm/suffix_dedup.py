@@ -298,17 +298,29 @@ def _read_block(left: pa.Table, right: pa.Table, length: int) -> tuple[Block, di
     return Block(left.column("id").to_pylist(), texts, {r[0] for r in mail[0]}, length), mail
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left) of every row.
+def _whole(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` widened to whole UTF-8 characters."""
+    start = np.flatnonzero((raw & 0xC0) != 0x80)
+    start = start if len(start) and start[0] == 0 else np.append(0, start)
+    return np.repeat(np.logical_or.reduceat(gone, start), np.diff(np.append(start, len(raw))))
+
+
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+          whole: bool = False) -> DataFrame:
+    """Id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes left) and the columns of ``keep`` of every row.
+
+    If ``whole``, ``kept`` is also without the pieces of characters that a cut splits.
 
     A null or empty text has no bytes. A text shorter than ``length`` keeps all. Rows
     that share an id never remove each other's bytes; a row without an id keeps its text and
-    removes nothing. Only the id and the text are read. An empty table gives no rows.
+    removes nothing. Only the id, the text and ``keep`` are read. An empty table gives no rows.
     """
     if not 4 <= length <= 254:
         raise ValueError("length must lie between 4 and 254 bytes")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
+                       *(F.col(k).alias(f"keep{i}_") for i, k in enumerate(keep)))
+    kept_columns = [rows.schema[f"keep{i}_"] for i in range(len(keep))]
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, min(parts, total // SMALL_BYTES), -(-total // BLOCK_BYTES))
@@ -426,6 +438,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             gone = covered[begin:end]
             removed = int(gone.sum())
             spans = int(rises[begin:end].sum()) + int(begin > 0 and gone[0] and covered[begin - 1])
+            gone = _whole(block.buffer[begin:end], gone) if whole and removed else gone
             out[i] = (removed, spans, _blob(block.buffer[begin:end][~gone]) if removed else block.texts[i])
         result = []
         for i, (d, t) in enumerate(zip(block.ids, block.texts)):
@@ -433,7 +446,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             result.append(out.get(i) or ((len(t), 1, b"") if copy else (0, 0, t)))
         return pa.table({"id": pa.array(block.ids, pa.int64()), "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()),
                          "n_removed": pa.array([r[0] for r in result], pa.int64()), "n_spans": pa.array([r[1] for r in result], pa.int64()),
-                         "kept": pa.array([r[2] for r in result], pa.binary())})
+                         "kept": pa.array([r[2] for r in result], pa.binary()), **{f.name: left.column(f.name) for f in kept_columns}})
 
     def with_mail(letter: DataFrame, step, schema: str) -> DataFrame:
         return stored.groupBy("block").cogroup(letter.groupBy("block")).applyInArrow(step, schema)
@@ -442,5 +455,6 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     mail = mail.unionByName(cut_lineage(asked.groupBy("bucket").applyInArrow(answer_anchors, letters)))
     asked = with_mail(mail, ask_segments, "bucket int, block bigint, gram binary, count binary, offset binary, least binary, text binary")
     mail = mail.unionByName(cut_lineage(asked.groupBy("bucket").applyInArrow(answer_segments, letters)))
-    out = with_mail(mail, remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_columns)
+    out = with_mail(mail, remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary" + extra)
+    return out.withColumnsRenamed({"id": id_col, **{f.name: k for f, k in zip(kept_columns, keep)}})
