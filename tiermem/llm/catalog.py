@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermem.llm import byte_bpe, html_text, jaccard_join, language_id, near_vectors, packing, suffix_dedup, top_k, toxicity, url_filters
+from tiermem.llm import (
+    byte_bpe, fill_middle, html_text, jaccard_join, language_id, near_vectors, packing, piece_bpe, suffix_dedup, top_k, toxicity, turn_repair,
+    url_filters,
+)
 from tiermem.llm.common import held_out, read
 
 
@@ -70,6 +73,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.edited(turn_repair.damage(turns), turns))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform_texts(read(spark, sf_dir, "documents"), seed=7, kind="line", rate=100, spm=50)
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_bpe.encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -81,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
@@ -122,6 +147,29 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_fill_in_middle": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+                   sha256(concat('7:', doc_id)) AS h
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(lines) AS n, CAST(('0x' || h[1:8]) AS BIGINT) % (len(lines) + 1) AS a, CAST(('0x' || h[9:16]) AS BIGINT) % (len(lines) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR CAST(('0x' || h[17:24]) AS BIGINT) % 100 >= 100 THEN 'plain'
+                        WHEN CAST(('0x' || h[25:32]) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), cut AS (
+            SELECT doc_id, n, form, text, array_to_string(lines[1:least(a, b)], '') AS p,
+                   array_to_string(lines[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(lines[greatest(a, b) + 1:], '') AS s
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+                      ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
 
 
