@@ -18,7 +18,7 @@ from tiermem.operators import (
     access, audit, checks, clusters, context, distill, ingest, inventory, joins, latency, lifecycle, reads, replies,
     scenes, search, usage,
 )
-from tiermem.plans import oracle_search as osql
+from tiermem.plans import consolidation, oracle_search as osql
 from tiermem.plans.views_sql import toks, with_views
 from tiermem.session import cut_lineage, shared_folder
 from tiermem.sources import export, snapshot
@@ -1821,6 +1821,11 @@ def _(v):
         rows("episode", "episodes", "scene_id", "atom_id")).unionByName(heads)
 
 
+@register("consolidate_h3_h5", consolidation.CONSOLIDATED_SQL)
+def _(v):
+    return consolidation.consolidated(v)
+
+
 # ── gates and ledgers ────────────────────────────────────────────────────────
 
 
