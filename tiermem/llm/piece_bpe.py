@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -24,8 +25,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tiermem.llm.common import text_rows
 
 SPACE = "▁"
+LETTER = re.compile(r"[^\W\d_]")
 LONGEST_CACHED = 64
-CACHED_PARTS = 400_000
+CACHED_PARTS = 700_000
 CACHED_PAIRS = 300_000
 
 
@@ -55,9 +57,19 @@ class PieceEncoder:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in built), None) for p in built}
-        # No piece spans a place before a space mark (runs of marks apart), so texts may be cut there.
-        cuts = not any(SPACE in piece.lstrip(SPACE) for piece in built)
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if cuts else re.compile(r"(?s).+")
+        # No piece spans a place between two characters that no piece holds side by side, so texts may be cut there.
+        self.joined = {pair for piece in built for pair in zip(piece, piece[1:])}
+        self.cut = re.compile(self._pattern())
+
+    def _pattern(self) -> str:
+        """Parts of a text: words up to a mark or to punctuation that no piece has after a letter, and what stands between."""
+        if any(b == SPACE != a for a, b in self.joined):
+            return r"(?s).+"
+        plain = [c for c in map(chr, range(128)) if not c.isalnum()]
+        after_letters = {b for a, b in self.joined if LETTER.fullmatch(a)}
+        ends = re.escape("".join(c for c in plain if c not in after_letters))
+        alone = re.escape("".join(c for c in plain if not any(c in pair for pair in self.joined)))
+        return f"{SPACE}*{LETTER.pattern}+(?=[{ends}{SPACE}]|\\Z)|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]"
 
     def merged(self, text: str) -> list[str]:
         """Merge by score, best first and leftmost among equals; used on one or two pieces at a time."""
@@ -125,11 +137,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text and the end id; an empty text has the end id alone."""
-        ids: list[int] = []
-        if text:
-            known = self.parts
-            for found in self.cut.finditer(SPACE + text.replace(" ", SPACE)):
-                ids += known[found.group()]
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        ids = list(chain.from_iterable(map(self.parts.__getitem__, parts)))
         ids.append(self.end)
         return ids
 
@@ -138,14 +147,19 @@ class PieceEncoder:
 
 
 class _Parts(dict):
-    """Ids by part; bounded, as only short parts stay and a full cache is emptied."""
+    """Ids by part, in tuples (which the garbage collector leaves alone); bounded, as only short parts stay and a full cache is emptied."""
 
     def __init__(self, encoder: PieceEncoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, part: str) -> list[int]:
-        ids = self.encoder.ids_of(part)
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        joined = self.encoder.joined
+        cuts = [at for at, pair in enumerate(zip(part, part[1:]), 1) if pair not in joined]
+        if cuts:
+            ids = tuple(x for a, b in zip([0, *cuts], [*cuts, len(part)]) for x in self[part[a:b]])
+        else:
+            ids = tuple(self.encoder.ids_of(part))
         if len(part) <= LONGEST_CACHED:
             if len(self) >= CACHED_PARTS:
                 self.clear()
