@@ -307,8 +307,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_token_counts(docs, words, id_col, text_col))
     sets = cut_lineage(_prefixes(docs, words, percent, counts, id_col, text_col))
-    same = sets.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep"))
-    copies = sets.select("id", "sig").join(same, "sig").filter("id <> rep").select("id", "sig")
+    same = sets.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    copies = sets.select("id", "sig").join(same.drop("copies"), "sig").filter("id <> rep").select("id", "sig")
     total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
 
     # tokens that two representatives share, with the smallest of them as leader
@@ -317,8 +317,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     posts = cut_lineage(posts.join(leaders, "token"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.03)))
     members = posts.groupBy("id").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("band", band)
-    members = cut_lineage(members.withColumn("grp", F.xxhash64("leader", "band")))
-    groups = members.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    copied = same.filter("copies > 1").select(F.col("rep").alias("id"), "copies")
+    members = cut_lineage(members.join(copied, "id", "left").withColumn("grp", F.xxhash64("leader", "band")))
+    # the text most often copied is the likeliest middle of its family
+    middle = F.min_by("id", F.struct((-F.coalesce("copies", F.lit(1))).alias("c"), "id"))
+    groups = members.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), middle.alias("pivot"), F.count(F.lit(1)).alias("size"))
 
     # the matrix (token, group), met by the tokens of every query
     matrix = posts.join(members.select("id", "grp"), "id").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -364,15 +367,18 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     def labelled(df: DataFrame) -> DataFrame:
         return df.join(first, df["id"] == first["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
 
+    # blocks of about MEMBERS members; members of one class stand together, so that most blocks are of one class
     opened = labelled(members.join(met.select("grp").distinct(), "grp", "left_semi").select("grp", "id"))
+    opened = opened.join(groups.select("grp", F.ceil(F.col("size") / MEMBERS).alias("parts")), "grp").withColumn(
+        "part", F.pmod(F.xxhash64("label"), F.col("parts")))
     place = F.row_number().over(Window.partitionBy("grp", "part").orderBy("label", "id")) - 1
-    opened = opened.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(64))).withColumn("block", F.floor(place / MEMBERS) * 64 + F.col("part"))
+    opened = opened.withColumn("block", F.floor(place / MEMBERS) * F.col("parts") + F.col("part"))
     opened = cut_lineage(opened.select("grp", "block", "id", "label"))
     spans = opened.groupBy("grp", "block").agg(F.min("label").alias("from_"), F.max("label").alias("to_"))
     asking = labelled(met.select("grp", "id")).join(spans, "grp").filter("NOT (label = from_ AND label = to_)").select("grp", "block", "id", "label")
     edges = stars.unionByName(_opened(units(opened, asking), percent))
     found = components(edges)
 
-    rows = sets.join(same, "sig", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    rows = sets.join(same.drop("copies"), "sig", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     rows = rows.join(found, rows["rep"] == found["node"], "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
