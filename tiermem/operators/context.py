@@ -62,7 +62,7 @@ def pinned_prefix(atoms: DataFrame, largest_cap: int, cap: int = text.ATOM_CAP)
 
 def recall_atoms_legacy(
     queries: DataFrame, atoms: DataFrame, as_of_s: int, limit: int = 10,
-    total: int = LEGACY_TOTAL, share: float = LEGACY_PINNED_SHARE,
+    total: int = LEGACY_TOTAL, share: float = LEGACY_PINNED_SHARE, index: search.LexicalIndex | None = None,
 ) -> DataFrame:
     """Pinned first within their share, then ranked atoms; each list stops at its first misfit."""
     pinned_cap = int(total * share)
@@ -72,7 +72,7 @@ def recall_atoms_legacy(
     )
     asked = queries.join(used, "store_key", "left").fillna(0, ["n_pinned", "pinned_chars"])
     room = F.greatest(F.lit(limit) - F.col("n_pinned"), F.lit(0)) * 3
-    hits = search.search_atoms(asked, atoms, as_of_s, room)
+    hits = search.search_atoms(asked, atoms, as_of_s, room, index=index)
     shown = text.truncate(F.col("content"), text.LEGACY_CAP)
     ranked = (
         hits.join(fits.select("store_key", "id"), ["store_key", "id"], "left_anti")
@@ -135,6 +135,7 @@ def assemble_context(
     queries: DataFrame, atoms: DataFrame, scenes: DataFrame, core: DataFrame, as_of_s: int,
     shares: Shares = Shares(),
     weights: search.Weights = search.Weights(),
+    atom_index: search.LexicalIndex | None = None, scene_index: search.LexicalIndex | None = None,
 ) -> DataFrame:
     """queries(query_id, store_key, text, embedding, budget) -> one context row per query.
 
@@ -171,7 +172,7 @@ def assemble_context(
 
     hits = search.search_atoms(
         staged.select("query_id", "store_key", "text", "embedding", "atom_cap"), atoms, as_of_s,
-        atom_pool(F.col("atom_cap")), weights=weights,
+        atom_pool(F.col("atom_cap")), weights=weights, index=atom_index,
     ).where("NOT pinned")
     atom_text = text.truncate(F.col("content"), text.ATOM_CAP)
     sized = hits.join(
@@ -186,7 +187,7 @@ def assemble_context(
 
     scene_hits = search.search_scenes(
         staged.select("query_id", "store_key", "text", "embedding", "scene_cap"), scenes,
-        scene_pool(F.col("scene_cap")),
+        scene_pool(F.col("scene_cap")), scene_index,
     )
     rendered = text.truncate(
         text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary")), text.SCENE_CAP

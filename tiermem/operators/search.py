@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tiermem.functions import text
 from tiermem.functions.vectors import SCORE_DIGITS, nearest
+from tiermem.operators.lexical_index import LexicalIndex
 from tiermem.session import cut_lineage
 
 # BM25 constants, fusion constant, over-fetch factors.
@@ -64,17 +65,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_topn(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
+def bm25_topn(queries: DataFrame, docs: DataFrame | LexicalIndex, max_fetch: int) -> DataFrame:
     """(query_id, id, score, rank0): documents of the store holding every query token.
 
-    Candidates come from the rarest term of each query only. The other terms are
-    looked up for those candidates alone, so a frequent word in a longer query
-    multiplies nothing. The texts are tokenised once, into a stored table of the postings
-    the queries can use; everything after reads that table.
+    ``docs`` is a kept index, whose folders of the asked terms are read, or the documents, which
+    are then tokenised once into a stored table of the postings the queries can use. Candidates
+    come from the rarest term of each query only, and the other terms are looked up for those
+    candidates alone, so a frequent word in a longer query multiplies nothing. Queries of
+    one word are ranked as they are read, without a table of candidates.
     """
     terms = cut_lineage(query_terms(queries))
-    index = cut_lineage(postings(docs, terms))
-    stats = term_statistics(index)
+    if isinstance(docs, LexicalIndex):
+        index, stats = cut_lineage(docs.postings(terms)), docs.statistics(terms)
+    else:
+        index = cut_lineage(postings(docs, terms))
+        stats = term_statistics(index)
     of_query = Window.partitionBy("query_id")
     n, df = F.col("n_docs"), F.col("df")
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
@@ -96,24 +101,25 @@ def bm25_topn(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
     part = F.col("idf") * tf * (K1 + 1) / (
         tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     )
+    alone = index.join(leads.where("n_terms = 1"), ["store_key", "term"]).select("query_id", "id", "fetch", part.alias("score"))
     candidates = cut_lineage(
-        index.join(leads, ["store_key", "term"]).select(
+        index.join(leads.where("n_terms > 1"), ["store_key", "term"]).select(
             "query_id", "store_key", "id", "n_terms", "fetch", part.alias("part")
         )
     )
-    lookups = candidates.where("n_terms > 1").select("query_id", "id").join(
+    lookups = candidates.select("query_id", "id").join(
         rest.select("query_id", "store_key", "term", "idf", "avg_len"), "query_id"
     )
     others = index.join(lookups, ["store_key", "id", "term"]).select("query_id", "id", part.alias("part"))
     hits = candidates.select("query_id", "id", "part").unionByName(others)
-    scored = (
+    together = (
         hits.groupBy("query_id", "id")
         .agg(F.count(F.lit(1)).alias("_hits"), F.sum("part").alias("score"))
         .join(leads.select("query_id", "n_terms", "fetch"), "query_id")
         .where("_hits = n_terms")
-        .select("query_id", "id", "fetch", F.round("score", SCORE_DIGITS).alias("score"))
+        .select("query_id", "id", "fetch", "score")
     )
-    return ranked(scored, max_fetch)
+    return ranked(together.unionByName(alone).withColumn("score", F.round("score", SCORE_DIGITS)), max_fetch)
 
 
 def dense_topn(queries: DataFrame, vectors: DataFrame, max_fetch: int) -> DataFrame:
@@ -182,9 +188,9 @@ def blend(hits: DataFrame, atoms: DataFrame, as_of_s: int, weights: Weights = We
     )
 
 
-def _hybrid(queries: DataFrame, docs: DataFrame, max_fetch: int) -> DataFrame:
-    """docs(store_key, id, body, embedding)."""
-    lexical = bm25_topn(queries, docs.select("store_key", "id", "body"), max_fetch)
+def _hybrid(queries: DataFrame, docs: DataFrame, max_fetch: int, index: LexicalIndex | None = None) -> DataFrame:
+    """docs(store_key, id, body, embedding); with an index the bodies are not read."""
+    lexical = bm25_topn(queries, docs.select("store_key", "id", "body") if index is None else index, max_fetch)
     dense = dense_topn(queries, docs.select("store_key", "id", "embedding"), max_fetch)
     return rrf([lexical, dense], queries)
 
@@ -202,25 +208,25 @@ def scene_docs(scenes: DataFrame) -> DataFrame:
 
 def search_atoms(
     queries: DataFrame, atoms: DataFrame, as_of_s: int, limit=10,
-    weights: Weights = Weights(),
+    weights: Weights = Weights(), index: LexicalIndex | None = None,
 ) -> DataFrame:
-    """``limit`` is a number or a column of the queries."""
+    """``limit`` is a number or a column of the queries; ``index`` is a kept index of the atoms' texts."""
     top = _largest(queries, limit)
     asked = with_limit(queries, limit, ATOM_OVERFETCH)
-    return blend(_hybrid(asked, atom_docs(atoms), top * ATOM_OVERFETCH), atoms, as_of_s, weights)
+    return blend(_hybrid(asked, atom_docs(atoms), top * ATOM_OVERFETCH, index), atoms, as_of_s, weights)
 
 
-def search_turns(queries: DataFrame, turns: DataFrame, limit: int = 10) -> DataFrame:
+def search_turns(queries: DataFrame, turns: DataFrame, limit: int = 10, index: LexicalIndex | None = None) -> DataFrame:
     asked = with_limit(queries, limit, TEXT_OVERFETCH)
     docs = turns.select("store_key", "id", F.col("content").alias("body"), "embedding")
-    return _hybrid(asked, docs, limit * TEXT_OVERFETCH).withColumnRenamed("rrf", "score")
+    return _hybrid(asked, docs, limit * TEXT_OVERFETCH, index).withColumnRenamed("rrf", "score")
 
 
 def search_scenes(
-    queries: DataFrame, scenes: DataFrame, limit=10
+    queries: DataFrame, scenes: DataFrame, limit=10, index: LexicalIndex | None = None
 ) -> DataFrame:
     top = _largest(queries, limit)
     asked = with_limit(queries, limit, TEXT_OVERFETCH)
-    hits = _hybrid(asked, scene_docs(scenes), top * TEXT_OVERFETCH)
+    hits = _hybrid(asked, scene_docs(scenes), top * TEXT_OVERFETCH, index)
     live = scenes.where("status = 'active'").select(F.col("scene_id").alias("id"), "store_key")
     return hits.join(live, ["store_key", "id"], "left_semi").withColumnRenamed("rrf", "score")

@@ -861,6 +861,20 @@ def _(v):
     return search.bm25_topn(asked, search.atom_docs(v.atoms), 30)
 
 
+@register("lexical_index_l0_l1", f"WITH {osql.hybrid_ctes('a', osql.ATOM_DOCS, '10', 3)} SELECT query_id, id, score, rank0 FROM a_lex")
+def _(v):
+    # rows added in parts, some with another text first, others added and deleted again, with a compaction between
+    docs = search.atom_docs(v.atoms).select("store_key", "id", "body")
+    even = F.pmod(F.crc32("id"), F.lit(2)) == 0
+    index = search.LexicalIndex(v.spark, f"{shared_folder(v.spark)}/index-{uuid.uuid4().hex}")
+    index.add(docs.where(even).withColumn("body", F.concat("body", F.lit(" the and of"))))
+    index.add(docs.where(~even).unionByName(docs.withColumn("id", F.concat("id", F.lit("-draft")))))
+    index.compact()
+    index.delete(docs.select("store_key", F.concat("id", F.lit("-draft")).alias("id")))
+    index.add(docs.where(even))
+    return search.bm25_topn(search.with_limit(v.recall_queries, 10, search.ATOM_OVERFETCH), index, 30)
+
+
 @register("dense_atoms_l2", f"WITH {osql.hybrid_ctes('a', osql.ATOM_DOCS, '10', 3)} SELECT query_id, id, score, rank0 FROM a_den")
 def _(v):
     asked = search.with_limit(v.recall_queries, 10, search.ATOM_OVERFETCH)
@@ -888,19 +902,19 @@ def _(v):
 @register("search_turns_l5", f"""
 WITH {osql.hybrid_ctes('t', TURN_DOCS_SQL, '10', 2)} SELECT query_id, store_key, id, rrf AS score FROM t_fused""")
 def _(v):
-    return search.search_turns(v.recall_queries, _turn_docs(v))
+    return search.search_turns(v.recall_queries, _turn_docs(v), index=v.turn_index)
 
 
 @register("search_atoms_l6", osql.SEARCH_ATOMS)
 def _(v):
-    return search.search_atoms(v.recall_queries, v.atoms, AS_OF)
+    return search.search_atoms(v.recall_queries, v.atoms, AS_OF, index=v.atom_index)
 
 
 @register("search_scenes_l7", f"""
 WITH {osql.hybrid_ctes('s', osql.SCENE_DOCS, '10', 2)}
 SELECT f.query_id, f.store_key, f.id, f.rrf AS score FROM s_fused f JOIN scenes c ON c.scene_id = f.id AND c.store_key = f.store_key WHERE c.status = 'active'""")
 def _(v):
-    return search.search_scenes(v.recall_queries, v.scenes)
+    return search.search_scenes(v.recall_queries, v.scenes, index=v.scene_index)
 
 
 PREFIX_SQL = """
@@ -924,7 +938,7 @@ listed AS (
 SELECT q.query_id, 'pinned' AS source, p.place, p.id, p.chars FROM recall_queries q JOIN pins p ON p.store_key = q.store_key
 UNION ALL SELECT query_id, 'ranked', place, id, chars::BIGINT FROM listed WHERE running <= 6000 AND place + n_pinned <= 10""")
 def _(v):
-    return context.recall_atoms_legacy(v.recall_queries, v.stored_atoms, AS_OF)
+    return context.recall_atoms_legacy(v.recall_queries, v.atoms, AS_OF, index=v.atom_index)
 
 
 def _fill_sql(name: str, cands: str, caps: str) -> str:
@@ -970,7 +984,8 @@ done AS MATERIALIZED (SELECT q.query_id, q.store_key, q.budget, p.used AS pinned
 
 
 def _contexts(v: MemoryViews) -> DataFrame:
-    return context.assemble_context(v.recall_queries, v.stored_atoms, v.stored_scenes, v.core, AS_OF)
+    return context.assemble_context(
+        v.recall_queries, v.atoms, v.scenes, v.core, AS_OF, atom_index=v.atom_index, scene_index=v.scene_index)
 
 
 @register("context_budgets_l9", f"""
@@ -1018,7 +1033,7 @@ sections AS (SELECT query_id, t, concat(CASE t WHEN 1 THEN '## Pinned' WHEN 2 TH
 SELECT query_id, string_agg(section, chr(10) || chr(10) ORDER BY t) AS rendered FROM sections GROUP BY 1""")
 def _(v):
     items = context.context_items(_contexts(v))
-    return context.render(context.context_texts(items, v.stored_atoms, v.stored_scenes, v.core))
+    return context.render(context.context_texts(items, v.atoms, v.scenes, v.core))
 
 
 @register("trace_headers_l12", f"""
@@ -1043,7 +1058,7 @@ WITH RECURSIVE topic_queries AS MATERIALIZED (
 SELECT query_id, budget, (pinned_chars + atom_chars + scene_chars + CASE WHEN core_cap > 50 THEN least(core_len, core_cap) ELSE 0 END)::BIGINT AS total_chars,
        missed OR core_cap <= 50 OR core_len > core_cap AS truncated FROM done""")
 def _(v):
-    titles = reads.resolve_topics(_topic_requests(v), v.stored_scenes).where("found")
+    titles = reads.resolve_topics(_topic_requests(v), v.scenes).where("found")
     vectors = v.recall_queries.select(F.concat(F.lit("t-"), "query_id").alias("request_id"), "embedding", "budget")
     named = v.embeddings.select(F.col("doc_id").alias("item_id"), "embedding")
     vectors = vectors.unionByName(v.table("benchmark").join(named, "item_id", "left").select(
@@ -1052,7 +1067,8 @@ def _(v):
     asked = titles.join(vectors, "request_id").select(
         F.col("request_id").alias("query_id"), "store_key", F.col("query").alias("text"), "embedding", "budget"
     )
-    contexts = context.assemble_context(asked, v.stored_atoms, v.stored_scenes, v.core, AS_OF)
+    contexts = context.assemble_context(
+        asked, v.atoms, v.scenes, v.core, AS_OF, atom_index=v.atom_index, scene_index=v.scene_index)
     return contexts.select("query_id", "budget", "total_chars", "truncated")
 
 
@@ -1117,7 +1133,7 @@ def _(v):
 WITH {osql.hybrid_ctes('a', osql.ATOM_DOCS, '8', 3)}
 SELECT b.query_id, b.id, a.type, a.confidence, b.score FROM ({osql.blended('a_fused')}) b JOIN atoms a ON a.id = b.id AND a.store_key = b.store_key""")
 def _(v):
-    return distill.neighbours(v.recall_queries, v.atoms, AS_OF).select("query_id", "id", "type", "confidence", "score")
+    return distill.neighbours(v.recall_queries, v.atoms, AS_OF, index=v.atom_index).select("query_id", "id", "type", "confidence", "score")
 
 
 PACK_ITEMS_SQL = "SELECT pass_id, row_number() OVER (PARTITION BY pass_id ORDER BY id) - 1 AS position, 100 + n_targets * 150 AS chars FROM decisions"

@@ -56,13 +56,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    name = context._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(context._jsc.hadoopConfiguration()).exists(name)
+
+
+def stored(df: DataFrame) -> str:
+    """Write the rows as a table in the shared folder; its path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and read them back.
 
     Later plans then start from files that survive a lost executor, and they know
     the real size of the table, so a join broadcasts it only when it is small.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))

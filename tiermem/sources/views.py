@@ -5,13 +5,17 @@ Every view grows linearly with its inputs and reads them whole.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiermem.functions import identity, text
 from tiermem.functions.scan import blocked_row_number
-from tiermem.session import cut_lineage
+from tiermem.operators import search
+from tiermem.operators.lexical_index import LexicalIndex
+from tiermem.session import path_exists, shared_folder, stored
 
 EPOCH_S = 1704067200
 AS_OF_S = 1709251200
@@ -33,7 +37,13 @@ def _idiv(number: Column, by: int) -> Column:
     return F.floor(number / by).cast("long")
 
 
+#: Paths of the tables and indexes written for an application and folder, so its queries derive them once.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class MemoryViews:
+    """The memory tables of a folder; turns, atoms, evidence, scenes and queries are written once per application."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -41,6 +51,35 @@ class MemoryViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _path(self, name: str, make: Callable[[], str]) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN or not path_exists(self.spark, _WRITTEN[key]):
+            _WRITTEN[key] = make()
+        return _WRITTEN[key]
+
+    def _written(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.spark.read.schema(rows.schema).parquet(self._path(name, lambda: stored(rows)))
+
+    def _index(self, name: str, docs: DataFrame) -> LexicalIndex:
+        def make() -> str:
+            path = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
+            LexicalIndex(self.spark, path).add(docs)
+            return path
+
+        return LexicalIndex(self.spark, self._path(f"index of {name}", make))
+
+    @cached_property
+    def atom_index(self) -> LexicalIndex:
+        return self._index("atoms", search.atom_docs(self.atoms))
+
+    @cached_property
+    def scene_index(self) -> LexicalIndex:
+        return self._index("scenes", search.scene_docs(self.scenes))
+
+    @cached_property
+    def turn_index(self) -> LexicalIndex:
+        return self._index("turns", self.turns.select("store_key", "id", F.col("content").alias("body")))
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.table("documents").select("doc_id", "text")
@@ -62,7 +101,7 @@ class MemoryViews:
             ["turn"],
             "seq",
         )
-        return numbered.select(
+        rows = numbered.select(
             F.concat_ws("-", F.lit("turn"), conv, turn).alias("id"),
             "store_key",
             F.concat(F.lit("sess-"), conv.cast("string")).alias("session_id"),
@@ -73,6 +112,7 @@ class MemoryViews:
             F.concat_ws(":", conv, turn).alias("turn_id"),
             "seq",
         )
+        return self._written("turns", rows)
 
     @cached_property
     def _atom_rows(self) -> DataFrame:
@@ -105,21 +145,12 @@ class MemoryViews:
     @cached_property
     def atoms(self) -> DataFrame:
         vectors = self.embeddings.withColumnRenamed("doc_id", "src_doc_id")
-        return self._atom_rows.join(vectors, "src_doc_id", "left")
-
-    @cached_property
-    def stored_atoms(self) -> DataFrame:
-        """The atoms as a written table, for jobs that read them many times."""
-        return cut_lineage(self.atoms)
-
-    @cached_property
-    def stored_scenes(self) -> DataFrame:
-        return cut_lineage(self.scenes)
+        return self._written("atoms", self._atom_rows.join(vectors, "src_doc_id", "left"))
 
     @cached_property
     def atom_keys(self) -> DataFrame:
         """Atoms without their text and vectors, for joins that need neither."""
-        return self._atom_rows.drop("content")
+        return self.atoms.drop("content", "embedding", "label")
 
     @cached_property
     def atom_evidence(self) -> DataFrame:
@@ -131,13 +162,13 @@ class MemoryViews:
         turns = self.turns.select(
             "store_key", F.col("id").alias("stream_id"), _idiv(F.col("seq") - 1, 4).alias("w")
         )
-        return atoms.join(turns, ["store_key", "w"]).select("atom_id", "stream_id", "store_key")
+        return self._written("evidence", atoms.join(turns, ["store_key", "w"]).select("atom_id", "stream_id", "store_key"))
 
     @cached_property
     def scenes(self) -> DataFrame:
         doc = F.col("doc_id")
         rest = F.expr("substring(text, 61)")
-        return self.documents.join(self.embeddings, "doc_id", "left").select(
+        return self._written("scenes", self.documents.join(self.embeddings, "doc_id", "left").select(
             F.concat(F.lit("scene-"), doc.cast("string")).alias("scene_id"),
             _tenant(doc).alias("store_key"),
             _pick(doc, ["episode", "topic"]).alias("scene_kind"),
@@ -146,7 +177,7 @@ class MemoryViews:
             F.when(doc % 20 == 15, "retired").otherwise("active").alias("status"),
             (EPOCH_S + doc * 1800 % 5184000).alias("updated_s"),
             "embedding",
-        )
+        ))
 
     @cached_property
     def scene_atoms(self) -> DataFrame:
@@ -193,7 +224,7 @@ class MemoryViews:
         )
         mode = F.when(item % 2 == 0, "explicit").otherwise("auto")
         asked = F.when(item % 3 == 1, 4000).when(item % 3 == 2, 30000)
-        return (
+        rows = (
             self.table("benchmark")
             .join(self.embeddings.withColumnRenamed("doc_id", "item_id"), "item_id", "left")
             .select(item, "embedding", F.explode(kinds).alias("k"))
@@ -206,6 +237,7 @@ class MemoryViews:
                 text.budget(asked, mode).cast("long").alias("budget"),
             )
         )
+        return self._written("queries", rows)
 
     @cached_property
     def traces(self) -> DataFrame:
