@@ -7,6 +7,8 @@ table. Rows with a null id cannot be told apart and go in the first stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +24,27 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
+def _only_rows(docs: DataFrame, verdicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows whose own verdict lets them stay: ``verdicts`` names them by ``row``, which tells rows of one id apart by their text."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(*COLUMNS, F.concat_ws(":", "doc_id", F.xxhash64("text")).alias("row"))
+    return rows.join(verdicts(rows).select("row").distinct(), "row", "left_semi").select(*COLUMNS)
+
+
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; those without text or a letter go."""
     model = language_id.fit(read(spark, sf_dir, "documents").filter(~held_out(3, 1)))
-    spoken = language_id.predict(docs, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    return _only(docs, spoken)
+    return _only_rows(docs, lambda rows: language_id.predict(rows, model, "row").filter(F.col("lang_pred") != language_id.UNKNOWN))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels.filter(~held_out(4, 2)), "doc_id"))
-    return _only(docs, toxicity.score(docs, model).filter(F.col("predicted") == 0))
+    return _only_rows(docs, lambda rows: toxicity.score(rows, model, "row").filter(F.col("predicted") == 0))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the smallest id stays."""
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the smallest id stays, with all rows of that id."""
     return _only(docs, jaccard_join.classes(docs, words=5, percent=80).filter(F.col("component_id") == F.col("doc_id")))
 
 
