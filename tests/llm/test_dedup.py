@@ -189,14 +189,20 @@ def test_near_vectors(spark, monkeypatch):
 
 
 def test_near_vectors_query_recall(spark):
-    folder = "/root/testdata/check_s"
+    folder = "/root/testdata/sf0.01"
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().set_index("vec_id")
     got = catalog.QUERIES["op3_embedding_near_dedup"](spark, folder).toPandas().set_index("vec_id")
     x = np.stack(vectors.embedding).astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    degree = np.concatenate([(x[a:a + 2000] @ x.T >= 0.9).sum(1) - 1 for a in range(0, len(x), 2000)])
-    mine = got.loc[vectors.index].n_links.values
-    assert (mine <= degree).all() and mine.sum() >= 0.99 * degree.sum()
+    assert (got.loc[vectors.index].n_links.values == (x @ x.T >= 0.9).sum(1) - 1).all()
+
+
+def test_suffix_dedup_rows_of_one_id(spark):
+    """A row is a copy by its text, not by its id: another text under the same id stays."""
+    a, b = ("Winter brings long nights that travellers in the hills know too well. " * 2, "Nobody else in this table has ever written down these words about the sea. " * 2)
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.dedup(rows).collect())
+    assert got == [(3, 0, a), (5, 0, b), (5, len(a), ""), (7, len(b), "")]
 
 
 def test_top_k_query(spark):

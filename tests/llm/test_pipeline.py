@@ -65,3 +65,14 @@ def test_passage_stage_keeps_text_outside_cuts_and_rows(spark):
     want = [(1, one + "é x", "en"), (2, "a\ufffdb \ufffd tail", "de"), (2, "a\ufffdb \ufffd tail", "en"), (3, "start: end", "en"),
             (10, "zĩ" + two + "è", "en"), (11, "x  y", "en")]
     assert got == [(*w, len(w[1])) for w in want]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, staged):
+    """A toxic row goes though a clean row has its id, and the clean one stays."""
+    labels = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("toxic = 1").collect()}
+    gone = {r.doc_id for r in staged[1].collect()} - {r.doc_id for r in staged[2].collect()}
+    toxic = [r for r in staged[1].collect() if r.doc_id in labels & gone][:3]
+    clean = staged[2].limit(1).collect()[0]
+    rows = [(clean.doc_id, r.text, r.lang, r.source, r.n_chars) for r in toxic] + [tuple(clean[c] for c in corpus_pipeline.COLUMNS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert toxic and [r.text for r in corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()] == [clean.text]

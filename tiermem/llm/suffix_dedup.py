@@ -23,6 +23,7 @@ instead. Copies of a whole text are settled by their digest and not searched at
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,9 +76,9 @@ def gram_size(length: int) -> int:
 class Block:
     """Segments of a block of documents, and the entries they make."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], copies: set[int], length: int):
-        self.length, self.ids, self.texts = length, ids, texts
-        self.searched = [i for i, (d, t) in enumerate(zip(ids, texts)) if d is not None and d not in copies and len(t) >= length]
+    def __init__(self, ids: list[int], texts: list[bytes], copied: list[bool], length: int):
+        self.length, self.ids, self.texts, self.copied = length, ids, texts, copied
+        self.searched = [i for i, (d, t) in enumerate(zip(ids, texts)) if d is not None and not copied[i] and len(t) >= length]
         sizes = np.array([len(texts[i]) for i in self.searched], np.int64)
         self.ends = np.cumsum(sizes)
         self.buffer = np.frombuffer(b"".join(texts[i] for i in self.searched), np.uint8)
@@ -294,8 +295,13 @@ def _read_block(left: pa.Table, right: pa.Table, length: int) -> tuple[Block, di
         mail[row[0]].append(row[1:])
     for kind in (1, 2):
         mail[kind].sort(key=lambda r: r[0])
-    texts = [t or b"" for t in left.column("text").to_pylist()]
-    return Block(left.column("id").to_pylist(), texts, {r[0] for r in mail[0]}, length), mail
+    ids, texts = left.column("id").to_pylist(), [t or b"" for t in left.column("text").to_pylist()]
+    copies: dict[int, set[bytes]] = {}
+    for i, digest, _ in mail[0]:
+        copies.setdefault(i, set()).add(digest)
+    # rows may share an id, so a copy is told by its text too
+    copied = [i in copies and len(t) >= length and hashlib.sha256(t).hexdigest().encode() in copies[i] for i, t in zip(ids, texts)]
+    return Block(ids, texts, copied, length), mail
 
 
 def _whole(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -330,10 +336,11 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
 
     digests = cut_lineage(stored.filter(F.octet_length("text") >= length).select("id", "block", F.sha2("text", 256).alias("digest")))
     least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("digest", "least")
-    copies = digests.join(least, "digest").filter("id > least").select("block", "id")
+    copies = digests.join(least, "digest").filter("id > least").select("block", "id", "digest")
     empty = F.lit(None).cast("binary")
     letters = "block bigint, kind int, number bigint, first binary, second binary"
-    mail = cut_lineage(copies.select("block", F.lit(0).alias("kind"), F.col("id").alias("number"), empty.alias("first"), empty.alias("second")))
+    mail = cut_lineage(copies.select("block", F.lit(0).alias("kind"), F.col("id").alias("number"),
+                                     F.col("digest").cast("binary").alias("first"), empty.alias("second")).distinct())
 
     def ask_anchors(key, left, right):
         block, _ = _read_block(left, right, length)
@@ -431,7 +438,6 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             np.add.at(edge, at + length, -1)
         covered = np.cumsum(edge[:-1]) > 0
         rises = covered & ~np.append(False, covered[:-1])
-        copied = {r[0] for r in had[0]}
         out: dict[int, tuple[int, int, bytes]] = {}
         for i, end in zip(block.searched, block.ends.tolist()):
             begin = end - len(block.texts[i])
@@ -441,9 +447,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             gone = _whole(block.buffer[begin:end], gone) if whole and removed else gone
             out[i] = (removed, spans, _blob(block.buffer[begin:end][~gone]) if removed else block.texts[i])
         result = []
-        for i, (d, t) in enumerate(zip(block.ids, block.texts)):
-            copy = d in copied and len(t) >= length
-            result.append(out.get(i) or ((len(t), 1, b"") if copy else (0, 0, t)))
+        for i, t in enumerate(block.texts):
+            result.append(out.get(i) or ((len(t), 1, b"") if block.copied[i] else (0, 0, t)))
         return pa.table({"id": pa.array(block.ids, pa.int64()), "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()),
                          "n_removed": pa.array([r[0] for r in result], pa.int64()), "n_spans": pa.array([r[1] for r in result], pa.int64()),
                          "kept": pa.array([r[2] for r in result], pa.binary()), **{f.name: left.column(f.name) for f in kept_columns}})
