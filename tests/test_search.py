@@ -43,8 +43,8 @@ def sequential(points, threshold):
 def test_leader_rounds_equal_sequential_rule(views):
     atoms = views.atoms.where("embedding IS NOT NULL").select("store_key", "id", "embedding").cache()
     points = [(r.store_key, r.id, np.array(r.embedding, dtype="float64")) for r in atoms.collect()]
-    for threshold, front in ((0.3, 2048), (0.3, 7), (0.6, 25)):
-        got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(atoms, threshold, front, fixed_rows=30).collect()}
+    for threshold, rows in ((0.3, 8192), (0.3, 7), (0.6, 30)):
+        got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(atoms, threshold, fixed_rows=rows).collect()}
         assert got == sequential(points, threshold)
 
 
@@ -65,10 +65,53 @@ def test_vectors_of_unequal_length_are_refused(spark):
 def test_near_copies_share_one_leader(spark):
     rows = [("s", f"a{n:04d}", [1.0, 0.0]) for n in range(300)] + [("s", "b", [0.0, 1.0])]
     data = spark.createDataFrame(rows, "store_key string, id string, embedding array<float>")
-    got = clusters.leader_clusters(data, 0.9, front=50).groupBy("leader_id").count().collect()
+    got = clusters.leader_clusters(data, 0.9, fixed_rows=50).groupBy("leader_id").count().collect()
     assert {(r.leader_id, r["count"]) for r in got} == {("a0000", 300), ("b", 1)}
 
 
+def test_chains_and_a_hot_store_settle_by_rounds(spark):
+    """Every atom waits for the one before it; another store holds nearly all rows, most of them unlike."""
+    rng = np.random.default_rng(3)
+    turn = np.arange(12) * 0.3
+    points = [("chain", f"c{n:02d}", np.array([np.cos(a), np.sin(a), 0, 0, 0, 0, 0, 0])) for n, a in enumerate(turn)]
+    many = rng.normal(size=(900, 8))
+    many /= np.linalg.norm(many, axis=1)[:, None]
+    points += [("hot", f"h{n:04d}", v) for n, v in enumerate(many)]
+    data = spark.createDataFrame([(s, n, v.tolist()) for s, n, v in points], "store_key string, id string, embedding array<double>")
+    got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(data, 0.9, fixed_rows=64).collect()}
+    assert got == sequential(points, 0.9)
+    assert len({v for (s, _), v in got.items() if s == "hot"}) > 300
+
+
+def test_kept_index_equals_a_rebuild(spark, tmp_path):
+    """Rows added, replaced and deleted, then compacted: postings and statistics are those of the rows that are left."""
+    texts = {("a", "1"): "the red fox the end", ("a", "2"): "red red wine", ("a", "3"): "", ("b", "1"): "the fox", ("a", "4"): "Fox, fox; FOX"}
+    frame = lambda rows: spark.createDataFrame([(*k, v) for k, v in rows.items()], "store_key string, id string, body string")
+    index = search.LexicalIndex(spark, str(tmp_path / "index"), buckets=3)
+    wanted = spark.createDataFrame([(s, t) for s in "ab" for t in ("the", "red", "fox", "wine", "none")], "store_key string, term string")
+    assert index.postings(wanted).count() == 0 and index.statistics(wanted).count() == 0
+
+    def same(rows):
+        want = search.postings(frame(rows))
+        got = {tuple(r) for r in index.postings(wanted).select("store_key", "id", "term", "tf", "doc_len").collect()}
+        assert got == {tuple(r) for r in want.join(wanted, ["store_key", "term"], "left_semi").select("store_key", "id", "term", "tf", "doc_len").collect()}
+        stats = lambda df: {(r.store_key, r.term, r.df, r.n_docs, round(r.avg_len, 9)) for r in df.collect()}
+        assert stats(index.statistics(wanted)) == stats(search.term_statistics(want).join(wanted, ["store_key", "term"], "left_semi"))
+
+    index.add(frame({k: v for k, v in texts.items() if k != ("a", "4")} | {("a", "2"): "white wine the fox"}))
+    index.add(frame({("a", "2"): texts["a", "2"], ("a", "4"): texts["a", "4"], (None, "9"): "fox", ("a", None): "fox", ("a", "5"): None}))
+    same(texts)
+    index.delete(spark.createDataFrame([("a", "1"), ("b", "7")], "store_key string, id string"))
+    left = {k: v for k, v in texts.items() if k != ("a", "1")}
+    same(left)
+    index.compact()
+    same(left)
+    index.add(frame({("a", "1"): "the fox is back"}))
+    same(left | {("a", "1"): "the fox is back"})
+    plan = index.postings(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and "body" not in plan
+
+
 def test_contexts_stay_in_budget_and_pinned_breaks(spark, views):
     done = context.assemble_context(views.recall_queries, views.atoms, views.scenes, views.core, AS_OF_S).collect()
     assert done and all(r.total_chars <= r.budget for r in done)
