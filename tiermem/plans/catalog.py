@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tiermem.functions import identity, text
 from tiermem.functions.vectors import hash_embed
 from tiermem.operators import (
-    access, audit, checks, clusters, context, distill, ingest, inventory, joins, latency, lifecycle, reads, replies,
+    access, audit, checks, clusters, context, distill, embedding, ingest, inventory, joins, latency, lifecycle, reads, replies,
     scenes, search, usage,
 )
 from tiermem.plans import consolidation, oracle_search as osql
@@ -1091,14 +1091,37 @@ def _(v):
     return vectors.select("id", F.col("slot").cast("long").alias("slot"), value.alias("value")).where("value <> 0")
 
 
-@register("reembed_d2", f"""
+@register("embed_hook_d1", f"SELECT id, slot, round(value, 5) AS value FROM ({_folded_sql('turns', 'id', 'content')}) x WHERE round(value, 5) <> 0")
+def _(v):
+    rows = v.turns.select("id", F.col("content").alias("body"))
+    found = embedding.embed(rows, ["id"], f"fold-{HASH_DIM}", embedding.folding_model(HASH_DIM), HASH_DIM)
+    value = F.round(F.col("e").cast("double"), 5)
+    return found.select("id", F.posexplode("embedding").alias("slot", "e")).select(
+        "id", F.col("slot").cast("long").alias("slot"), value.alias("value")).where("value <> 0")
+
+
+REEMBED_SQL = f"""
 WITH texts AS (SELECT 'turns' AS tier, store_key, id, content AS body, '' AS render_hash FROM turns
   UNION ALL SELECT 'atoms', store_key, id, content, '' FROM atoms
   UNION ALL SELECT 'scenes', store_key, scene_id, CASE WHEN summary IS NULL THEN title ELSE concat(title, chr(10), summary) END,
                    sha256(concat(title, chr(10), coalesce(summary, ''))) FROM scenes)
 SELECT t.tier, t.store_key, t.id, t.render_hash, {HASH_DIM}::BIGINT AS dim, round(f.total, 4) AS total FROM texts t
 JOIN (SELECT key, sum(value) AS total FROM ({_folded_sql("(SELECT concat(tier, '/', store_key, '/', id) AS key, body FROM texts)", 'key', 'body')}) y GROUP BY 1) f
-  ON f.key = concat(t.tier, '/', t.store_key, '/', t.id)""")
+  ON f.key = concat(t.tier, '/', t.store_key, '/', t.id)"""
+
+
+@register("reembed_swap_d2", REEMBED_SQL)
+def _(v):
+    # a first model leaves its own vectors; the second version replaces them all, and a refresh keeps those of unchanged scenes
+    texts = embedding.tier_texts(v.turns, v.atoms, v.scenes)
+    table = embedding.VectorTable(v.spark, f"{shared_folder(v.spark)}/vectors-{uuid.uuid4().hex}")
+    for dim in (8, HASH_DIM, HASH_DIM):
+        table.swap(texts, f"fold-{dim}", embedding.folding_model(dim), dim)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double"))
+    return table.read().select("tier", "store_key", "id", "render_hash", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"))
+
+
+@register("reembed_d2", REEMBED_SQL)
 def _(v):
     total = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double"))
     fresh = distill.reembed(v.turns, v.atoms, v.scenes, HASH_DIM)
