@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tiermem.functions.worker import kept
 from tiermem.llm.common import text_rows
 
 SPACE = "▁"
@@ -167,14 +168,9 @@ class _Parts(dict):
         return ids
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker and model."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker and model; its caches serve all tasks of the worker."""
+    return kept(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
