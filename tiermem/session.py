@@ -56,10 +56,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _named(spark: SparkSession, path: str):
     context = spark.sparkContext
     name = context._jvm.org.apache.hadoop.fs.Path(path)
-    return name.getFileSystem(context._jsc.hadoopConfiguration()).exists(name)
+    return name, name.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    name, files = _named(spark, path)
+    return files.exists(name)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    name, files = _named(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(name)] if files.exists(name) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    name, files = _named(spark, path)
+    files.mkdirs(name)
 
 
 def stored(df: DataFrame) -> str:
