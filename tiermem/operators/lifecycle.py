@@ -90,3 +90,32 @@ def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = F.max_by(F.struct(*rest), F.col(order)).alias("r")
     return df.groupBy(*keys).agg(row).select(*keys, "r.*").select(df.columns)
+
+
+START = ("store_key", "watermark_start", "watermark_end", "input_turn_count", "model", "prompt_version", "distiller_version")
+COMPLETION = ("status", "candidate_count", "error")
+
+
+def fold_pass_log(events: DataFrame) -> DataFrame:
+    """events(pass_id, event_no, kind, at_s, START..., COMPLETION...) -> one row per pass that was started.
+
+    A start gives the pass its provenance and clears any completion before it; a completion
+    counts if no later start follows, and one of a pass that never started counts for nothing. Both are
+    maxima by event number, so the fold merges partial results and needs no order within a task.
+    """
+    def last(kind: str, *columns: str) -> Column:
+        row = F.struct("event_no", "at_s", *columns)
+        return F.max_by(F.when(F.col("kind") == kind, row), F.when(F.col("kind") == kind, F.col("event_no")))
+
+    folded = events.groupBy("pass_id").agg(last("start", *START).alias("s"), last("complete", *COMPLETION).alias("c")).where("s IS NOT NULL")
+    done = F.coalesce(F.col("c.event_no") > F.col("s.event_no"), F.lit(False))
+    closed = {name: F.when(done, F.col(f"c.{name}")) for name in ("candidate_count", "error")}
+    return folded.select(
+        "pass_id", *(F.col(f"s.{name}").alias(name) for name in START), F.col("s.at_s").alias("started_s"),
+        F.when(done, F.col("c.at_s")).alias("completed_s"), F.when(done, F.col("c.status")).otherwise("running").alias("status"),
+        *(value.alias(name) for name, value in closed.items()))
+
+
+def effect_log(rows: DataFrame, keys: tuple[str, ...] = ("pass_id", "scene_id"), order: str = "event_no") -> DataFrame:
+    """The last row written for a scene in a pass; with the key (pass_id,), that of the profile."""
+    return latest_by(rows, list(keys), order)

@@ -1502,6 +1502,61 @@ def _(v):
     return lifecycle.latest_by(rows, ["scene_id"], "pass_no").select("scene_id", "effect", "pass_no")
 
 
+#: Passes as events: a start, a completion for most, then for some a second start under another model and perhaps its completion.
+PASS_EVENTS_SQL = """
+SELECT p.*, e.n * 1000000 + pass_no AS event_no, e.kind, started_s + e.n * 5 AS at_s, concat('model-', e.model) AS model, CASE WHEN pass_no % 4 = 0 THEN NULL ELSE 'v1' END AS prompt_version,
+       e.outcome FROM passes p, (VALUES (0, 'start', 1, ''), (1, 'complete', 0, 'failed'), (2, 'start', 2, ''), (3, 'complete', 0, 'done'), (4, 'complete', 0, 'failed')) e(n, kind, model, outcome)
+WHERE CASE e.n WHEN 0 THEN pass_no % 11 <> 5 WHEN 1 THEN pass_no % 5 <> 1 WHEN 2 THEN pass_no % 3 = 0 AND pass_no % 11 <> 5 WHEN 3 THEN pass_no % 2 = 0 ELSE pass_no % 6 = 2 END"""
+
+
+@register("pass_log_fold_d12", f"""
+WITH e AS ({PASS_EVENTS_SQL}),
+s AS (SELECT * FROM e WHERE kind = 'start' QUALIFY row_number() OVER (PARTITION BY pass_id ORDER BY event_no DESC) = 1),
+c AS (SELECT e.pass_id, e.at_s, e.outcome, e.candidate_count FROM e JOIN s ON s.pass_id = e.pass_id AND e.event_no > s.event_no WHERE e.kind = 'complete'
+      QUALIFY row_number() OVER (PARTITION BY e.pass_id ORDER BY e.event_no DESC) = 1)
+SELECT s.pass_id, s.store_key, s.model, coalesce(s.prompt_version, '-') AS prompt_version, s.at_s AS started_s, coalesce(c.at_s, 0) AS completed_s,
+       coalesce(c.outcome, 'running') AS status, coalesce(c.candidate_count, -1) AS candidate_count, CASE c.outcome WHEN 'failed' THEN 'no reply' ELSE '' END AS error
+FROM s LEFT JOIN c ON c.pass_id = s.pass_id""")
+def _(v):
+    no = F.col("pass_no")
+
+    def event(n: int, kind: str, model: str | None, outcome: str | None, when: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.when(when, F.struct(
+            (F.lit(n * 1000000) + no).alias("event_no"), F.lit(kind).alias("kind"), (F.col("started_s") + n * 5).alias("at_s"),
+            (F.lit(model) if model else none).alias("model"), (F.lit(outcome) if outcome else none).alias("outcome")))
+
+    started = no % 11 != 5
+    rows = F.array(
+        event(0, "start", "model-1", None, started), event(1, "complete", None, "failed", no % 5 != 1),
+        event(2, "start", "model-2", None, (no % 3 == 0) & started), event(3, "complete", None, "done", no % 2 == 0), event(4, "complete", None, "failed", no % 6 == 2))
+    events = v.passes.select(
+        "pass_id", "store_key", "watermark_start", "watermark_end", "input_turn_count", "candidate_count",
+        F.when(no % 4 != 0, "v1").alias("prompt_version"), F.lit("d1").alias("distiller_version"), F.explode(F.filter(rows, lambda e: e.isNotNull())).alias("e"),
+    ).select("*", "e.event_no", "e.kind", "e.at_s", "e.model", F.col("e.outcome").alias("status"), F.when(F.col("e.outcome") == "failed", "no reply").alias("error"))
+    log = lifecycle.fold_pass_log(events)
+    return log.select("pass_id", "store_key", "model", F.coalesce("prompt_version", F.lit("-")).alias("prompt_version"), "started_s", F.coalesce("completed_s", F.lit(0)).alias("completed_s"),
+                      "status", F.coalesce("candidate_count", F.lit(-1)).alias("candidate_count"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@register("effect_logs_d23", """
+WITH tries AS (SELECT e.*, t.n, CASE WHEN t.n = 1 THEN 'updated' ELSE e.effect END AS last_effect FROM scene_effects e, (VALUES (0), (1), (2)) t(n)
+               WHERE t.n = 0 OR (members_after % 3 = 0 AND t.n = 1) OR (members_after % 6 = 0 AND t.n = 2)),
+cores AS (SELECT c.*, t.n, CASE WHEN t.n = 1 THEN 'failed' ELSE c.effect END AS last_effect FROM core_effects c, (VALUES (0), (1)) t(n) WHERE t.n = 0 OR old_chars % 2 = 0)
+SELECT pass_id, scene_id, last_effect AS effect, members_after FROM tries QUALIFY row_number() OVER (PARTITION BY pass_id, scene_id ORDER BY n DESC) = 1
+UNION ALL SELECT pass_id, '', last_effect, new_chars FROM cores QUALIFY row_number() OVER (PARTITION BY pass_id ORDER BY n DESC) = 1""")
+def _(v):
+    size = F.col("members_after")
+    tries = F.array(F.lit(0), F.when(size % 3 == 0, 1), F.when(size % 6 == 0, 2))
+    rows = v.scene_effects.withColumn("event_no", F.explode(F.filter(tries, lambda n: n.isNotNull()))).withColumn(
+        "effect", F.when(F.col("event_no") == 1, "updated").otherwise(F.col("effect")))
+    again = F.filter(F.array(F.lit(0), F.when(F.col("old_chars") % 2 == 0, 1)), lambda n: n.isNotNull())
+    cores = v.core_effects.withColumn("event_no", F.explode(again)).withColumn("effect", F.when(F.col("event_no") == 1, "failed").otherwise(F.col("effect")))
+    scenes_ = lifecycle.effect_log(rows).select("pass_id", "scene_id", "effect", "members_after")
+    return scenes_.unionByName(lifecycle.effect_log(cores, ("pass_id",)).select(
+        "pass_id", F.lit("").alias("scene_id"), "effect", F.col("new_chars").alias("members_after")))
+
+
 # ── lifecycle ────────────────────────────────────────────────────────────────
 
 
