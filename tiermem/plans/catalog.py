@@ -23,7 +23,7 @@ from tiermem.plans.views_sql import toks, with_views
 from tiermem.session import cut_lineage, shared_folder
 from tiermem.sources import export, snapshot
 from tiermem.sources.views import AS_OF_S, EPOCH_S, MemoryViews
-from tiermem.streaming import incremental, keyed, rolling
+from tiermem.streaming import incremental, keyed, rolling, turn_log
 
 
 @dataclass(frozen=True)
@@ -1915,6 +1915,24 @@ def _(v):
         rows("episode", "episodes", "scene_id", "atom_id")).unionByName(heads)
 
 
+@register("turn_log_a1_a2", """
+WITH placed AS (SELECT *, (arrival % 1000000000000 // 100000 * 7 + arrival % 100000 * 3 + arrival // 1000000000000) % 3 AS batch FROM incoming_turns),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY store_key, session_id, turn_id ORDER BY batch, arrival) AS n,
+       first_value(turn_index) OVER (PARTITION BY store_key, session_id, turn_id ORDER BY batch, arrival) AS owned_index,
+       first_value(content) OVER (PARTITION BY store_key, session_id, turn_id ORDER BY batch, arrival) AS owned FROM placed),
+judged AS (SELECT *, CASE WHEN n = 1 THEN 'accepted' WHEN owned_index <> turn_index THEN 'turn_id_conflict' WHEN owned = content THEN 'duplicate' ELSE 'index_conflict' END AS verdict FROM ordered)
+SELECT arrival, id, verdict, CASE WHEN verdict = 'accepted' THEN row_number() OVER (PARTITION BY store_key, verdict ORDER BY batch, arrival) ELSE 0 END AS seq FROM judged""")
+def _(v):
+    # three batches that mix first arrivals, repeats, edits and re-keyed turns; the second is sent again
+    a = F.col("arrival")
+    number = (F.floor(a % 1000000000000 / 100000) * 7 + a % 100000 * 3 + F.floor(a / 1000000000000)) % 3
+    log = turn_log.TurnLog(v.spark, f"{shared_folder(v.spark)}/turns-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1, 2):
+        log.append(v.incoming_turns.where(number == batch), batch)
+    numbers = log.read("turns").select("arrival", "id", "seq")
+    return log.read("verdicts").select("arrival", "id", "verdict").join(numbers, ["arrival", "id"], "left").fillna(0, ["seq"])
+
+
 @register("consolidate_h3_h5", consolidation.CONSOLIDATED_SQL)
 def _(v):
     return consolidation.consolidated(v)
