@@ -43,8 +43,8 @@ def sequential(points, threshold):
 def test_leader_rounds_equal_sequential_rule(views):
     atoms = views.atoms.where("embedding IS NOT NULL").select("store_key", "id", "embedding").cache()
     points = [(r.store_key, r.id, np.array(r.embedding, dtype="float64")) for r in atoms.collect()]
-    for threshold, rows in ((0.3, 8192), (0.3, 7), (0.6, 30)):
-        got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(atoms, threshold, fixed_rows=rows).collect()}
+    for threshold, front in ((0.3, 2048), (0.3, 7), (0.6, 25)):
+        got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(atoms, threshold, front, fixed_rows=30).collect()}
         assert got == sequential(points, threshold)
 
 
@@ -65,7 +65,7 @@ def test_vectors_of_unequal_length_are_refused(spark):
 def test_near_copies_share_one_leader(spark):
     rows = [("s", f"a{n:04d}", [1.0, 0.0]) for n in range(300)] + [("s", "b", [0.0, 1.0])]
     data = spark.createDataFrame(rows, "store_key string, id string, embedding array<float>")
-    got = clusters.leader_clusters(data, 0.9, fixed_rows=50).groupBy("leader_id").count().collect()
+    got = clusters.leader_clusters(data, 0.9, front=50).groupBy("leader_id").count().collect()
     assert {(r.leader_id, r["count"]) for r in got} == {("a0000", 300), ("b", 1)}
 
 
@@ -78,7 +78,7 @@ def test_chains_and_a_hot_store_settle_by_rounds(spark):
     many /= np.linalg.norm(many, axis=1)[:, None]
     points += [("hot", f"h{n:04d}", v) for n, v in enumerate(many)]
     data = spark.createDataFrame([(s, n, v.tolist()) for s, n, v in points], "store_key string, id string, embedding array<double>")
-    got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(data, 0.9, fixed_rows=64).collect()}
+    got = {(r.store_key, r.atom_id): r.leader_id for r in clusters.leader_clusters(data, 0.9, front=4, fixed_rows=64).collect()}
     assert got == sequential(points, 0.9)
     assert len({v for (s, _), v in got.items() if s == "hot"}) > 300
 

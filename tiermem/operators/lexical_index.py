@@ -29,20 +29,22 @@ TABLES = {
 def document_terms(docs: DataFrame) -> DataFrame:
     """docs(store_key, id, body), one row per store and id -> (store_key, id, doc_len, term, tf), without a shuffle.
 
-    A document's words are sorted, and each run of equal ones is a term. Rows without store, id or body have no
-    terms; a body without words counts as a document of length 0, under the empty term.
+    A document's words are sorted, and each run of equal ones is a term. Every document also has a row under the
+    empty term, so that sizes follow from the same rows. Rows without store, id or body have none.
     """
-    words = F.array_sort(text.tokens(F.col("body")))
+    words = F.sort_array(text.tokens(F.col("body")))
     rows = docs.where("store_key IS NOT NULL AND id IS NOT NULL AND body IS NOT NULL").select("store_key", "id", words.alias("w"))
     rows = rows.withColumn("doc_len", F.size("w").cast("long"))
     # numbers (from 0) of the words that begin a run; the end of the last run closes the list
     starts = F.filter(F.sequence(F.lit(0), F.col("doc_len").cast("int")),
                       lambda i: (i == 0) | (i == F.col("doc_len")) | (F.get("w", i) != F.get("w", i - 1)))
+    def run(n):
+        return F.struct(F.get("w", F.get("s", n)).alias("term"), (F.get("s", n + 1) - F.get("s", n)).cast("long").alias("tf"))
+
+    whole = F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
+    terms = F.when(F.col("doc_len") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))), run))
     runs = rows.withColumn("s", starts).select(
-        "store_key", "id", "doc_len", F.explode(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))),
-            lambda n: F.struct(F.coalesce(F.get("w", F.get("s", n)), F.lit("")).alias("term"),
-                               F.coalesce(F.get("s", n + 1) - F.get("s", n), F.lit(0)).cast("long").alias("tf")))).alias("r"))
+        "store_key", "id", "doc_len", F.explode(F.array_append(F.coalesce(terms, F.array().cast("array<struct<term:string,tf:bigint>>")), whole)).alias("r"))
     return runs.select("store_key", "id", "doc_len", "r.term", "r.tf")
 
 
@@ -101,8 +103,7 @@ class LexicalIndex:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         df = rows.where("term <> ''").groupBy("store_key", "term").agg(F.sum("one").alias("df")).where("df <> 0")
         self._write("terms", df, version, True)
-        lengths = rows.groupBy("store_key", "id", "one").agg(F.first("doc_len").alias("n"))
-        sizes = lengths.groupBy("store_key").agg(F.sum("one").alias("n_docs"), F.sum(F.col("one") * F.col("n")).alias("words"))
+        sizes = rows.where("term = ''").groupBy("store_key").agg(F.sum("one").alias("n_docs"), F.sum(F.col("one") * F.col("doc_len")).alias("words"))
         self._write("sizes", sizes, version, False)
         if gone is not None:
             self._write("gone", gone, version, False)
