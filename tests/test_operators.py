@@ -10,7 +10,7 @@ from tiermem.functions import scan
 from tiermem.functions.streamhash import ordered_sha256
 from tiermem.functions.vectors import hash_embed
 from tiermem.operators import audit, checks, distill, ingest, inventory, latency, lifecycle, replies, scenes, usage
-from tiermem.sources import snapshot
+from tiermem.sources import export, snapshot
 
 
 def test_blocked_scans_equal_windows(spark):
@@ -345,3 +345,19 @@ def test_usage_reports_of_a_batch_count_in_order(spark):
     updated, unchanged, rejected = usage.apply_usage(reports, items)
     assert {(r.report_id, r.item_id) for r in updated.collect()} == {("p1", "a"), ("p3", "b")}
     assert [r.report_id for r in unchanged.collect()] == ["p4"] and [r.report_id for r in rejected.collect()] == ["p2"]
+
+
+def test_case_export_moves_no_text_with_decisions(spark, views):
+    v = views
+    found = export.export_cases(v.decision_rows, v.passes, v.decision_targets, v.atom_evidence, v.turns, v.atoms)
+    plan = found.cases._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # no list of texts is built for the case rows
+    some = found.cases.where(F.crc32("decision_id") % 50 == 0)
+    cases = {r.decision_id: r for r in some.collect()}
+    nested = {r.decision_id: r for r in export.case_documents(export.Cases(some, found.evidence, found.existing)).collect()}
+    assert set(cases) == set(nested) and any(c.n_existing > 1 for c in cases.values()) and any(c.resulting_atom_id is None for c in cases.values())
+    for key, case in cases.items():
+        turns, named = nested[key].input_evidence or [], nested[key].existing_atoms or []
+        assert (case.n_evidence, case.n_existing) == (len(turns), len(named))
+        assert case.existing_chars == sum(len(a.content or "") for a in named)
+        assert [t.place for t in turns] == list(range(1, len(turns) + 1))
