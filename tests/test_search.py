@@ -185,3 +185,18 @@ def test_topics_keep_reorganise_and_retire(spark):
     assert rows["t3"].effect == "retired" and rows["t3"].superseded_by is None
     made = {r.derived_from for r in effects.collect() if r.effect == "created"}
     assert made == {"t2", None} and state.count() == 7
+
+
+def test_new_rows_leave_no_tombstones(spark, tmp_path):
+    """Rows that replace nothing are named nowhere, so a compaction joins nothing; parts of a bucket are inverted where they were read."""
+    docs = spark.createDataFrame([("a", str(i), f"word{i % 7} the the") for i in range(40)], "store_key string, id string, body string").repartition(4)
+    index = search.LexicalIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.add(docs.where("id % 2 = 0"))
+    index.add(docs.where("id % 2 = 1"))
+    assert not (tmp_path / "index" / "gone").exists()
+    index.compact()
+    wanted = spark.createDataFrame([("a", "the"), ("a", "word3")], "store_key string, term string")
+    assert {(r.term, r.df, r.n_docs, r.avg_len) for r in index.statistics(wanted).collect()} == {("the", 40, 40, 3.0), ("word3", 6, 40, 3.0)}
+    assert {r.tf for r in index.postings(wanted).where("term = 'the'").collect()} == {2}
+    index.delete(docs.where("id < 10").select("store_key", "id"))
+    assert index.postings(wanted).where("term = 'the'").count() == 30
