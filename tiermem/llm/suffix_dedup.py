@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermem.llm.common import bucketed, cut_lineage
 
 BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 3 << 20  # of text, whose anchors take about half of that
+BUCKET_BYTES = 2 << 20  # of text, whose anchors take about half of that
 SMALL_BYTES = 64 << 10  # no use in more parts than that for a small table
 CHUNK = 1 << 18
 CROWDED = 5000
@@ -284,6 +285,18 @@ def settle(gram: np.ndarray, count: np.ndarray, offset: np.ndarray, least: np.nd
     return kind, table
 
 
+def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All bytes of a binary column as numbers, read where Arrow holds them (one copy, if in several chunks)."""
+    chunks = []
+    for c in column.chunks:
+        if len(c):
+            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1]
+            chunks.append(np.frombuffer(c.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]])
+    whole = chunks[0] if len(chunks) == 1 else np.concatenate(chunks) if chunks else np.empty(0, np.uint8)
+    whole = whole if whole.ctypes.data % np.dtype(kind).itemsize == 0 else whole.copy()
+    return whole.view(kind)
+
+
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -351,9 +364,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
                          "flags": pa.array([_blob(flags[c]) for _, c in cuts], pa.binary())})
 
     def answer_anchors(key, asked):
-        sizes = [len(c) for c in asked.column("flags").to_pylist()]
-        grams = np.frombuffer(b"".join(asked.column("grams").to_pylist()), np.uint64)
-        flags = np.frombuffer(b"".join(asked.column("flags").to_pylist()), np.uint8)
+        sizes = pc.binary_length(asked.column("flags")).to_pylist()
+        grams, flags = _flat(asked.column("grams"), np.uint64), _flat(asked.column("flags"), np.uint8)
         order = np.argsort(grams, kind="stable")
         start = np.flatnonzero(np.append(True, grams[order][1:] != grams[order][:-1]))
         holders = np.diff(np.append(start, len(grams)))
@@ -390,8 +402,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
 
     def answer_segments(key, asked):
         def whole(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(asked.column(name).to_pylist()), kind)
-        sizes = [len(c) for c in asked.column("count").to_pylist()]
+            return _flat(asked.column(name), kind)
+        sizes = pc.binary_length(asked.column("count")).to_pylist()
         count = whole("count", np.uint8).astype(np.int64)
         flat, size = whole("text", np.uint8), count + length - 1
         begin = np.cumsum(size) - size
@@ -401,8 +413,11 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             reach = np.arange(width)
             inside = reach < size[a:a + (1 << 13), None]
             text[a:a + (1 << 13)][inside] = flat[(begin[a:a + (1 << 13), None] + reach)[inside]]
-        kind, table = settle(whole("gram", np.uint64), count, whole("offset", np.uint8).astype(np.int64), whole("least", np.int64), text, length)
-        del text, flat, begin
+        gram, offset, least = whole("gram", np.uint64), whole("offset", np.uint8).astype(np.int64), whole("least", np.int64)
+        blocks_asked = asked.column("block").combine_chunks()
+        del asked, flat, begin, size  # Arrow's copy of the texts is not needed beside the padded one
+        kind, table = settle(gram, count, offset, least, text, length)
+        del text, gram, offset, least
         used = np.arange(table.shape[1])
         counts = np.empty(len(table), np.int64)
         counts[kind] = count
@@ -413,7 +428,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             values = table[kind[some]]
             firsts.append(_blob(given[some].astype(np.uint8)))
             seconds.append(_blob(values[used < given[some][:, None]]))
-        return pa.table({"block": asked.column("block"), "kind": pa.array([2] * len(sizes), pa.int32()),
+        pa.default_memory_pool().release_unused()
+        return pa.table({"block": blocks_asked, "kind": pa.array([2] * len(sizes), pa.int32()),
                          "number": pa.array([key[0].as_py()] * len(sizes), pa.int64()),
                          "first": pa.array(firsts, pa.binary()), "second": pa.array(seconds, pa.binary())})
 
