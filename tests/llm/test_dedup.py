@@ -274,3 +274,14 @@ def test_near_vectors_copies_pass_no_window(spark):
     got = near_vectors.near_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.n_links, r.component_id) for r in got.collect() if r.vec_id % 2} == {(19, 1)}
+
+
+def test_binary_columns_are_read_in_place():
+    import pyarrow as pa
+
+    part = pa.array([b"x" * 8, np.arange(3, dtype=np.uint64).tobytes(), b"", np.arange(5, 6, dtype=np.uint64).tobytes()], pa.binary())
+    column = pa.chunked_array([part.slice(1, 3)])
+    flat = suffix_dedup._flat(column, np.uint64)
+    assert flat.tolist() == [0, 1, 2, 5] and not flat.flags.owndata
+    assert suffix_dedup._flat(pa.chunked_array([part.slice(1, 1), part.slice(2, 0), part.slice(3, 1)]), np.uint64).tolist() == [0, 1, 2, 5]
+    assert len(suffix_dedup._flat(pa.chunked_array([], pa.binary()), np.uint8)) == 0
