@@ -39,7 +39,7 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels.filter(~held_out(4, 2)), "doc_id"))
+    model = toxicity.fit(toxicity.labelled(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), labels, ~held_out(4, 2)))
     return _only_rows(docs, lambda rows: toxicity.score(rows, model, "row").filter(F.col("predicted") == 0))
 
 

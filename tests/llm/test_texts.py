@@ -123,6 +123,19 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, untrained).count() == 14
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Long texts and rows beyond any sample count too, and tasks that train apart give one model."""
+    calm = "the quiet river runs past the mill and the old bridge "
+    long = [(i, calm * 200 + ("snotface" if i % 2 else "garden"), "en", i % 2) for i in range(160)]
+    rows = spark.createDataFrame(long, "doc_id long, text string, lang string, toxic int").repartition(4)
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 20)
+    got = {r.doc_id: r.predicted for r in toxicity.score(rows, toxicity.fit(rows)).collect()}
+    assert sum(got[i] == i % 2 for i in got) >= 158
+    many = spark.range(20_000).selectExpr("id % 2 label", "cast(null as string) lang", "cast(concat('ab', 'cd', 'ef') as binary) keys")
+    counts = toxicity._counted(many)
+    assert counts["1"][-1] == counts["0"][-1] == 10_000 and counts["1"].sum() == 40_000
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     model = toxicity.train(["good calm day"] * 20 + ["good snotface day"] * 20, [0] * 20 + [1] * 20)
     toxicity.learn_languages(model, ["good calm day"], ["en"])

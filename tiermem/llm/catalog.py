@@ -42,7 +42,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels.filter(~held_out(4, 2)), "doc_id"))
+    model = toxicity.fit(toxicity.labelled(docs, labels, ~held_out(4, 2)))
     return toxicity.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
