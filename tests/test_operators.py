@@ -111,6 +111,14 @@ def test_candidate_replies(spark):
     assert rejected.count() == sum(1 for v in REPLIES.values() if v[2])
 
 
+def test_decision_replies_are_parsed_once(spark):
+    """No filter before the entries become rows repeats what their array is made of."""
+    df = spark.createDataFrame([("x", "[]", 2)], "reply_id string, raw string, n_candidates long").repartition(2)
+    shown = spark.createDataFrame([("x", 0, "a")], "reply_id string, candidate long, target_id string")
+    plan = replies.parse_decisions(df, shown)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") < 10 and plan.count("parseJson") <= 2
+
+
 def test_decision_replies(spark):
     entry = '{{"candidate":{},"action":"{}","target_ids":{},"rationale":"r"}}'
     cases = {
