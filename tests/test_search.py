@@ -200,3 +200,12 @@ def test_new_rows_leave_no_tombstones(spark, tmp_path):
     assert {r.tf for r in index.postings(wanted).where("term = 'the'").collect()} == {2}
     index.delete(docs.where("id < 10").select("store_key", "id"))
     assert index.postings(wanted).where("term = 'the'").count() == 30
+
+
+def test_a_document_is_one_row_per_folder(spark, tmp_path):
+    bodies = [" ".join(f"w{(n * k) % 97}" for k in range(60)) for n in range(1, 30)] + ["", "the the THE"]
+    docs = spark.createDataFrame([("a" if n % 2 else "b", str(n), body) for n, body in enumerate(bodies)], "store_key string, id string, body string")
+    index = search.LexicalIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(docs)
+    per_document = spark.read.parquet(f"{index.path}/postings").groupBy("store_key", "id").count()
+    assert per_document.count() == len(bodies) and per_document.agg({"count": "max"}).first()[0] <= 4
