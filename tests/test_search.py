@@ -209,3 +209,13 @@ def test_a_document_is_one_row_per_folder(spark, tmp_path):
     index.add(docs)
     per_document = spark.read.parquet(f"{index.path}/postings").groupBy("store_key", "id").count()
     assert per_document.count() == len(bodies) and per_document.agg({"count": "max"}).first()[0] <= 4
+
+
+def test_postings_need_no_shuffle(spark):
+    bodies = [" ".join(f"w{(n * k) % 97}" for k in range(60)) for n in range(1, 30)] + ["", "the the THE"]
+    docs = spark.createDataFrame([("a" if n % 2 else "b", str(n), body) for n, body in enumerate(bodies)], "store_key string, id string, body string")
+    found = search.postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(n, t, body.lower().split().count(t)) for n, body in enumerate(bodies) for t in body.lower().split()} | {(n, "", 1) for n in range(len(bodies))}
+    assert {(int(r.id), r.term, r.tf) for r in found.collect()} == want
+    assert {int(r.id): r.doc_len for r in found.collect()} == {n: len(body.split()) for n, body in enumerate(bodies)}
