@@ -219,3 +219,15 @@ def test_postings_need_no_shuffle(spark):
     want = {(n, t, body.lower().split().count(t)) for n, body in enumerate(bodies) for t in body.lower().split()} | {(n, "", 1) for n in range(len(bodies))}
     assert {(int(r.id), r.term, r.tf) for r in found.collect()} == want
     assert {int(r.id): r.doc_len for r in found.collect()} == {n: len(body.split()) for n, body in enumerate(bodies)}
+
+
+def test_only_named_texts_are_rendered(spark, views):
+    items = spark.createDataFrame(
+        [("q", "a", 0, "T1", "pinned", "x", 2, None), ("q", "a", 1, "T2", "scene", "s", 5, 0.5), ("q", "a", 2, "T3", "core", "core", 3, None)],
+        "query_id string, store_key string, ordinal long, tier string, source string, item_id string, chars long, score double")
+    atoms = spark.createDataFrame([("a", "x", "hi"), ("b", "x", "no"), ("a", "y", "no")], "store_key string, id string, content string")
+    scenes = spark.createDataFrame([("a", "s", "topic", "T", "sum"), ("b", "s", "topic", "U", None)], "store_key string, scene_id string, scene_kind string, title string, summary string")
+    core = spark.createDataFrame([("a", "abc")], "store_key string, content string")
+    found = context.context_texts(items, atoms, scenes, core)
+    assert {r.item_id: r.body for r in found.collect()} == {"x": "hi", "s": "[topic] T\nsum", "core": "abc"}
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()

@@ -269,13 +269,16 @@ def render(items: DataFrame) -> DataFrame:
 def context_texts(
     items: DataFrame, atoms: DataFrame, scenes: DataFrame, core: DataFrame
 ) -> DataFrame:
-    """Give every admitted item the text it shows."""
-    atom_text = text.truncate(F.col("content"), text.ATOM_CAP)
-    scene_body = text.truncate(
-        text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary")), text.SCENE_CAP
-    )
-    t1 = atoms.select("store_key", F.lit("T1").alias("tier"), F.col("id").alias("item_id"), atom_text.alias("_b"))
-    t2 = scenes.select("store_key", F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), scene_body.alias("_b"))
+    """Give every admitted item the text it shows; texts that no item names are not shuffled."""
+    items = cut_lineage(items)
+    named = items.select("store_key", "tier", "item_id")
+    t1 = atoms.select("store_key", F.lit("T1").alias("tier"), F.col("id").alias("item_id"), "content")
+    t1 = t1.join(named, ["store_key", "tier", "item_id"], "left_semi").select(
+        "store_key", "tier", "item_id", text.truncate(F.col("content"), text.ATOM_CAP).alias("_b"))
+    t2 = scenes.select("store_key", F.lit("T2").alias("tier"), F.col("scene_id").alias("item_id"), "scene_kind", "title", "summary")
+    scene_body = text.scene_text(F.col("scene_kind"), F.col("title"), F.col("summary"))
+    t2 = t2.join(named, ["store_key", "tier", "item_id"], "left_semi").select(
+        "store_key", "tier", "item_id", text.truncate(scene_body, text.SCENE_CAP).alias("_b"))
     cores = core.select("store_key", F.col("content").alias("_core"))
     excerpt = text.truncate(F.col("_core"), F.col("chars").cast("int"))
     return (
