@@ -36,3 +36,10 @@ def test_decision_lookups_shuffle_numbers(views):
         keys = [k for k in shuffles(df) if "atom_doc" in k or "target_doc" in k]
         assert keys and not any("store_key" in k for k in keys)
     assert "content" not in views.atom_keys.columns
+
+
+def test_edges_are_made_distinct_once(views):
+    ops = views.decision_rows.withColumn("new_id", views.decision_rows["id"])
+    window = views.turns.selectExpr("store_key", "'pass-1' AS pass_id", "id AS stream_id")
+    edges = distill.apply_decisions(ops, views.decision_targets, window, views.atom_evidence)[1]
+    assert not any(re.search(r"new_id#\d+", key) for key in shuffles(edges))
