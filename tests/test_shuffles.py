@@ -2,7 +2,7 @@
 
 import re
 
-from tiermem.operators import distill
+from tiermem.operators import distill, joins
 
 
 def plan(df):
@@ -43,3 +43,13 @@ def test_edges_are_made_distinct_once(views):
     window = views.turns.selectExpr("store_key", "'pass-1' AS pass_id", "id AS stream_id")
     edges = distill.apply_decisions(ops, views.decision_targets, window, views.atom_evidence)[1]
     assert not any(re.search(r"new_id#\d+", key) for key in shuffles(edges))
+
+
+def test_gone_targets_have_no_age(views, spark):
+    targets = spark.createDataFrame(
+        [("s", "p", "d1", "update", "a", 60), ("s", "p", "d2", "update", "gone-1", None)],
+        "store_key string, pass_id string, decision_id string, action string, target_id string, created_s long")
+    passes = spark.createDataFrame([("s", "p", 180)], "store_key string, pass_id string, started_s long")
+    assert [(r.decision_id, r.age_minutes) for r in joins.target_ages(targets, passes).collect()] == [("d1", 2.0)]
+    ages = shuffles(joins.target_ages(views.target_states, views.passes))
+    assert not any("target_id" in key for key in ages)
