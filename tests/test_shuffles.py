@@ -53,3 +53,14 @@ def test_gone_targets_have_no_age(views, spark):
     assert [(r.decision_id, r.age_minutes) for r in joins.target_ages(targets, passes).collect()] == [("d1", 2.0)]
     ages = shuffles(joins.target_ages(views.target_states, views.passes))
     assert not any("target_id" in key for key in ages)
+
+
+def test_texts_are_cut_before_they_join(spark):
+    turns = spark.createDataFrame(
+        [("s", "t1", "x", "user", "é" * 7), ("s", "t2", "x", "user", "short")], "store_key string, id string, session_id string, role string, content string")
+    rows = spark.createDataFrame([("s", "t1"), ("s", "t2"), ("s", "t1")], "store_key string, stream_id string")
+    shown = joins.with_evidence_text(rows, turns, 6)
+    assert sorted((r.stream_id, r.content, r.truncated) for r in shown.collect()) == [
+        ("t1", "é" * 6 + "…", True), ("t1", "é" * 6 + "…", True), ("t2", "short", False)]
+    above = plan(joins.with_evidence_text(rows, turns, 6)).split("Join")[0]
+    assert "substring" not in above
