@@ -2,7 +2,7 @@
 
 import re
 
-from tiermem.operators import distill, joins
+from tiermem.operators import audit, distill, embedding, joins
 
 
 def plan(df):
@@ -64,3 +64,18 @@ def test_texts_are_cut_before_they_join(spark):
         ("t1", "é" * 6 + "…", True), ("t1", "é" * 6 + "…", True), ("t2", "short", False)]
     above = plan(joins.with_evidence_text(rows, turns, 6)).split("Join")[0]
     assert "substring" not in above
+
+
+def test_moves_without_a_clean_creation_leave_first(spark):
+    order = spark.createDataFrame([("p1", 1), ("p2", 2)], "pass_id string, place long")
+    fx = spark.createDataFrame(
+        [("p1", "a", "created", 0, 1, 1), ("p2", "a", "updated", 1, 2, 1), ("p1", "b", "updated", 3, 4, 1)],
+        "pass_id string, scene_id string, effect string, members_before long, members_after long, n_added long")
+    moves = spark.createDataFrame(
+        [("p1", "a", "x", "added"), ("p2", "a", "y", "added"), ("p1", "b", "z", "added")], "pass_id string, scene_id string, atom_id string, change string")
+    for given in (fx, fx.join(order, "pass_id")):
+        quality, members = audit.replay_membership(order, given, moves)
+        assert {(r.scene_id, r.place): (r.quality, r.before, r.after) for r in quality.collect()} == {
+            ("a", 1): ("complete", 0, 1), ("a", 2): ("complete", 1, 2), ("b", 1): ("unavailable", 0, 0)}
+        assert sorted((r.scene_id, r.atom_id, r.from_place, r.to_place) for r in members.collect()) == [("a", "x", 1, None), ("a", "y", 2, None)]
+        assert "LeftSemi" in plan(audit.replay_membership(order, given, moves)[1])

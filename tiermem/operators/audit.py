@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiermem.functions.scan import Block, blocked_row_number, blocked_running
 from tiermem.operators.checks import ACTIONS
+from tiermem.session import cut_lineage
 
 
 PLACE_BLOCK = 1024
@@ -240,7 +241,7 @@ def replay_membership(passes: DataFrame, scene_fx: DataFrame, moves: DataFrame)
     """Membership of every scene after every pass from its first clean creation on.
 
     passes(pass_id, place) give the order within the store, place without holes;
-    scene_fx(pass_id, scene_id, effect, members_before, members_after, n_added);
+    scene_fx(pass_id, scene_id, effect, members_before, members_after, n_added[, place]);
     moves(pass_id, scene_id, atom_id, change). Returns (quality, members):
     quality(scene_id, pass_id, place, quality, before, after) and the membership as
     intervals members(scene_id, atom_id, from_place, to_place).
@@ -249,18 +250,19 @@ def replay_membership(passes: DataFrame, scene_fx: DataFrame, moves: DataFrame)
     member from an add that takes it in until the next remove. Sizes follow as
     running sums of those events, so no member list is ever gathered in one row.
     """
-    fx = scene_fx.join(passes.select("pass_id", "place"), "pass_id")
+    fx = scene_fx if "place" in scene_fx.columns else scene_fx.join(passes.select("pass_id", "place"), "pass_id")
     clean = (
         (F.col("effect") == "created") & (F.col("members_before") == 0)
         & (F.col("n_added") == F.col("members_after"))
     )
     base = fx.groupBy("scene_id").agg(F.min(F.when(clean, F.col("place"))).alias("base"))
     known = fx.join(base, "scene_id")
-    live = known.where("place >= base")
+    # Only moves of scenes with a clean creation count: the others leave where they are read, before any shuffle.
+    live = cut_lineage(known.where("place >= base").select("scene_id", "pass_id", "place", "base", "members_before", "members_after"))
+    here = live.select("scene_id", "pass_id", "place")
     step = F.when(F.col("change") == "added", 1).otherwise(0)
-    moves = live.select("scene_id", "pass_id", "place").join(
-        moves.where(F.col("change").isin("added", "removed")), ["scene_id", "pass_id"]
-    ).select("scene_id", "place", step.alias("step"), "atom_id").distinct()
+    moved = moves.where(F.col("change").isin("added", "removed")).join(here, ["scene_id", "pass_id"], "left_semi")
+    moves = moved.join(here, ["scene_id", "pass_id"]).select("scene_id", "place", step.alias("step"), "atom_id").distinct()
     own = Window.partitionBy("scene_id", "atom_id").orderBy("place", "step")
     before = F.lag("step", 1, 0).over(own)
     at_pass = Window.partitionBy("scene_id", "atom_id", "place").orderBy("step")
