@@ -66,6 +66,19 @@ def test_texts_are_cut_before_they_join(spark):
     assert "substring" not in above
 
 
+def test_atom_texts_are_the_atoms(views):
+    columns = ["store_key", "id", "src_doc_id", "type", "content", "status", "created_s"]
+    assert sorted(map(str, views.atom_texts.select(columns).collect())) == sorted(map(str, views.atoms.select(columns).collect()))
+    assert "Aggregate" not in plan(views.atom_texts)
+
+
+def test_scene_texts_and_trace_lookups(views):
+    columns = ["store_key", "scene_id", "scene_kind", "title", "summary", "status"]
+    assert sorted(map(str, views.scene_texts.select(columns).collect())) == sorted(map(str, views.scenes.select(columns).collect()))
+    assert shuffles(views.scene_texts) == []
+    assert not any("store_key" in key for key in shuffles(views.trace_refs))
+
+
 def test_moves_without_a_clean_creation_leave_first(spark):
     order = spark.createDataFrame([("p1", 1), ("p2", 2)], "pass_id string, place long")
     fx = spark.createDataFrame(
