@@ -66,6 +66,25 @@ def test_texts_are_cut_before_they_join(spark):
     assert "substring" not in above
 
 
+def test_refresh_embeds_only_changed_texts(spark, tmp_path):
+    rows = [("scenes", "s", "a", "h1", "one"), ("scenes", "s", "b", "h2", "two"), ("scenes", "s", None, "h3", "none"),
+            ("turns", "s", "t", "", "turn"), ("scenes", "s", "n", None, "null")]
+    texts = spark.createDataFrame(rows, "tier string, store_key string, id string, render_hash string, body string")
+    table = embedding.VectorTable(spark, str(tmp_path / "vectors"))
+    table.swap(texts, "m", embedding.folding_model(4), 4)
+    later = texts.where("id <> 'b' OR id IS NULL").unionByName(
+        spark.createDataFrame([("scenes", "s", "b", "h9", "new")], texts.schema))
+    seen = []
+    real, embedding.embed = embedding.embed, lambda given, *rest: seen.append(given) or real(given, *rest)
+    try:
+        table.swap(later, "m", embedding.folding_model(4), 4)
+    finally:
+        embedding.embed = real
+    assert sorted(r.body for r in seen[0].collect()) == ["new", "none", "null", "turn"]
+    assert sorted((r.id or "") for r in table.read().collect()) == sorted(["a", "b", "", "t", "n"])
+    assert "LeftAnti" not in plan(seen[0])  # texts meet the keys of what changed, not all kept keys
+
+
 def test_atom_texts_are_the_atoms(views):
     columns = ["store_key", "id", "src_doc_id", "type", "content", "status", "created_s"]
     assert sorted(map(str, views.atom_texts.select(columns).collect())) == sorted(map(str, views.atoms.select(columns).collect()))

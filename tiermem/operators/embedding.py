@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tiermem.functions import identity, text
 from tiermem.functions.worker import kept
-from tiermem.session import path_exists
+from tiermem.session import cut_lineage, path_exists
 
 Encoder = Callable[[list[str]], np.ndarray]
 BATCH = 256
@@ -134,9 +134,14 @@ class VectorTable:
         keys = list(self.KEYS)
         same = None
         if now and now[2] == model:
+            # Keys are compared without texts; texts only meet the keys of what changed, and tiers without a hash meet nothing.
             old = self.read().where("render_hash <> '' AND embedding IS NOT NULL").select(*keys, "embedding", "error")
-            same = old.join(texts.select(*keys), keys, "left_semi")
-            texts = texts.join(same.select(*keys), keys, "left_anti")
+            hashed = F.coalesce(F.col("render_hash") != "", F.lit(False))
+            ids = texts.where(hashed).select(*keys)
+            same = old.join(ids, keys, "left_semi")
+            changed = cut_lineage(ids.join(old.select(*keys), keys, "left_anti")).alias("c")
+            equal = [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+            texts = texts.where(~hashed).unionByName(texts.where(hashed).alias("t").join(changed, equal, "left_semi"))
         fresh = embed(texts, keys, model, load, dim)
         (fresh if same is None else fresh.unionByName(same)).write.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(fresh.schema).parquet(f"{self.path}/{folder}")
