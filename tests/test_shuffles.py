@@ -111,3 +111,12 @@ def test_moves_without_a_clean_creation_leave_first(spark):
             ("a", 1): ("complete", 0, 1), ("a", 2): ("complete", 1, 2), ("b", 1): ("unavailable", 0, 0)}
         assert sorted((r.scene_id, r.atom_id, r.from_place, r.to_place) for r in members.collect()) == [("a", "x", 1, None), ("a", "y", 2, None)]
         assert "LeftSemi" in plan(audit.replay_membership(order, given, moves)[1])
+
+
+def test_states_of_plain_targets(spark):
+    targets = spark.createDataFrame(
+        [("s", "p1", 0, "a", "a"), ("s", "p1", 1, "a", "n"), ("s", "p2", 0, "b", "n"), ("s", "p3", 0, "gone", "n"), ("t", "p4", 0, "a", "n")],
+        "store_key string, pass_id string, position long, target_id string, new_id string")
+    atoms = spark.createDataFrame([("s", "a", "active"), ("s", "b", "merged")], "store_key string, id string, status string")
+    void = distill.void_passes(distill.target_states(targets, atoms))
+    assert {r.pass_id: r.reason for r in void.collect()} == {"p2": "inactive", "p3": "missing", "p4": "missing"}
