@@ -233,6 +233,13 @@ def test_top_k_blocks_ties_and_odd_sides(spark, monkeypatch, scale):
     assert top_k.search(df, queries.limit(0), k=3).count() == 0 and top_k.search(df.limit(0), queries, k=3).count() == 0
 
 
+def test_top_k_visits_are_not_gathered_at_the_driver(spark):
+    """Every block of queries visits every slab, so the visits grow with both; they are shuffled, however small Spark takes them for."""
+    df = spark.createDataFrame([(i, [i % 7, i % 5]) for i in range(90)], "vec_id long, weights array<bigint>")
+    plan = top_k.search(df, df, k=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [number" in plan and "BroadcastHashJoin [number" not in plan
+
+
 def exact_classes(x, threshold=0.9):
     x = x / np.linalg.norm(x, axis=1)[:, None]
     hit, union = x @ x.T >= threshold, Union()

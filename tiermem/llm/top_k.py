@@ -6,8 +6,8 @@ forward index (the weights of its rows). For a query the blocks are ordered by t
 of its weights times the blocks' extremes, an upper bound of any score in the block.
 They are scored in that order until the bound falls below the query's k-th score.
 
-Slabs meet blocks of queries by an equi-join; what leaves a meeting is at most k rows
-per query, so a query's results are merged from k rows per slab.
+Slabs meet blocks of queries by an equi-join over a shuffle; what leaves a meeting is at most
+k rows per query, so a query's results are merged from k rows per slab.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     numbers = slabs.select("slab", (F.row_number().over(Window.orderBy("slab")) - 1).alias("number"))
     visits = asked.select(F.col("ids").alias("query_ids"), F.col("values").alias("query_values"),
                           F.explode(F.sequence(F.lit(0), F.lit(max(0, slabs.count() - 1)))).alias("number"))
-    pairs = visits.join(slabs.join(numbers, "slab"), "number")
+    # Spark takes the visits for as small as one copy of the queries, and would gather them all at the driver for a broadcast
+    pairs = visits.hint("merge").join(slabs.join(numbers, "slab"), "number")
     pairs = pairs.select("query_ids", "query_values", "ids", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
