@@ -202,6 +202,23 @@ def test_new_rows_leave_no_tombstones(spark, tmp_path):
     assert index.postings(wanted).where("term = 'the'").count() == 30
 
 
+def test_changes_write_no_terms_but_those_they_add(spark, tmp_path, monkeypatch):
+    """What goes is named; its terms are neither read nor written, and document frequencies need no table of their own."""
+    from tiermem.operators import lexical_index
+    cuts = []
+    monkeypatch.setattr(lexical_index, "cut_lineage", lambda df: cuts.append(df.columns) or df)
+    docs = spark.createDataFrame([("a", str(i), f"word{i % 7} the the") for i in range(40)] + [("b", "1", "")], "store_key string, id string, body string")
+    index = search.LexicalIndex(spark, str(tmp_path / "index"), buckets=3)
+    index.add(docs)
+    index.delete(docs.where("id < 10").select("store_key", "id"))
+    index.add(docs.where("id = 12").withColumn("body", F.lit("other words")))
+    assert cuts and not any("terms" in columns for columns in cuts)
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["gone", "postings", "published", "sizes"]
+    wanted = spark.createDataFrame([("a", "the"), ("a", "other"), ("b", "the")], "store_key string, term string")
+    assert {(r.store_key, r.term, r.df, r.n_docs, r.avg_len) for r in index.statistics(wanted).collect()} == {
+        ("a", "the", 29, 30, 89 / 30), ("a", "other", 1, 30, 89 / 30)}
+
+
 def test_a_document_is_one_row_per_folder(spark, tmp_path):
     bodies = [" ".join(f"w{(n * k) % 97}" for k in range(60)) for n in range(1, 30)] + ["", "the the THE"]
     docs = spark.createDataFrame([("a" if n % 2 else "b", str(n), body) for n, body in enumerate(bodies)], "store_key string, id string, body string")
